@@ -121,3 +121,12 @@ def lehmer_sql(key: str) -> str:
 
 def r6(c: Column, places: int = 6) -> Column:
     return F.round(c, places)
+
+
+def attach_one_row(df, one_row):
+    """Append the columns of a single-row aggregate to every row of ``df``.
+
+    ``one_row`` is a global aggregate (exactly one row by construction), so the broadcast
+    side has a proven size of one row and the output has as many rows as ``df``.
+    """
+    return df.join(F.broadcast(one_row), how="inner")

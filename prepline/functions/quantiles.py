@@ -59,14 +59,12 @@ def exact_quantiles(
     known, skips the sizing job.
     """
     keys = list(keys)
-    spark = weighted.sparkSession
     w = weighted.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w"))
     stats = w.groupBy(*keys).agg(
         F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")
     )
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
     targets = (
-        stats.crossJoin(F.broadcast(probs_df))  # len(probs) rows: fixed, tiny
+        stats.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))  # len(probs) rows per key
         .withColumn("h", (F.col("n") - 1) * F.col("p"))
         .withColumn("r0", F.floor("h").cast("long"))
         .withColumn("r1", F.ceil("h").cast("long"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from prepline.functions.exprs import attach_one_row
 from pyspark.sql import types as T
 
 from prepline.functions.exprs import (
@@ -477,7 +479,7 @@ def target_analysis(df: DataFrame, target: str, problem_type: str | None = None)
     )
     kind = problem_type or ""
     metrics = "accuracy,precision,recall,f1" if "classification" in kind else ("mse,rmse,mae,r2" if "regression" in kind else None)
-    return miss.crossJoin(classes).select(
+    return attach_one_row(miss, classes).select(
         F.lit(target).alias("target"),
         F.round(F.try_divide(F.col("n_missing") * 100.0, F.col("n_rows")), 2).alias("missing_percentage"),
         F.col("n_classes").cast("long").alias("n_classes"),
@@ -579,7 +581,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("dtype") == "object", F.col("column_name")))), ",").alias("categorical_columns"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("dtype").startswith("datetime"), F.col("column_name")))), ",").alias("datetime_columns"),
     )
-    out = agg.crossJoin(dup.select("duplicate_rows")).select(
+    out = attach_one_row(agg, dup.select("duplicate_rows")).select(
         F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
         F.col("n_cols").cast("long").alias("n_cols"),
         F.coalesce("total_missing", F.lit(0)).cast("long").alias("total_missing"),
@@ -600,7 +602,7 @@ def data_quality_report(df: DataFrame, outlier_method: str = "iqr") -> DataFrame
     dup = duplicate_rows(df).select("duplicate_rows", "duplicate_percentage")
     outl = outlier_counts(df, outlier_method).agg(F.coalesce(F.sum("n_outliers"), F.lit(0)).cast("long").alias("outliers_detected"))
     cons = types_consistent(df).agg(F.coalesce(F.bool_and("consistent"), F.lit(True)).alias("data_types_consistent"))
-    out = tot.crossJoin(dup).crossJoin(outl).crossJoin(cons)
+    out = attach_one_row(attach_one_row(attach_one_row(tot, dup), outl), cons)
     recs = F.concat_ws(
         ",",
         F.when(F.col("missing_percentage") > 30, F.lit("HIGH_MISSING_GT_30")),

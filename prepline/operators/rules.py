@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prepline.functions.exprs import attach_one_row
+
 from prepline.functions.exprs import lower_contains_any, lower_contains_count
 
 # ---- fixed values: word lists, codes and limits that must equal the rule set we reproduce ----
@@ -218,7 +220,7 @@ def identify_target(profile: DataFrame, problem: str | None, hints: Sequence[str
     alts = s.where("is_alternative").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"]), ",").alias("alternatives")
     )
-    return s.where("is_best").crossJoin(alts).select(
+    return attach_one_row(s.where("is_best"), alts).select(
         F.col("column_name").alias("target"), "target_type", "confidence", F.when(F.col("alternatives") != "", F.col("alternatives")).alias("alternatives")
     )
 
@@ -324,13 +326,13 @@ def check_problem_minimums(df: DataFrame, problem: str, target: str | None = Non
     else:
         ncls = spark.createDataFrame([(None,)], "n_classes long")
     if "anomaly" in problem:
-        share = outlier_counts(df, "iqr").agg(F.max("n_outliers").alias("mo")).crossJoin(base.withColumnRenamed("n_rows", "nr")).select(
+        share = attach_one_row(outlier_counts(df, "iqr").agg(F.max("n_outliers").alias("mo")), base.withColumnRenamed("n_rows", "nr")).select(
             F.try_divide(F.col("mo").cast("double"), F.col("nr")).alias("outlier_share")
         )
     else:
         share = spark.createDataFrame([(None,)], "outlier_share double")
     needs_classes = problem in ("supervised_classification", "semi_supervised_classification", "time_series_classification")
-    out = F.broadcast(req).crossJoin(base).crossJoin(ncls).crossJoin(share)
+    out = attach_one_row(attach_one_row(attach_one_row(req, base), ncls), share)
     return out.select(
         "problem_type",
         F.col("n_rows").cast("long").alias("n_rows"),

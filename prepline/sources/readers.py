@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from prepline.functions.exprs import attach_one_row
 from pyspark.sql import types as T
 
 from prepline.session import checkpoint_dir
@@ -79,7 +81,7 @@ def sniff_separator(spark: SparkSession, path: str, candidates: Sequence[str] =
     per = per.withColumn("consistent", (F.col("min_fields") == F.col("max_fields")) & (F.col("min_fields") > 1))
     score = F.when(F.col("consistent"), F.col("min_fields")).otherwise(F.lit(0))
     best = per.agg(F.max_by(F.col("rank"), F.struct(score, -F.col("rank"))).alias("best"))
-    return per.crossJoin(best).select(
+    return attach_one_row(per, best).select(
         "rank",
         "separator",
         F.col("min_fields").cast("int").alias("min_fields"),
@@ -237,7 +239,7 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     dtypes = columns_table(df).agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_name", "dtype"))))).alias("dtypes")
     )
-    return recs.crossJoin(shape).crossJoin(dtypes)
+    return attach_one_row(attach_one_row(recs, shape), dtypes)
 
 
 def persist_dataset(df: DataFrame, source_path: str, root: str) -> DataFrame:
