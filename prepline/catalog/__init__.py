@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from prepline.catalog import (  # noqa: F401
+        q_eval,
         q_features,
         q_intent,
         q_io,
