@@ -31,4 +31,5 @@ def load_all() -> None:
         q_io,
         q_profile,
         q_rules,
+        q_series,
     )

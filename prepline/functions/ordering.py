@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepline.session import cut_lineage
 
@@ -43,3 +44,145 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "ra
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_before(counts, keys, value, "n")
     return ranked.select(*keys, value, "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(parts, *[F.col(k) for k in keys], F.col(order)).withColumn("_pid", F.spark_partition_id())
+    return cut_lineage(r)
+
+
+def previous_values(df: DataFrame, keys: Sequence[str], order: str, value: str, k: int, out: str = "prev") -> DataFrame:
+    """Add ``out`` = array of up to k previous values of ``value`` in the same ``keys``, by
+    ``order`` (oldest first; the last element is lag 1).
+
+    A hot series is split across range partitions; each partition computes its own lags and
+    receives the last k values of the series from earlier partitions through a small
+    (partition x key) tail table, so no task ever holds more than one partition.
+    """
+    keys = list(keys)
+    r = _ranged(df, keys, order)
+    w = Window.partitionBy("_pid", *keys).orderBy(order)
+    inpart = r.withColumn("_in", F.collect_list(value).over(w.rowsBetween(-k, -1)))
+    w_desc = Window.partitionBy("_pid", *keys).orderBy(F.col(order).desc())
+    tails = (
+        r.withColumn("_rd", F.row_number().over(w_desc))
+        .where(F.col("_rd") <= k)
+        .groupBy("_pid", *keys)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("_tail"))
+    )
+    w_key = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(w_key))).select("_pid", *keys, "_carry")
+    carry = carry.withColumn("_carry", F.when(F.size("_carry") > k, F.slice("_carry", -k, k)).otherwise(F.col("_carry")))
+    j = inpart.join(carry, ["_pid", *keys], "left")
+    full = F.concat(F.coalesce(F.col("_carry"), F.array().cast(j.schema["_in"].dataType)), F.col("_in"))
+    return j.withColumn(out, F.when(F.size(full) > k, F.slice(full, -k, k)).otherwise(full)).drop("_pid", "_in", "_carry")
+
+
+def next_values(df: DataFrame, keys: Sequence[str], order: str, value: str, k: int, out: str = "next") -> DataFrame:
+    """Like :func:`previous_values` but the following k values (nearest first)."""
+    dt = df.schema[order].dataType
+    key = F.unix_micros(F.col(order).cast("timestamp")) if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order)
+    neg = df.withColumn("_neg_order", -key.cast("double"))
+    res = previous_values(neg, keys, "_neg_order", value, k, out="_nx")
+    return res.withColumn(out, F.reverse("_nx")).drop("_nx", "_neg_order")
+
+
+def affine_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    step,
+    init,
+    state_names: Sequence[str],
+) -> DataFrame:
+    """Run a per-series linear recurrence s_t = M s_(t-1) + v * y_t over a global order.
+
+    ``step(state, y) -> state`` must be affine in ``state`` (exponential smoothing is); it is
+    applied inside tasks over range partitions (pandas, one pass). Each partition is first run
+    from the zero state and from unit states, which gives the partition's affine map; the maps
+    are chained per series over its partitions (at most one row per partition), and the
+    chained entry state replays the partition exactly. ``init(first_rows) -> state`` gives the
+    state before the series' first row from its first two values.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys)
+    dim = len(state_names)
+    r = _ranged(df.select(*keys, order, value), keys, order)
+    sorted_r = r.sortWithinPartitions("_pid", *keys, order)
+    key_schema = sorted_r.select(*keys).schema
+
+    def run(ys, s0):
+        s = np.array(s0, dtype=float)
+        out = np.empty((len(ys), dim))
+        for i, y in enumerate(ys):
+            s = step(s, y)
+            out[i] = s
+        return out
+
+    # pass 1: per (partition, key) affine map over its rows, plus its first two values
+    def summarize(batches):
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        rows = []
+        for kv, g in pdf.groupby(["_pid", *keys], sort=False):
+            ys = g[value].to_numpy(dtype=float)
+            base = run(ys, np.zeros(dim))[-1]
+            cols = [run(ys, np.eye(dim)[j])[-1] - base for j in range(dim)]
+            first2 = list(ys[:2]) + [np.nan] * (2 - min(2, len(ys)))
+            kv = kv if isinstance(kv, tuple) else (kv,)
+            rows.append((*kv, [float(x) for c in cols for x in c], [float(x) for x in base], first2[0], first2[1], len(ys)))
+        yield pd.DataFrame(rows, columns=["_pid", *keys, "_m", "_b", "_y1", "_y2", "_n"])
+
+    summary_schema = (
+        T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields))
+        .add("_m", T.ArrayType(T.DoubleType()))
+        .add("_b", T.ArrayType(T.DoubleType()))
+        .add("_y1", T.DoubleType())
+        .add("_y2", T.DoubleType())
+        .add("_n", T.LongType())
+    )
+    summary = sorted_r.mapInPandas(summarize, summary_schema)
+
+    # pass 2: chain the maps per key over its partitions (<= partitions rows per key)
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        ys = [y for a, b in zip(pdf["_y1"], pdf["_y2"], strict=True) for y in (a, b) if not pd.isna(y)]
+        s = np.array(init(ys[:2]), dtype=float)
+        entries = []
+        for m, b in zip(pdf["_m"], pdf["_b"], strict=True):
+            entries.append([float(x) for x in s])
+            mm = np.array(m, dtype=float).reshape(dim, dim).T
+            s = mm @ s + np.array(b, dtype=float)
+        return pd.DataFrame({"_pid": pdf["_pid"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "_s0": entries})
+
+    entry_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields)).add("_s0", T.ArrayType(T.DoubleType()))
+    entries = summary.groupBy(*keys).applyInPandas(chain, entry_schema)
+
+    # pass 3: replay each partition from its exact entry state
+    joined = sorted_r.join(entries, ["_pid", *keys]).sortWithinPartitions("_pid", *keys, order)
+    out_schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_s0",)])
+    for n in state_names:
+        out_schema = out_schema.add(n, T.DoubleType())
+
+    def replay(batches):
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        parts = []
+        for _, g in pdf.groupby(["_pid", *keys], sort=False):
+            g = g.sort_values(order)
+            states = run(g[value].to_numpy(dtype=float), np.array(g["_s0"].iloc[0], dtype=float))
+            g = g.drop(columns=["_s0"])
+            for j, n in enumerate(state_names):
+                g[n] = states[:, j]
+            parts.append(g)
+        yield pd.concat(parts, ignore_index=True)
+
+    return joined.mapInPandas(replay, out_schema).drop("_pid")
