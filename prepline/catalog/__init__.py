@@ -29,6 +29,7 @@ def load_all() -> None:
         q_features,
         q_intent,
         q_io,
+        q_models,
         q_plots,
         q_profile,
         q_rules,
