@@ -27,6 +27,7 @@ def load_all() -> None:
     from prepline.catalog import (  # noqa: F401
         q_eval,
         q_features,
+        q_flow,
         q_intent,
         q_io,
         q_models,
