@@ -29,14 +29,21 @@ def s1(spark, sf):
 
 @register("s1_read_csv_header_row", ORDERS)
 def s1h(spark, sf):
-    """Two junk lines before the header: the header is line 2."""
+    """Every file starts with two junk lines and the header: the header is line 2."""
+    import pandas as pd
+
     orders = load(spark, sf, "orders")
     path = _out(spark, "orders_csv_junk")
-    junk = spark.createDataFrame([("exported by some tool",), ("second junk line",), (",".join(orders.columns),)], "value string").coalesce(1)
     body = orders.select(
         F.concat_ws(",", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t.startswith("timestamp") else F.col(c).cast("string") for c, t in orders.dtypes]).alias("value")
     )
-    junk.unionAll(body).write.mode("overwrite").text(path)
+    preamble = ["exported by some tool", "second junk line", ",".join(orders.columns)]
+
+    def with_preamble(batches):
+        yield pd.DataFrame({"value": preamble})  # once per partition = once per written file
+        yield from batches
+
+    body.mapInPandas(with_preamble, "value string").write.mode("overwrite").text(path)
     back = S.read_csv(spark, path, header_row=2)
     return back.select(*[F.col(c).cast(t) for c, t in orders.dtypes])
 

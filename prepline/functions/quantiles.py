@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from prepline.session import cut_lineage
 
-MAX_GROUP = 200_000
+MAX_GROUP = 100_000
 FANOUT = 4096
 MAX_ROUNDS = 64
 
@@ -54,12 +54,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Return (keys..., p double, q double): exact continuous quantiles per key.
 
-    ``weighted`` should be persisted by the caller when it is expensive: it is scanned once
-    per refinement round. ``max_distinct`` (largest number of distinct values of any key), when
-    known, skips the sizing job.
+    Eager: the weighted input is cached while the sizing job, refinement rounds and final
+    pass run, and the small result (keys x probs rows) is checkpointed before the cache is
+    released. ``max_distinct`` (largest number of distinct values of any key), when known,
+    skips the sizing job.
     """
+    from pyspark import StorageLevel
+
     keys = list(keys)
-    w = weighted.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w"))
+    w = weighted.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = w.groupBy(*keys).agg(
         F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")
     )
@@ -116,11 +119,15 @@ def exact_quantiles(
     )
     x0 = located.withColumnRenamed("r", "r0").withColumnRenamed("x", "x0")
     x1 = located.withColumnRenamed("r", "r1").withColumnRenamed("x", "x1")
-    return (
+    result = (
         targets.join(x0, keys + ["r0"], "left")
         .join(x1, keys + ["r1"], "left")
         .select(*keys, "p", (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("q"))
     )
+    # keys x len(probs) rows: materialise to reliable storage and release the cached input
+    result = cut_lineage(result)
+    w.unpersist()
+    return result
 
 
 def quantiles_wide(q: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -517,31 +517,63 @@ def _numeric_fields(df: DataFrame, columns: Sequence[str] | None = None):
 
 
 def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
-    """Long form (col_a, col_b, r) for every ordered pair a < b (by position).
+    """Long form (col_a, col_b, r) for every pair a < b (by position), pairwise-complete.
 
-    Pearson: one aggregation pass with pairwise-complete guarded moments. Spearman: each
-    column is replaced by its average rank first (ranks computed per column from the
-    distinct-value table with a distributed running count, never one task per column).
+    Two scans, both plain sums inside one codegen'd aggregate: (1) non-null counts and means;
+    (2) sums of products of mean-centred values. Columns without missing values share one
+    set of sums, so c columns cost c + c(c-1)/2 sums; a pair involving a column with missing
+    values gets its own pairwise-complete sums. r is NULL for a constant column.
+    Spearman: each column is first replaced by its average rank (distributed ranks).
     """
     fields = _numeric_fields(df, columns)
     if method == "spearman":
         df = rank_transform(df, [f.name for f in fields])
         fields = [T.StructField(f.name, T.DoubleType()) for f in fields]
-    aggs, pairs = [], []
-    for a in range(len(fields)):
-        for b in range(a + 1, len(fields)):
-            fa, fb = fields[a], fields[b]
-            x = as_double(qcol(fa.name), fa.dataType)
-            y = as_double(qcol(fb.name), fb.dataType)
-            both = x.isNotNull() & y.isNotNull()
-            aggs.append(guarded_corr(F.when(both, x), F.when(both, y)).alias(f"r{len(pairs)}"))
-            pairs.append((fa.name, fb.name))
-    if not pairs:
+    names = [f.name for f in fields]
+    if len(names) < 2:
         return _empty(df.sparkSession, "col_a string, col_b string, r double")
-    esc = lambda s: s.replace("'", "''")
-    stack = ", ".join(f"'{esc(a)}', '{esc(b)}', r{i}" for i, (a, b) in enumerate(pairs))
-    out = df.agg(*aggs).selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, r)")
-    return out.select("col_a", "col_b", F.round("r", 6).alias("r"))
+    vals = {f.name: as_double(qcol(f.name), f.dataType) for f in fields}
+    first = df.agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(names)], *[F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(names)]
+    ).first()  # 1 + 2c numbers: schema-sized
+    n_all = first["__n"]
+    complete = {c for i, c in enumerate(names) if first[f"n{i}"] == n_all}
+    mean = {c: (first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i, c in enumerate(names)}
+    cen = {c: vals[c] - F.lit(mean[c]) for c in names}
+    aggs = []
+    for i, c in enumerate(names):
+        if c in complete:
+            aggs += [F.sum(cen[c]).alias(f"s{i}"), F.sum(cen[c] * cen[c]).alias(f"q{i}")]
+    pairs = []
+    for a in range(len(names)):
+        for b in range(a + 1, len(names)):
+            ca, cb = names[a], names[b]
+            k = len(pairs)
+            if ca in complete and cb in complete:
+                aggs.append(F.sum(cen[ca] * cen[cb]).alias(f"x{k}"))
+                pairs.append((ca, cb, f"x{k}", None))
+            else:
+                both = vals[ca].isNotNull() & vals[cb].isNotNull()
+                xa, xb = F.when(both, cen[ca]), F.when(both, cen[cb])
+                aggs += [
+                    F.count_if(both).alias(f"pn{k}"), F.sum(xa).alias(f"pa{k}"), F.sum(xb).alias(f"pb{k}"),
+                    F.sum(xa * xa).alias(f"paa{k}"), F.sum(xb * xb).alias(f"pbb{k}"), F.sum(xa * xb).alias(f"x{k}"),
+                ]
+                pairs.append((ca, cb, f"x{k}", k))
+    sums = df.agg(*aggs)
+    exprs = []
+    idx = {c: i for i, c in enumerate(names)}
+    for ca, cb, x, k in pairs:
+        if k is None:
+            n = F.lit(float(n_all))
+            sa, sb, qa, qb = F.col(f"s{idx[ca]}"), F.col(f"s{idx[cb]}"), F.col(f"q{idx[ca]}"), F.col(f"q{idx[cb]}")
+        else:
+            n, sa, sb, qa, qb = F.col(f"pn{k}").cast("double"), F.col(f"pa{k}"), F.col(f"pb{k}"), F.col(f"paa{k}"), F.col(f"pbb{k}")
+        cov = F.col(x) - sa * sb / n
+        va, vb = qa - sa * sa / n, qb - sb * sb / n
+        r = F.when((va > 0) & (vb > 0) & (n > 1), cov / F.sqrt(va * vb))
+        exprs.append(F.struct(F.lit(ca).alias("col_a"), F.lit(cb).alias("col_b"), F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), 6).alias("r")))
+    return sums.select(F.explode(F.array(*exprs)).alias("p")).select("p.*")
 
 
 def rank_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:

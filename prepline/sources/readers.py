@@ -54,15 +54,64 @@ def read_csv(
     infer_schema: bool = True,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    """CSV whose header is line ``header_row`` (0-based); earlier lines are dropped."""
+    """CSV whose header is line ``header_row`` (0-based) of every file; earlier lines are
+    dropped. ``header_row`` 0 is Spark's own reader. Otherwise the file is parsed as strings
+    with Spark's CSV reader, and each line's place in its file comes from the hidden
+    ``_metadata`` columns: lines of a file's first block (block start 0), ordered by the
+    reader's own row order, are numbered with a window over that one block only. Types are
+    then inferred over the whole column (every non-null value must cast)."""
     opts = {"sep": separator, "header": "true", "encoding": encoding, "inferSchema": str(infer_schema and schema is None).lower()}
     reader = spark.read.options(**opts)
     if schema is not None:
         reader = reader.schema(schema)
     if header_row <= 0:
         return reader.csv(path)
-    lines = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda t: t[1] >= header_row).map(lambda t: t[0])
-    return reader.csv(lines)
+    import csv
+    import io
+
+    raw = spark.read.option("encoding", encoding).text(path)
+    tagged = raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__order"),
+    )
+    first_block = Window.partitionBy("__file").orderBy("__order")  # one block of one file per group
+    numbered = tagged.withColumn("__line", F.when(F.col("__block") == 0, F.row_number().over(first_block) - 1))
+    header = numbered.where(F.col("__line") == header_row).orderBy("__file").select("value").first()
+    if header is None:
+        raise ValueError(f"no line {header_row} in {path}")
+    names = next(csv.reader(io.StringIO(header["value"]), delimiter=separator))  # one line: the header
+    string_schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    lines = numbered.where(F.col("__line").isNull() | (F.col("__line") > header_row))
+    parsed = lines.select(F.from_csv("value", string_schema, {"sep": separator}).alias("__r"))
+    body = parsed.select(*[F.col(f"__r.c{i}").alias(n) for i, n in enumerate(names)])
+    if schema is not None:
+        st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        return body.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
+    if not infer_schema:
+        return body
+    return infer_types(body)
+
+
+_INFER_ORDER = ["int", "bigint", "double", "timestamp", "boolean"]
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Cast each string column to the first of int, bigint, double, timestamp, boolean that
+    every non-null value casts to (one aggregation over the whole table)."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        ref = F.col(f"`{c}`")
+        aggs.append(F.count(ref).alias(f"n{i}"))
+        for t in _INFER_ORDER:
+            aggs.append(F.count(ref.try_cast(t)).alias(f"{t}{i}"))
+    row = df.agg(*aggs).first()  # (1 + 5) numbers per column: schema-sized
+    out = []
+    for i, c in enumerate(df.columns):
+        target = next((t for t in _INFER_ORDER if row[f"n{i}"] > 0 and row[f"{t}{i}"] == row[f"n{i}"]), None)
+        out.append(F.col(f"`{c}`").try_cast(target).alias(c) if target else F.col(f"`{c}`"))
+    return df.select(*out)
 
 
 # ------------------------------------------------------------------ S2 separator sniffing

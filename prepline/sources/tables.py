@@ -15,7 +15,19 @@ TABLES = (
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table. A scan that yields fewer partitions than the session's
+    parallelism (one small file with one row group) is spread round-robin first, so the
+    row-wise work before the first shuffle uses every core; a large table's scan already has
+    many more partitions and is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def orders_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
