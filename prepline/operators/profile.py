@@ -571,8 +571,9 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
             n, sa, sb, qa, qb = F.col(f"pn{k}").cast("double"), F.col(f"pa{k}"), F.col(f"pb{k}"), F.col(f"paa{k}"), F.col(f"pbb{k}")
         cov = F.col(x) - sa * sb / n
         va, vb = qa - sa * sa / n, qb - sb * sb / n
-        r = F.when((va > 0) & (vb > 0) & (n > 1), cov / F.sqrt(va * vb))
-        exprs.append(F.struct(F.lit(ca).alias("col_a"), F.lit(cb).alias("col_b"), F.round(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), 6).alias("r")))
+        r = cov / F.sqrt(va * vb)
+        r = F.when((va > 0) & (vb > 0) & (n > 1), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))  # clamp only real values
+        exprs.append(F.struct(F.lit(ca).alias("col_a"), F.lit(cb).alias("col_b"), F.round(r, 6).alias("r")))
     return sums.select(F.explode(F.array(*exprs)).alias("p")).select("p.*")
 
 
