@@ -255,3 +255,15 @@ def t26(spark, sf):
 
 
 __all__ = ["rounded"]
+
+
+@register("t9_dbscan_orders", None)
+def t9(spark, sf):
+    """Orders as 2-D points: (total price / 10000, days since 1995-01-01 / 30)."""
+    from prepline.operators.density import dbscan
+
+    o = load(spark, sf, "orders").select(
+        "o_orderkey",
+        F.array(F.round(F.col("o_totalprice") / 10000, 1), F.round(F.datediff(F.col("o_orderdate"), F.lit("1995-01-01")) / 30.0, 1)).alias("v"),
+    )
+    return dbscan(o, "o_orderkey", "v", eps=0.5, min_samples=40)
