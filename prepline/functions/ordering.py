@@ -99,12 +99,14 @@ def affine_scan(
 ) -> DataFrame:
     """Run a per-series linear recurrence s_t = M s_(t-1) + v * y_t over a global order.
 
-    ``step(state, y) -> state`` must be affine in ``state`` (exponential smoothing is); it is
+    ``step(state tuple, y) -> state tuple`` must be affine in ``state`` (exponential smoothing is); it is
     applied inside tasks over range partitions (pandas, one pass). Each partition is first run
     from the zero state and from unit states, which gives the partition's affine map; the maps
     are chained per series over its partitions (at most one row per partition), and the
     chained entry state replays the partition exactly. ``init(first_rows) -> state`` gives the
-    state before the series' first row from its first two values.
+    state before the series' first row from its first two values. Output adds, per state
+    name, the state after the row and ``prior_<name>`` (the state before it), plus
+    ``is_first`` for the series' first row.
     """
     import numpy as np
     import pandas as pd
@@ -116,12 +118,13 @@ def affine_scan(
     key_schema = sorted_r.select(*keys).schema
 
     def run(ys, s0):
-        s = np.array(s0, dtype=float)
-        out = np.empty((len(ys), dim))
-        for i, y in enumerate(ys):
+        """States after each row (rows x dim); plain floats in the loop, one array at the end."""
+        s = tuple(float(v) for v in s0)
+        out = []
+        for y in ys.tolist():
             s = step(s, y)
-            out[i] = s
-        return out
+            out.append(s)
+        return np.array(out, dtype=float).reshape(len(out), dim)
 
     # pass 1: per (partition, key) affine map over its rows, plus its first two values
     def summarize(batches):
@@ -159,16 +162,22 @@ def affine_scan(
             entries.append([float(x) for x in s])
             mm = np.array(m, dtype=float).reshape(dim, dim).T
             s = mm @ s + np.array(b, dtype=float)
-        return pd.DataFrame({"_pid": pdf["_pid"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "_s0": entries})
+        first = np.zeros(len(pdf), dtype=bool)
+        first[0] = True  # the series starts in its lowest partition
+        return pd.DataFrame({"_pid": pdf["_pid"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "_s0": entries, "_first": first})
 
-    entry_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields)).add("_s0", T.ArrayType(T.DoubleType()))
+    entry_schema = (
+        T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields))
+        .add("_s0", T.ArrayType(T.DoubleType()))
+        .add("_first", T.BooleanType())
+    )
     entries = summary.groupBy(*keys).applyInPandas(chain, entry_schema)
 
     # pass 3: replay each partition from its exact entry state
     joined = sorted_r.join(entries, ["_pid", *keys]).sortWithinPartitions("_pid", *keys, order)
-    out_schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_s0",)])
+    out_schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_s0", "_first")]).add("is_first", T.BooleanType())
     for n in state_names:
-        out_schema = out_schema.add(n, T.DoubleType())
+        out_schema = out_schema.add(n, T.DoubleType()).add(f"prior_{n}", T.DoubleType())
 
     def replay(batches):
         frames = [b for b in batches if len(b)]
@@ -178,10 +187,16 @@ def affine_scan(
         parts = []
         for _, g in pdf.groupby(["_pid", *keys], sort=False):
             g = g.sort_values(order)
-            states = run(g[value].to_numpy(dtype=float), np.array(g["_s0"].iloc[0], dtype=float))
-            g = g.drop(columns=["_s0"])
+            s0 = np.array(g["_s0"].iloc[0], dtype=float)
+            states = run(g[value].to_numpy(dtype=float), s0)
+            prior = np.vstack([s0.reshape(1, dim), states[:-1]])
+            is_first = np.zeros(len(g), dtype=bool)
+            is_first[0] = bool(g["_first"].iloc[0])
+            g = g.drop(columns=["_s0", "_first"])
+            g["is_first"] = is_first
             for j, n in enumerate(state_names):
                 g[n] = states[:, j]
+                g[f"prior_{n}"] = prior[:, j]
             parts.append(g)
         yield pd.concat(parts, ignore_index=True)
 

@@ -159,35 +159,33 @@ def exponential_smoothing(df: DataFrame, ts: str, y: str, by: Sequence[str] = ()
     Returns (by..., ts, y, level[, trend], fitted) where fitted is the one-step-ahead
     forecast made before y_t. Runs as an affine scan (no series in one task).
     """
-    import numpy as np
-
     a = float(alpha)
     src = df.select(*by, ts, F.col(y).cast("double").alias(y))
     if beta is None:
 
         def step(s, v):
-            return np.array([a * v + (1 - a) * s[0]])
+            return (a * v + (1 - a) * s[0],)
 
         def init(first):
             return [first[0]]
 
         out = affine_scan(src, by, ts, y, step, init, ["level"])
-        prev = previous_values(out, by, ts, "level", 1, out="__prev")
-        return prev.select(*by, ts, y, "level", F.coalesce(_lag(1), F.col("level")).alias("fitted"))
+        # fitted = level before the row (the first row's prior is y_1 itself)
+        return out.select(*by, ts, y, "level", F.col("prior_level").alias("fitted"))
     b = float(beta)
 
     def step2(s, v):
         lvl = a * v + (1 - a) * (s[0] + s[1])
-        return np.array([lvl, b * (lvl - s[0]) + (1 - b) * s[1]])
+        return (lvl, b * (lvl - s[0]) + (1 - b) * s[1])
 
     def init2(first):
         y1 = first[0]
         y2 = first[1] if len(first) > 1 else first[0]
         return [2 * y1 - y2, y2 - y1]
 
-    out = affine_scan(src, by, ts, y, step2, init2, ["level", "trend"]).withColumn("__lt", F.col("level") + F.col("trend"))
-    prev = previous_values(out, by, ts, "__lt", 1, out="__prev")
-    return prev.select(*by, ts, y, "level", "trend", _lag(1).alias("fitted"))
+    out = affine_scan(src, by, ts, y, step2, init2, ["level", "trend"])
+    fitted = F.when(~F.col("is_first"), F.col("prior_level") + F.col("prior_trend"))
+    return out.select(*by, ts, y, "level", "trend", fitted.alias("fitted"))
 
 
 def smoothing_forecast(fitted: DataFrame, ts: str, by: Sequence[str] = (), horizon: int = 3) -> DataFrame:
