@@ -141,16 +141,22 @@ def smallest_k(
 ) -> DataFrame:
     """The k smallest rows per key, by ``order_cols`` ascending (nulls last), plus ``_rk``.
 
-    Each task streams its Arrow batches and keeps only its own k smallest per key, so the
-    final sort per key sees at most k x (number of partitions) rows, however large a group
-    is. Memory per task is one batch plus k rows per key.
+    Each task streams its Arrow batches and keeps only its own k smallest per key
+    (mapInArrow; nullable integers stay exact), so the final sort per key sees at most
+    k x (number of partitions) rows, however large a group is. Memory per task is one batch
+    plus k rows per key.
     """
+    import pyarrow as pa
+
     order_cols = list(order_cols)
     cols = [key, *order_cols, *[c for c in keep if c not in order_cols and c != key]]
     slim = df.select(*cols)
     schema = slim.schema
     sort_by = [key, *order_cols]
 
+    def to_pd(batch):
+        return batch.to_pandas(types_mapper=lambda t: pd.Int64Dtype() if pa.types.is_integer(t) else None)
+
     def trim(pdf: pd.DataFrame) -> pd.DataFrame:
         if distinct:
             pdf = pdf.drop_duplicates(subset=cols)
@@ -159,14 +165,17 @@ def smallest_k(
 
     def per_task(batches):
         kept = None
+        arrow_schema = None
         for b in batches:
-            if not len(b):
+            arrow_schema = b.schema
+            if not b.num_rows:
                 continue
-            kept = trim(b if kept is None else pd.concat([kept, b], ignore_index=True))
+            pdf = to_pd(b)
+            kept = trim(pdf if kept is None else pd.concat([kept, pdf], ignore_index=True))
         if kept is not None and len(kept):
-            yield kept
+            yield pa.RecordBatch.from_pandas(kept, schema=arrow_schema, preserve_index=False)
 
-    partial = slim.mapInPandas(per_task, schema)
+    partial = slim.mapInArrow(per_task, schema)
     if distinct:
         partial = partial.dropDuplicates(cols)
     win = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])

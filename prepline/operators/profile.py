@@ -123,23 +123,53 @@ def columns_with_missing(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- distinct-value table (A4, A5 median, A8)
 
 def distinct_values(df: DataFrame) -> DataFrame:
-    """(position, s, d, w): each distinct non-missing value of each scalar column.
+    """(position, l, d, s, w): each distinct non-missing value of each scalar column.
 
-    ``s`` is an injective string form (-0.0 folded into 0.0), ``d`` the double value for
-    numeric columns, ``w`` the multiplicity. One explode + a partially aggregated groupBy:
-    a hot value costs one shuffled row per task, not one per occurrence.
+    Integral columns are keyed by their exact ``l`` (bigint), floating columns by ``d``
+    (double, NaN dropped, -0.0 folded into 0.0), everything else by an injective string ``s``
+    (decimals also carry ``d`` for statistics). No number is formatted as text here; strings
+    are made later for the few sample values only. One explode + a partially aggregated
+    groupBy: a hot value costs one shuffled row per task, not one per occurrence.
     """
     elems = []
+    null_l, null_d, null_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     for i, f in enumerate(df.schema.fields):
         if is_complex(f.dataType):
             continue
         c = qcol(f.name)
-        d = as_double(c, f.dataType) if is_numeric(f.dataType) else F.lit(None).cast("double")
-        elems.append(F.struct(F.lit(i).alias("position"), canonical_string(c, f.dataType).alias("s"), d.alias("d")))
+        dt = f.dataType
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            l, d, s = c.cast("long"), null_d, null_s
+        elif is_fractional(dt):
+            v = as_double(c, dt)
+            l, d, s = null_l, F.when(v == 0, F.lit(0.0)).otherwise(v), null_s
+        elif is_numeric(dt):
+            l, d, s = null_l, as_double(c, dt), canonical_string(c, dt)
+        else:
+            l, d, s = null_l, null_d, canonical_string(c, dt)
+        elems.append(F.struct(F.lit(i).alias("position"), l.alias("l"), d.alias("d"), s.alias("s")))
     if not elems:
-        return _empty(df.sparkSession, "position int, s string, d double, w bigint")
-    exploded = df.select(F.explode(F.filter(F.array(*elems), lambda e: e["s"].isNotNull())).alias("e")).select("e.*")
-    return exploded.groupBy("position", "s").agg(F.any_value("d").alias("d"), F.count(F.lit(1)).alias("w"))
+        return _empty(df.sparkSession, "position int, l bigint, d double, s string, w bigint")
+    present = lambda e: e["l"].isNotNull() | e["d"].isNotNull() | e["s"].isNotNull()
+    exploded = df.select(F.explode(F.filter(F.array(*elems), present)).alias("e")).select("e.*")
+    return exploded.groupBy("position", "l", "d", "s").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _sample_text(df: DataFrame):
+    """String form of a distinct-value row, through the column's own type (5 rows per column)."""
+    out = F.col("s")
+    for i, f in enumerate(df.schema.fields):
+        dt = f.dataType
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            out = F.when(F.col("position") == i, F.col("l").cast(dt).cast("string")).otherwise(out)
+        elif is_fractional(dt):
+            out = F.when(F.col("position") == i, F.col("d").cast(dt).cast("string")).otherwise(out)
+    return out
+
+
+def _samples(df: DataFrame, vals: DataFrame, k: int) -> DataFrame:
+    top = smallest_k(vals, "position", ["l", "d", "s"], k)
+    return collect_sorted(top.withColumn("__txt", _sample_text(df)), "position", "_rk", "__txt", "sample_values", SAMPLE_SEP)
 
 
 def unique_values(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -174,7 +204,10 @@ def unique_values(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _medians(vals: DataFrame, max_distinct: int | None) -> DataFrame:
-    num = vals.where(F.col("d").isNotNull()).select("position", F.col("d").alias("v"), "w")
+    v = F.coalesce(F.col("d"), F.col("l").cast("double"))
+    # one of l / d is set per numeric column, so (position, v) is already distinct; repeated v
+    # would still be handled (ranks sum weights over equal values)
+    num = vals.where(v.isNotNull()).select("position", v.alias("v"), "w")
     q = exact_quantiles(num, ["position"], [0.5], max_distinct=max_distinct)
     return q.select("position", F.col("q").alias("median"))
 
@@ -232,8 +265,7 @@ def sample_values(df: DataFrame, k: int = SAMPLE_K, vals: DataFrame | None = Non
     cols = columns_table(df)
     if vals is None:
         vals = distinct_values(df)
-    top = smallest_k(vals, "position", ["d", "s"], k, keep=["s"])
-    joined = collect_sorted(top, "position", "_rk", "s", "sample_values", SAMPLE_SEP)
+    joined = _samples(df, vals, k)
     return cols.join(joined, "position", "left").select("position", "column_name", "sample_values")
 
 
@@ -277,7 +309,7 @@ def column_profile(df: DataFrame, exact: bool = True, k: int = SAMPLE_K) -> Data
             )
         else:
             med = _empty(spark, "position int, median double")
-    samples = collect_sorted(smallest_k(vals, "position", ["d", "s"], k, keep=["s"]), "position", "_rk", "s", "sample_values", SAMPLE_SEP)
+    samples = _samples(df, vals, k)
     scalar = [i for i, f in enumerate(df.schema.fields) if not is_complex(f.dataType)]
     numeric = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
     prof = (
