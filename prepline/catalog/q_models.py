@@ -267,3 +267,10 @@ def t9(spark, sf):
         F.array(F.round(F.col("o_totalprice") / 10000, 1), F.round(F.datediff(F.col("o_orderdate"), F.lit("1995-01-01")) / 30.0, 1)).alias("v"),
     )
     return dbscan(o, "o_orderkey", "v", eps=0.5, min_samples=40)
+
+
+@register("t22_label_propagation_documents", None)
+def t22(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "lang", "source")
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    return T.label_propagation(d.join(lab, "doc_id", "left"), "doc_id", "quality", ["lang", "source"], max_iter=10)

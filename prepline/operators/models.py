@@ -467,3 +467,38 @@ def load_model(path: str) -> PipelineModel:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["Window", "T"]
+
+
+# ------------------------------------------------------------------ T22 label propagation
+
+def label_propagation(
+    df: DataFrame, key: str, label: str, group_cols: Sequence[str], max_iter: int = 20, tol: float = 1e-6
+) -> DataFrame:
+    """Propagate a numeric label (e.g. 0/1) over the bipartite graph of rows and their
+    attribute values (row -- "column=value"). Each round: every value node takes the mean
+    score of its rows that have one; every unlabelled row takes the mean of its value nodes;
+    labelled rows stay clamped. Edges are memberships, never row pairs, and a value shared by
+    a third of all rows is one groupBy key with partial aggregation. Rounds are checkpointed;
+    stops when the largest change is below ``tol``. Returns (key, label, score, prediction)
+    with prediction = score rounded (ties up)."""
+    memb = df.select(
+        F.col(key).alias("__k"),
+        F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("<null>"))) for c in group_cols])).alias("__g"),
+    )
+    memb = cut_lineage(memb)
+    base = df.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"))
+    scores = cut_lineage(base.select("__k", "__y", F.col("__y").alias("__s")))
+    for _ in range(max_iter):
+        g = memb.join(scores.where(F.col("__s").isNotNull()).select("__k", "__s"), "__k").groupBy("__g").agg(F.avg("__s").alias("__gs"))
+        r = memb.join(g, "__g").groupBy("__k").agg(F.avg("__gs").alias("__new"))
+        nxt = scores.join(r, "__k", "left").select(
+            "__k", "__y", F.coalesce(F.col("__y"), F.col("__new"), F.col("__s")).alias("__s"), F.col("__s").alias("__old")
+        )
+        nxt = cut_lineage(nxt)
+        delta = nxt.agg(F.max(F.abs(F.coalesce(F.col("__s"), F.lit(0.0)) - F.coalesce(F.col("__old"), F.lit(0.0))))).first()[0] or 0.0
+        scores = nxt.drop("__old")
+        if delta < tol:
+            break
+    return scores.select(
+        F.col("__k").alias(key), F.col("__y").alias(label), F.col("__s").alias("score"), F.floor(F.col("__s") + 0.5).alias("prediction")
+    )

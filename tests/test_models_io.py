@@ -49,3 +49,24 @@ def test_format_dispatch():
     assert S.format_of("x.tsv", "json") == "csv"
     assert S.format_of("x.unknown", "auto") == "csv"
     assert S.format_of("x.unknown", "parquet") == "parquet"
+
+
+def test_label_propagation_brute_force(spark):
+    import numpy as np
+    import pandas as pd
+
+    rows = [(1, "a", "x", 1.0), (2, "a", "y", None), (3, "b", "y", 0.0), (4, "b", "z", None), (5, "c", "z", None), (6, "a", "x", 0.0)]
+    df = spark.createDataFrame(rows, "k long, g1 string, g2 string, y double")
+    got = {r["k"]: r["score"] for r in T.label_propagation(df, "k", "y", ["g1", "g2"], max_iter=50, tol=1e-12).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "g1", "g2", "y"])
+    s = pdf.y.copy()
+    for _ in range(50):
+        mem = pd.concat([pd.DataFrame({"k": pdf.k, "g": "g1=" + pdf.g1}), pd.DataFrame({"k": pdf.k, "g": "g2=" + pdf.g2})])
+        cur = pd.Series(s.values, index=pdf.k)
+        mem["s"] = mem.k.map(cur)
+        gs = mem.dropna().groupby("g").s.mean()
+        mem["gs"] = mem.g.map(gs)
+        new = mem.groupby("k").gs.mean()
+        s = pd.Series(np.where(pdf.y.notna(), pdf.y, pdf.k.map(new).fillna(pd.Series(s.values))), index=pdf.index)
+    for k, v in zip(pdf.k, s):
+        assert abs(got[k] - v) < 1e-9
