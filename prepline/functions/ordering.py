@@ -201,3 +201,24 @@ def affine_scan(
         yield pd.concat(parts, ignore_index=True)
 
     return joined.mapInPandas(replay, out_schema).drop("_pid")
+
+
+def last_non_null(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, out_order: str | None = None) -> DataFrame:
+    """Add ``out`` = the last non-null ``value`` at or before each row within ``keys`` by
+    ``order`` (and optionally ``out_order`` = that row's order value). Within a range
+    partition a window finds it; a row whose series had no value yet in this partition takes
+    the last non-null of the series from earlier partitions (a tail table with one row per
+    (partition, key)), so no task holds a whole series."""
+    keys = list(keys)
+    r = _ranged(df, keys, order)
+    w = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    known_o = F.when(F.col(value).isNotNull(), F.col(order))
+    inpart = r.withColumn("_lv", F.last(value, ignorenulls=True).over(w)).withColumn("_lo", F.last(known_o, ignorenulls=True).over(w))
+    tails = r.where(F.col(value).isNotNull()).groupBy("_pid", *keys).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(order).alias("o")), F.col(order)).alias("_t"))
+    w_key = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.withColumn("_c", F.last("_t", ignorenulls=True).over(w_key)).select("_pid", *keys, "_c")
+    j = inpart.join(carry, ["_pid", *keys], "left")
+    j = j.withColumn(out, F.coalesce(F.col("_lv"), F.col("_c.v")))
+    if out_order:
+        j = j.withColumn(out_order, F.coalesce(F.col("_lo"), F.col("_c.o")))
+    return j.drop("_pid", "_lv", "_lo", "_c")

@@ -97,23 +97,19 @@ def missing_indicator(df: DataFrame, columns: Sequence[str], suffix: str = "_mis
 
 def impute_time(df: DataFrame, ts: str, y: str, by: Sequence[str] = (), method: str = "ffill") -> DataFrame:
     """series imputation ordered by ``ts`` within ``by``. ffill = last non-null before;
-    linear = interpolate on epoch seconds between the previous and next non-null values."""
-    w_prev = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    prev_v = F.last(q(y), ignorenulls=True).over(w_prev)
+    linear = interpolate on epoch microseconds between the previous and next non-null values.
+    Uses partition-carried fills (no window holding a whole series)."""
+    from prepline.functions.ordering import last_non_null
+
     if method == "ffill":
-        return df.withColumn(y, prev_v)
-    w_next = Window.partitionBy(*by).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
+        return last_non_null(df, by, ts, y, "__f").withColumn(y, F.col("__f")).drop("__f")
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    known_t = F.when(q(y).isNotNull(), t)
-    out = (
-        df.withColumn("__pv", prev_v)
-        .withColumn("__pt", F.last(known_t, ignorenulls=True).over(w_prev))
-        .withColumn("__nv", F.first(q(y), ignorenulls=True).over(w_next))
-        .withColumn("__nt", F.first(known_t, ignorenulls=True).over(w_next))
-    )
-    interp = F.col("__pv") + (F.col("__nv") - F.col("__pv")) * F.try_divide(t - F.col("__pt"), F.col("__nt") - F.col("__pt"))
+    base = df.withColumn("__t", t).withColumn("__negt", -F.col("__t"))
+    prev = last_non_null(base, by, "__t", y, "__pv", "__pt")
+    nxt = last_non_null(prev, by, "__negt", y, "__nv", "__nnt").withColumn("__nt", -F.col("__nnt"))
+    interp = F.col("__pv") + (F.col("__nv") - F.col("__pv")) * F.try_divide(F.col("__t") - F.col("__pt"), F.col("__nt") - F.col("__pt"))
     filled = F.when(q(y).isNotNull(), q(y)).when(F.col("__nt") == F.col("__pt"), F.col("__pv")).otherwise(interp)
-    return out.withColumn(y, filled).drop("__pv", "__pt", "__nv", "__nt")
+    return nxt.withColumn(y, filled).drop("__t", "__negt", "__pv", "__pt", "__nv", "__nnt", "__nt")
 
 
 # ------------------------------------------------------------------ F6, F7, F8 scaling

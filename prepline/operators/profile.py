@@ -485,8 +485,8 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     c = qcol(target)
     base = df.where(~missing(c, f.dataType)).select(canonical_string(c, f.dataType).alias("class_value"))
     counts = base.groupBy("class_value").agg(F.count(F.lit(1)).alias("n"))
-    win = Window.partitionBy()  # over the per-class table only: one row per class
-    return counts.select("class_value", "n", F.round(F.col("n") / F.sum("n").over(win), 6).alias("share"))
+    total = counts.agg(F.sum("n").alias("__tot"))  # one row, attached (no single-partition window)
+    return attach_one_row(counts, total).select("class_value", "n", F.round(F.col("n") / F.col("__tot"), 6).alias("share"))
 
 
 def target_analysis(df: DataFrame, target: str, problem_type: str | None = None) -> DataFrame:

@@ -69,8 +69,17 @@ def resample(df: DataFrame, ts: str, y: str, unit: str = "day", agg: str = "sum"
     if not fill_gaps:
         return grid
     bounds = grid.groupBy(*by).agg(F.min("ts").alias("__lo"), F.max("ts").alias("__hi"))
+    # calendar in two levels so no row holds more than CHUNK buckets: chunk starts, then
+    # the buckets of each chunk (a series of a billion buckets is 250k rows of <= 4096)
+    chunk = 4096
     step = F.expr(f"INTERVAL 1 {unit.upper()}")
-    cal = bounds.select(*by, F.explode(F.sequence("__lo", "__hi", step)).alias("ts"))
+    big = F.expr(f"INTERVAL {chunk} {unit.upper()}") if unit in ("second", "minute", "hour", "day", "week") else None
+    if big is None:  # month / quarter / year: few buckets per series
+        cal = bounds.select(*by, F.explode(F.sequence("__lo", "__hi", step)).alias("ts"))
+    else:
+        starts = bounds.select(*by, "__hi", F.explode(F.sequence("__lo", "__hi", big)).alias("__s"))
+        ends = F.least(F.col("__hi"), F.col("__s") + F.expr(f"INTERVAL {chunk - 1} {unit.upper()}"))
+        cal = starts.select(*by, F.explode(F.sequence("__s", ends, step)).alias("ts"))
     return cal.join(grid, [*by, "ts"], "left")
 
 

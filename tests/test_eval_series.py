@@ -105,3 +105,20 @@ def test_smoothing_scan_matches_loop_with_hot_series(spark):
         mine = got[got.k == k].sort_values("t")
         assert np.allclose(mine.level.to_numpy(), [e[0] for e in exp], rtol=1e-9, atol=1e-9)
         assert np.allclose(mine.trend.to_numpy(), [e[1] for e in exp], rtol=1e-9, atol=1e-9)
+
+
+def test_last_non_null_hot_key_matches_pandas_ffill(spark):
+    from prepline.functions.ordering import last_non_null
+
+    rng = np.random.default_rng(9)
+    n = 4000
+    k = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 30, n))
+    v = np.where(rng.random(n) < 0.7, np.nan, rng.normal(size=n))
+    pdf = pd.DataFrame({"k": k, "t": np.arange(n), "v": v})
+    sdf = spark.createDataFrame(pdf.astype({"v": "float64"})).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = last_non_null(sdf.repartition(5), ["k"], "t", "v", "f").toPandas().set_index("t").sort_index()
+    exp = pdf.sort_values("t").groupby("k")["v"].ffill()
+    exp.index = pdf.sort_values("t").t
+    for t, e in exp.items():
+        g = got.loc[t, "f"]
+        assert (pd.isna(g) and pd.isna(e)) or abs(g - e) < 1e-12
