@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from prepline.catalog import register
@@ -169,5 +167,3 @@ def v7(spark, sf):
     _, proj, _ = T.pca(wide, [f"e{i}" for i in range(n)], ["vec_id", "label"], k=2)
     return proj.select("vec_id", F.col("label").alias("cluster"), F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))
 
-
-__all__ = ["os"]

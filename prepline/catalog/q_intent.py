@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from prepline.catalog import register
 from prepline.catalog.sqlgen import contains_any, lit, meta_values, role_sql
 from prepline.operators import intent as M
@@ -186,5 +184,3 @@ def m5(spark, sf):
     facts = R.data_facts(light_profile(load(spark, sf, "orders")))
     return M.recommend_models(req, facts)
 
-
-__all__ = ["classify_sql", "F"]

@@ -254,8 +254,6 @@ def t26(spark, sf):
     return model.transform(unlabelled.withColumns({c: F.col(c).cast("double") for c in DOC_FEATURES})).select("doc_id", "prediction")
 
 
-__all__ = ["rounded"]
-
 
 @register("t9_dbscan_orders", None)
 def t9(spark, sf):

@@ -119,9 +119,6 @@ def lehmer_sql(key: str) -> str:
     return f"((({key}) % {LEHMER_MOD}) * {LEHMER_MUL}) % {LEHMER_MOD}"
 
 
-def r6(c: Column, places: int = 6) -> Column:
-    return F.round(c, places)
-
 
 def attach_one_row(df, one_row):
     """Append the columns of a single-row aggregate to every row of ``df``.

@@ -24,7 +24,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prepline.session import cut_lineage
 
@@ -192,4 +191,4 @@ def collect_sorted(df: DataFrame, key: str, rank: str, value: str, out: str, sep
     )
 
 
-__all__ = ["weighted_values", "exact_quantiles", "quantiles_wide", "smallest_k", "collect_sorted", "T"]
+__all__ = ["weighted_values", "exact_quantiles", "quantiles_wide", "smallest_k", "collect_sorted"]

@@ -466,7 +466,6 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["Window", "T"]
 
 
 # ------------------------------------------------------------------ T22 label propagation
