@@ -194,11 +194,15 @@ def encode_frequency(df: DataFrame, column: str, out: str | None = None) -> Data
     return df.join(freq, q(column).eqNullSafe(F.col("__lvl")), "left").drop("__lvl")
 
 
-def encode_one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
-    """one 0/1 column per level, none dropped. Levels are listed first (a distinct
-    query, schema-sized by definition: one output column each)."""
+def encode_one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, prefix: str | None = None, max_levels: int = 1000) -> DataFrame:
+    """one 0/1 column per level, none dropped. The levels become column names, so they
+    are listed first -- at most ``max_levels`` + 1 are fetched, and more levels than that is an
+    error (use ordinal, frequency or target encoding for high-cardinality columns)."""
     if levels is None:
-        levels = [r[0] for r in df.where(q(column).isNotNull()).select(q(column)).distinct().orderBy(q(column)).collect()]
+        got = [r[0] for r in df.where(q(column).isNotNull()).select(q(column)).distinct().orderBy(q(column)).limit(max_levels + 1).collect()]
+        if len(got) > max_levels:
+            raise ValueError(f"{column} has more than {max_levels} levels; one-hot would create that many columns")
+        levels = got
     pre = prefix or column
     return df.select("*", *[(q(column) == F.lit(lv)).cast("int").alias(f"{pre}_{lv}") for lv in levels])
 
