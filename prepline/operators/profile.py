@@ -370,7 +370,7 @@ def _numeric_long(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[
     return long, cols
 
 
-def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None) -> DataFrame:
+def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, weighted: DataFrame | None = None) -> DataFrame:
     """(position, column_name, lower, upper, center, scale) per numeric column.
 
     iqr: Q1 - 1.5 IQR, Q3 + 1.5 IQR. zscore: mean -+ 3 sample std. modified_z: median -+
@@ -381,7 +381,8 @@ def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         b = long.groupBy("position").agg(F.avg("v").alias("center"), F.stddev_samp("v").alias("scale"))
         b = b.select("position", "center", "scale", (F.col("center") - 3 * F.col("scale")).alias("lower"), (F.col("center") + 3 * F.col("scale")).alias("upper"))
     else:
-        weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w"))
+        if weighted is None:
+            weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w"))
         if method == "iqr":
             q = quantiles_wide(exact_quantiles(weighted, ["position"], [0.25, 0.75]), ["position"], [0.25, 0.75], ["q1", "q3"])
             iqr = F.col("q3") - F.col("q1")
@@ -421,21 +422,37 @@ def outlier_flags(df: DataFrame, method: str = "iqr", columns: Sequence[str] | N
 
 
 def outlier_counts(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None) -> DataFrame:
-    """(position, column_name, method, n_outliers, lower, upper). The bounds table has one
-    row per column, so broadcasting it is safe at any data size."""
+    """(position, column_name, method, n_outliers, lower, upper).
+
+    iqr / modified_z: one explode builds the weighted distinct-value table (position, v, w);
+    it feeds both the exact quantiles and the count (sum of w outside the bounds), so the
+    table is scanned once. zscore: moments and the count over the long form. The bounds
+    table has one row per column, so broadcasting it is safe at any data size. Eager: the
+    result (one row per column) is checkpointed and the cached table released."""
+    from pyspark import StorageLevel
+
+    from prepline.session import cut_lineage
+
     long, _ = _numeric_long(df, columns)
-    bounds = outlier_bounds(df, method, columns)
-    if method == "modified_z":
-        # modified z = 0.6745 (x - median) / MAD  > 3.5
-        test = F.abs(F.lit(0.6745) * (F.col("v") - F.col("center")) / F.col("scale")) > 3.5
-    elif method == "zscore":
+    if method == "zscore":
+        bounds = outlier_bounds(df, method, columns)
         test = F.abs((F.col("v") - F.col("center")) / F.col("scale")) > 3
+        counts = long.join(F.broadcast(bounds.select("position", "center", "scale")), "position").groupBy("position").agg(
+            F.count_if(F.coalesce(test, F.lit(False))).alias("n_outliers")
+        )
+        weighted = None
     else:
-        test = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
-    counts = long.join(F.broadcast(bounds.select("position", "center", "scale", "lower", "upper")), "position").groupBy("position").agg(
-        F.count_if(F.coalesce(test, F.lit(False))).alias("n_outliers")
-    )
-    return bounds.join(counts, "position", "left").select(
+        weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        bounds = outlier_bounds(df, method, columns, weighted=weighted)
+        if method == "modified_z":
+            # modified z = 0.6745 (x - median) / MAD  > 3.5
+            test = F.abs(F.lit(0.6745) * (F.col("v") - F.col("center")) / F.col("scale")) > 3.5
+        else:
+            test = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
+        counts = weighted.join(F.broadcast(bounds.select("position", "center", "scale", "lower", "upper")), "position").groupBy("position").agg(
+            F.sum(F.when(F.coalesce(test, F.lit(False)), F.col("w")).otherwise(0)).alias("n_outliers")
+        )
+    out = bounds.join(counts, "position", "left").select(
         "position",
         "column_name",
         F.lit(method).alias("method"),
@@ -443,6 +460,10 @@ def outlier_counts(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         F.round("lower", 6).alias("lower"),
         F.round("upper", 6).alias("upper"),
     )
+    out = cut_lineage(out)
+    if weighted is not None:
+        weighted.unpersist()
+    return out
 
 
 # ---------------------------------------------------------------- A12 type consistency
