@@ -32,7 +32,8 @@ def _dbl(df: DataFrame, c: str):
 
 def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(position, v, w) distinct non-missing values with counts, for exact quantiles."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), _dbl(df, c).alias("v")) for i, c in enumerate(columns)])).alias("e")).select("e.*")
+    args = [x for i, c in enumerate(columns) for x in (F.lit(i), _dbl(df, c))]
+    long = df.select(F.stack(F.lit(len(columns)), *args).alias("position", "v"))
     return long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w"))
 
 

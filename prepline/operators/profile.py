@@ -146,12 +146,16 @@ def distinct_values(df: DataFrame) -> DataFrame:
             l, d, s = null_l, as_double(c, dt), canonical_string(c, dt)
         else:
             l, d, s = null_l, null_d, canonical_string(c, dt)
-        elems.append(F.struct(F.lit(i).alias("position"), l.alias("l"), d.alias("d"), s.alias("s")))
+        elems.append({"position": F.lit(i), "l": l, "d": d, "s": s})
     if not elems:
         return _empty(df.sparkSession, "position int, l bigint, d double, s string, w bigint")
-    present = lambda e: e["l"].isNotNull() | e["d"].isNotNull() | e["s"].isNotNull()
-    exploded = df.select(F.explode(F.filter(F.array(*elems), present)).alias("e")).select("e.*")
-    return exploded.groupBy("position", "l", "d", "s").agg(F.count(F.lit(1)).alias("w"))
+    # stack (a codegen'd generator) instead of explode(array(struct)): no per-row array
+    args = []
+    for e in elems:
+        args += [e["position"], e["l"], e["d"], e["s"]]
+    stacked = df.select(F.stack(F.lit(len(elems)), *args).alias("position", "l", "d", "s"))
+    present = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    return stacked.where(present).groupBy("position", "l", "d", "s").agg(F.count(F.lit(1)).alias("w"))
 
 
 def _sample_text(df: DataFrame):
@@ -362,11 +366,12 @@ OUTLIER_METHODS = ("iqr", "zscore", "modified_z")
 
 
 def _numeric_long(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(position, v) for every numeric cell (v NULL for missing) via ``stack`` (a codegen'd
+    generator: no per-row array is built)."""
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType) and (columns is None or f.name in columns)]
     cols = columns_table(df).where(F.col("position").isin([i for i, _ in fields]))
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("position"), as_double(qcol(f.name), f.dataType).alias("v")) for i, f in fields])).alias("e")
-    ).select("e.*")
+    args = [x for i, f in fields for x in (F.lit(i), as_double(qcol(f.name), f.dataType))]
+    long = df.select(F.stack(F.lit(len(fields)), *args).alias("position", "v"))
     return long, cols
 
 
