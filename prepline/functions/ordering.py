@@ -214,7 +214,10 @@ def last_non_null(df: DataFrame, keys: Sequence[str], order: str, value: str, ou
     w = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known_o = F.when(F.col(value).isNotNull(), F.col(order))
     inpart = r.withColumn("_lv", F.last(value, ignorenulls=True).over(w)).withColumn("_lo", F.last(known_o, ignorenulls=True).over(w))
-    tails = r.where(F.col(value).isNotNull()).groupBy("_pid", *keys).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(order).alias("o")), F.col(order)).alias("_t"))
+    # one row per (partition, key) present -- also where all its values are NULL, so a carry
+    # can pass through such a partition -- holding its last non-null (value, order) if any
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(order).alias("o")))
+    tails = r.groupBy("_pid", *keys).agg(F.max_by(known, F.when(F.col(value).isNotNull(), F.col(order))).alias("_t"))
     w_key = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.withColumn("_c", F.last("_t", ignorenulls=True).over(w_key)).select("_pid", *keys, "_c")
     j = inpart.join(carry, ["_pid", *keys], "left")
