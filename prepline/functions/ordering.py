@@ -63,7 +63,8 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: str, value: str,
     keys = list(keys)
     r = _ranged(df, keys, order)
     w = Window.partitionBy("_pid", *keys).orderBy(order)
-    inpart = r.withColumn("_in", F.collect_list(value).over(w.rowsBetween(-k, -1)))
+    # collect structs, not values: collect_list skips NULLs, which would shift the lags
+    inpart = r.withColumn("_in", F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-k, -1)), lambda e: e["v"]))
     w_desc = Window.partitionBy("_pid", *keys).orderBy(F.col(order).desc())
     tails = (
         r.withColumn("_rd", F.row_number().over(w_desc))

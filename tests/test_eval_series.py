@@ -73,15 +73,17 @@ def test_exact_quantiles_with_refinement(spark):
 def test_previous_values_hot_key(spark):
     n = 3000
     pdf = pd.DataFrame({"k": np.where(np.arange(n) % 3 == 0, 1, np.arange(n) % 17), "t": np.arange(n), "v": np.arange(n) * 1.0})
-    df = spark.createDataFrame(pdf).repartition(7)
+    pdf.loc[pdf.t % 11 == 0, "v"] = np.nan  # NULL values keep their place among the lags
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(7)
     got = previous_values(df, ["k"], "t", "v", 3, out="prev").toPandas().sort_values("t")
     pdf = pdf.sort_values(["k", "t"])
     for lag in (1, 2, 3):
         pdf[f"l{lag}"] = pdf.groupby("k")["v"].shift(lag)
     pdf = pdf.sort_values("t")
     for (_, g), (_, e) in zip(got.iterrows(), pdf.iterrows()):
-        prev = list(g["prev"])
-        exp = [e[f"l{j}"] for j in (3, 2, 1) if not math.isnan(e[f"l{j}"])]
+        prev = [None if (x is None or (isinstance(x, float) and math.isnan(x))) else x for x in g["prev"]]
+        have = pdf[(pdf.k == e["k"]) & (pdf.t < e["t"])].shape[0]  # rows before this one in its series
+        exp = [None if math.isnan(e[f"l{j}"]) else e[f"l{j}"] for j in (3, 2, 1)][3 - min(3, have):]
         assert prev == exp
 
 
