@@ -113,3 +113,20 @@ def test_pairwise_complete(spark, method):
     for (a, b), v in got.items():
         assert math.isclose(v, exp.loc[a, b], abs_tol=1e-6)
     assert F is not None
+
+
+def test_approximate_profile_close_to_exact(spark):
+    from prepline.sources.tables import load
+
+    li = load(spark, "/root/testdata/sf0.001", "lineitem")
+    exact = by_name(P.column_profile(li))
+    approx = by_name(P.column_profile(li, exact=False))
+    for name, e in exact.items():
+        a = approx[name]
+        assert a["n_missing"] == e["n_missing"] and a["sample_values"] == e["sample_values"]
+        if e["median"] is not None:
+            lo, hi = e["min"], e["max"]
+            assert lo <= a["median"] <= hi
+    au = by_name(P.unique_values(li, exact=False))
+    for name, e in exact.items():
+        assert abs(au[name]["unique_values"] - e["unique_values"]) <= max(2, 0.05 * e["unique_values"])
