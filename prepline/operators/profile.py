@@ -289,9 +289,10 @@ def column_profile(df: DataFrame, exact: bool = True, k: int = SAMPLE_K) -> Data
     """One row per column -- A1 + A4 + A5 + A6 + A8 + R4.
 
     Plan: (1) one wide aggregate for missing counts and moments; (2) one distinct-value
-    table (explode + partial aggregate), persisted because three consumers read it
+    table (stack + partial aggregate), persisted because three consumers read it
     (distinct counts, exact medians, samples). Everything joined afterwards has one row per
-    column, so those joins are broadcast-sized by construction.
+    column, so those joins are broadcast-sized by construction. Eager: the result is
+    checkpointed and the cache released.
     """
     spark = df.sparkSession
     if not df.columns:
@@ -324,7 +325,7 @@ def column_profile(df: DataFrame, exact: bool = True, k: int = SAMPLE_K) -> Data
     uv = F.when(F.col("position").isin(scalar), F.coalesce(F.col("unique_values"), F.lit(0))).cast("long")
     ratio = F.try_divide(uv.cast("double"), F.col("n_rows").cast("double"))
     is_num = F.col("position").isin(numeric)
-    return prof.select(
+    out = prof.select(
         "position",
         "column_name",
         "dtype",
@@ -341,6 +342,13 @@ def column_profile(df: DataFrame, exact: bool = True, k: int = SAMPLE_K) -> Data
         F.when(is_num, F.col("max")).alias("max"),
         F.when(is_num, F.col("median")).alias("median"),
     )
+    # one row per column: materialise it to reliable storage and release the cached
+    # distinct-value table, so every consumer of the profile reads this small table
+    from prepline.session import cut_lineage
+
+    out = cut_lineage(out)
+    vals.unpersist()
+    return out
 
 
 # ---------------------------------------------------------------- A7

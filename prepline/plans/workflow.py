@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepline.operators import features as FE
+from prepline.session import cut_lineage
 from prepline.operators.rules import name_type_expr, role_expr
 
 # ---- fixed values: step order ----
@@ -129,7 +130,7 @@ def end_to_end(
     feats = recommend_features(profile.where(F.col("column_name") != target), problem)
     kept = [r["column_name"] for r in feats.where("decision = 'keep'").select("column_name").collect()]
     models = M.recommend_models(cls.select("problem_type"), data_facts(profile))
-    steps = plan(profile.where(F.col("column_name").isin(kept)), problem)
+    steps = cut_lineage(plan(profile.where(F.col("column_name").isin(kept)), problem))  # a few rows
     prepared = execute_plan(df.select(key, target, *kept), steps, key)
     numeric = [f.name for f in prepared.schema.fields if f.name not in (key, target, "split") and f.dataType.typeName() in ("double", "integer", "long", "float", "boolean", "short", "byte")]
     prepared = prepared.withColumns({c: F.col(c).cast("double") for c in numeric})
@@ -138,7 +139,7 @@ def end_to_end(
     test_df = prepared.where(F.col("split") == "test")
     model, _, run = T.train(first_model, train_df, numeric, target, [key])
     pred = model.transform(test_df).select(key, F.col(target).alias("label"), "prediction")
-    metrics = E.evaluate(pred, problem)
+    metrics = cut_lineage(E.evaluate(pred, problem))  # a few rows, read by export and report
     manifest = export_package(out_root, {"plan": steps, "metrics": metrics, "models": models, "profile": profile.drop("sample_values")}, model)
     report = E.model_report(run.withColumn("problem_type", F.lit(problem)), metrics)
     return report.withColumn("n_exported", F.lit(manifest.count()))
