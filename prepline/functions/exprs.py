@@ -127,3 +127,17 @@ def attach_one_row(df, one_row):
     side has a proven size of one row and the output has as many rows as ``df``.
     """
     return df.join(F.broadcast(one_row), how="inner")
+
+
+def epoch_micros(c: Column, dt: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a time value, independent of the session time
+    zone for wall-clock types: a timestamp_ntz (or date) is read as the UTC wall clock it
+    shows, from its parts; a TIMESTAMP is an instant already."""
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dt, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long") * F.lit(86_400_000_000)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.hour(c) * 3600 + F.minute(c) * 60
+    micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")  # seconds with fraction
+    return days * F.lit(86_400_000_000) + secs.cast("long") * F.lit(1_000_000) + micros

@@ -83,7 +83,9 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: str, value: str,
 def next_values(df: DataFrame, keys: Sequence[str], order: str, value: str, k: int, out: str = "next") -> DataFrame:
     """Like :func:`previous_values` but the following k values (nearest first)."""
     dt = df.schema[order].dataType
-    key = F.unix_micros(F.col(order).cast("timestamp")) if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order)
+    from prepline.functions.exprs import epoch_micros
+
+    key = epoch_micros(F.col(order), dt) if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order)
     neg = df.withColumn("_neg_order", -key.cast("double"))
     res = previous_values(neg, keys, "_neg_order", value, k, out="_nx")
     return res.withColumn(out, F.reverse("_nx")).drop("_nx", "_neg_order")

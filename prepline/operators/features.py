@@ -104,7 +104,9 @@ def impute_time(df: DataFrame, ts: str, y: str, by: Sequence[str] = (), method:
 
     if method == "ffill":
         return last_non_null(df, by, ts, y, "__f").withColumn(y, F.col("__f")).drop("__f")
-    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    from prepline.functions.exprs import epoch_micros
+
+    t = epoch_micros(F.col(ts), df.schema[ts].dataType).cast("double")
     base = df.withColumn("__t", t).withColumn("__negt", -F.col("__t"))
     prev = last_non_null(base, by, "__t", y, "__pv", "__pt")
     nxt = last_non_null(prev, by, "__negt", y, "__nv", "__nnt").withColumn("__nt", -F.col("__nnt"))

@@ -21,8 +21,13 @@ DF_CRITICAL_5PCT = -2.86  # Dickey-Fuller, constant, large sample
 # ---- end of fixed values ----
 
 
-def _epoch(c):
-    return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+def _epoch(c, dt=None):
+    """Epoch seconds; wall-clock timestamps are read in UTC whatever the session zone."""
+    from pyspark.sql import types as T
+
+    from prepline.functions.exprs import epoch_micros
+
+    return epoch_micros(c, dt or T.TimestampNTZType()).cast("double") / 1e6
 
 
 def _with_lags(df: DataFrame, ts: str, y: str, by: Sequence[str], k: int) -> DataFrame:
@@ -39,7 +44,7 @@ def _lag(j: int):
 def infer_frequency(df: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
     """Modal gap in seconds between consecutive timestamps (ties to the smallest), the
     share of gaps at the mode, regular when that share is 1."""
-    t = df.select(*by, _epoch(F.col(ts)).alias("__t"))
+    t = df.select(*by, _epoch(F.col(ts), df.schema[ts].dataType).alias("__t"))
     lagged = previous_values(t, by, "__t", "__t", 1, out="__prev")
     gaps = lagged.where(F.size("__prev") == 1).select(*by, (F.col("__t") - F.element_at("__prev", -1)).alias("gap"))
     counts = gaps.groupBy(*by, "gap").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +92,7 @@ def resample(df: DataFrame, ts: str, y: str, unit: str = "day", agg: str = "sum"
 
 def trend(df: DataFrame, ts: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope of y on time (per day), intercept at epoch 0, and r^2."""
-    t = _epoch(F.col(ts)) / 86400.0
+    t = _epoch(F.col(ts), df.schema[ts].dataType) / 86400.0
     yy = F.col(y).cast("double")
     return df.groupBy(*by).agg(
         F.regr_slope(yy, t).alias("slope_per_day"),

@@ -83,7 +83,8 @@ def orders_text_dates_sql(mixed: bool = False) -> str:
 def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders summed by day: (ts, y); gaps stay gaps."""
     o = load(spark, sf_dir, "orders")
-    return o.groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("y"))
+    # date_trunc returns a zoned TIMESTAMP; back to the wall clock (timestamp_ntz)
+    return o.groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.sum("o_totalprice").alias("y"))
 
 
 DAILY_REVENUE_SQL = "(SELECT date_trunc('day', o_orderdate) AS ts, sum(o_totalprice) AS y FROM orders GROUP BY 1)"

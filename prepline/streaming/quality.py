@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepline.functions.exprs import attach_one_row
 
@@ -49,8 +50,12 @@ def stream_quality(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
-    # watermarks need TIMESTAMP (not timestamp_ntz); the session zone is UTC in our sessions
-    stream = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    # watermarks need TIMESTAMP (not timestamp_ntz): the wall clock is read as UTC, whatever
+    # the session zone, so daily windows start at wall-clock midnight
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    if isinstance(schema[ts].dataType, T.TimestampNTZType):
+        stream = stream.withColumn(ts, F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts)).cast("timestamp"))
+    stream = stream.withWatermark(ts, watermark)
     agg = window_quality_agg(stream, ts, value, window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -62,10 +67,12 @@ def stream_quality(
 
 
 def final_windows(updates: DataFrame) -> DataFrame:
+    """Latest version of every window; window bounds back to UTC wall clock (timestamp_ntz)."""
+    tz = updates.sparkSession.conf.get("spark.sql.session.timeZone")
     latest = updates.groupBy("w").agg(F.max_by(F.struct("n_rows", "n_missing", "mean", "min", "max"), F.col("batch_id")).alias("s"))
     return latest.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("w.start").cast("timestamp_ntz")).alias("window_start"),
+        F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("w.end").cast("timestamp_ntz")).alias("window_end"),
         "s.n_rows",
         "s.n_missing",
         "s.mean",
