@@ -9,8 +9,8 @@ keyed by line length, segment number and content, are an index, and each line pr
 the substrings that can match (itself or a longer line, multi-match-aware places only), all
 as hashed keys. A candidate survives if the counts of ``LETTERS`` differ by no more than 2 tau
 edits can make them differ, which the join tests itself; then the lines' texts are fetched
-and verified by banded bit-parallel edit distance (a band of 2 tau + 1 bits slides along the
-diagonal, one step per character). A line with any verified earlier neighbour goes.
+and, without their common start and end, verified by banded bit-parallel edit distance (a
+band of 2 tau + 1 bits slides along the diagonal, one step per character). A line with any verified earlier neighbour goes.
 
 Lines are compared without white space at their ends; lines shorter than ``min_chars`` then
 are left alone, as are the line breaks of what stays. Texts are never shuffled before
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepline.llm.common import HEAVY_SHARE, cut, keyed_join
+from prepline.llm.common import HEAVY_SHARE, ceil_div, cut, keyed_join
 
 TAU = 2
 MIN_CHARS = 10
@@ -36,6 +36,7 @@ NEAR_CHARS = 24
 LETTERS = "etaoinsr"
 #: candidate lines up to this many are fetched through a broadcast of their hashes
 BROADCAST_LINES = 200_000
+PAIRS_PER_TASK = 2_000
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -134,6 +135,11 @@ def edits(p: Column, t: Column, n: Column, m: Column, tau: int) -> Column:
         )
 
     def column(s: Column, j: Column) -> Column:
+        # the last corrections lower the score by n - m at most: beyond that it is decided
+        done = F.struct(s.up.alias("up"), s.down.alias("down"), s.score.alias("score"))
+        return F.when(s.score > tau + n - m, done).otherwise(live(s, j))
+
+    def live(s: Column, j: Column) -> Column:
         # a struct in an array of one, so that what is used twice is computed once
         first = F.transform(F.array(step(s, j)), lambda v: F.struct(v.up.alias("up"), v.down.alias("down"), v.score.alias("score"), d0(v).alias("d0")))
         return F.get(F.transform(first, turn), F.lit(0))
@@ -151,6 +157,27 @@ def edits(p: Column, t: Column, n: Column, m: Column, tau: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, column, finish)
 
 
+def common_start(a: Column, b: Column, shorter: Column) -> Column:
+    """How many characters a and b have in common at their start (``shorter``: the least length)."""
+    powers = F.reverse(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(shorter, F.lit(1)))).cast("int"))))
+
+    def more(done: Column, k: Column) -> Column:
+        w = F.pow(F.lit(2), k).cast("int")
+        return F.when((done + w <= shorter) & (F.substring(a, done + 1, w) == F.substring(b, done + 1, w)), done + w).otherwise(done)
+
+    return F.aggregate(powers, F.lit(0), more)
+
+
+def cores(pairs: DataFrame) -> DataFrame:
+    """pairs (p, t, p no longer than t, not equal) without their common start and end, which do not
+    change the edit distance: p, t, m, n."""
+    d = pairs.withColumn("m", F.length("p")).withColumn("cut", common_start(F.col("p"), F.col("t"), F.col("m")))
+    d = cut(d.withColumns({c: F.reverse(F.substring(c, F.col("cut") + 1, F.length(c))) for c in ("p", "t")}).withColumn("m", F.length("p")))
+    d = d.withColumn("cut", common_start(F.col("p"), F.col("t"), F.col("m")))
+    d = d.withColumns({c: F.reverse(F.substring(c, F.col("cut") + 1, F.length(c))) for c in ("p", "t")})
+    return d.withColumns({"m": F.length("p"), "n": F.length("t")}).drop("cut")
+
+
 def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     """The keys of distinct lines that have an earlier line within tau edits."""
     side = lambda keys, tag: distinct.where(F.col("info.index").isNotNull()).select(
@@ -167,9 +194,11 @@ def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     texts = cut(texts.select("id", "first", F.struct("norm", "first").alias("line")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x.norm") <= F.length("y.norm")
-    both = both.select("x", "y", F.when(swap, F.col("x.norm")).otherwise(F.col("y.norm")).alias("p"), F.when(swap, F.col("y.norm")).otherwise(F.col("x.norm")).alias("t"))
-    both = both.withColumns({"m": F.length("p"), "n": F.length("t")}).where((F.col("n") - F.col("m") <= tau) & (F.col("p") != F.col("t")))
-    chars = both.repartition("x", "y").select("x", "y", "m", "n", F.split("p", "").alias("ps"), F.split("t", "").alias("ts"))
+    both = both.select("a", "b", "x", "y", F.when(swap, F.col("x.norm")).otherwise(F.col("y.norm")).alias("p"), F.when(swap, F.col("y.norm")).otherwise(F.col("x.norm")).alias("t"))
+    # verification is work of the processor, not of volume: dealt out by the number of pairs
+    both = both.repartition(ceil_div(pairs.count(), PAIRS_PER_TASK) + 1, "a", "b").drop("a", "b")
+    both = cores(both.where((F.length("t") - F.length("p") <= tau) & (F.col("p") != F.col("t"))))
+    chars = cut(both.select("x", "y", "m", "n", F.split("p", "").alias("ps"), F.split("t", "").alias("ts")))
     close = chars.where(edits(F.col("ps"), F.col("ts"), F.col("n"), F.col("m"), tau) <= tau)
     later = F.when(F.col("x.first") > F.col("y.first"), F.col("x.norm")).otherwise(F.col("y.norm"))
     return close.select(line_key(later).alias("key")).distinct()
