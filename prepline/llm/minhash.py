@@ -107,15 +107,15 @@ def signature(shingles: np.ndarray, probes: np.ndarray) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(-1, BAND)
+def band_keys(sig: np.ndarray, band: int = BAND) -> np.ndarray:
+    rows = sig[: BINS // band * band].reshape(-1, band)
     key = np.arange(len(rows), dtype=np.uint64)
-    for k in range(BAND):
+    for k in range(band):
         key = _mix(key * _U(0x9E3779B97F4A7C15) + rows[:, k])
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, band: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, set_key (128 bits of the set, null if empty),
     bands (keys), bits (the lowest byte of each bin's hash)."""
 
@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     s = shingles(t)
                     if len(s):
                         sig = signature(s, probes)
-                        rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig), (sig & _U(255)).astype(np.uint8).tobytes()))
+                        rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig, band), (sig & _U(255)).astype(np.uint8).tobytes()))
                     else:
                         rows.append((0, None, [], None))
                 out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "bits"])
@@ -206,9 +206,12 @@ def leftover_pairs(open_members: DataFrame, threshold: int) -> DataFrame:
     return m.groupBy("band", "lo", "hi").applyInPandas(run, "node long, hub long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per document."""
-    marks = cut(sketches(docs, shingle))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, band: int = BAND) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per document.
+
+    Two sets of similarity s share a bucket with probability 1 - (1 - s^band)^(BINS / band):
+    0.99996 at 0.85 with bands of 8, 0.999997 at 0.80 with bands of 6."""
+    marks = cut(sketches(docs, shingle, band))
     filled = marks.where(F.col("set_key").isNotNull())
     # classes of equal sets: the smallest id stands for them; no row of a class is expanded
     classes = cut(

@@ -178,10 +178,16 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, slack: int = 8, fan_in: in
     return out
 
 
-def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def sequences(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    if tokenizer_file is None:
+        import public_tokenizers
+
+        tokenizer_file = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(tokenize(docs, tokenizer_file)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
+
+def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from prepline.llm.common import table
 
-    pieces = tokenize(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
-    return pack(pieces).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return sequences(table(spark, sf_dir, "documents"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from prepline.llm import chat, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules
+from prepline.llm import ann, chat, html_extract, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_ann": ann.op10_ann,
 }
 
 ORACLE = {
