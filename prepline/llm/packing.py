@@ -8,9 +8,9 @@ The number of groups also follows the number of open bins, so no task ever holds
 about ``GROUP_ROWS`` items, and the root is as bounded as the leaves. Each round is
 checkpointed; a lost executor repeats its groups with the same content.
 
-Token ids: words are cached. A text is cut in front of single spaces between characters that
-are not white space, where the pre-tokenizer always ends a token, so the parts have the ids
-they have in the whole text; distinct parts are encoded once per worker.
+Token ids: words are cached. A text is cut only where the pre-tokenizer always ends a token, so
+the parts have the ids they have in the whole text; distinct parts are encoded once per
+worker, until the cache is full.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each
 on their own, as are rows with a null doc_id; an empty table gives no rows.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,34 +38,69 @@ CACHE_WORDS = 300_000
 
 _PAIR = re.compile(r"\s\s")
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+#: parts of these characters only are cut alike by every version of the Unicode tables
+_PLAIN = re.compile(r"[\n -\u024f]*")
 
 
 def parts_of(text: str) -> list[str]:
-    """text cut in front of every single space between characters that are not white space."""
-    cut_at = _EDGE.split(text) if _PAIR.search(text) else text.split(" ")
-    return cut_at[:1] + [" " + x for x in cut_at[1:]]
+    """text cut where the pre-tokenizer always ends a token: in front of single spaces and on both
+    sides of single line breaks between characters that are not white space, and between a letter
+    and a comma or full stop that ends such a part."""
+    lines = _LINE.split(text) if "\n" in text else [text]
+    out = []
+    for line in lines:
+        words = _EDGE.split(line) if _PAIR.search(line) else line.split(" ")
+        for k, w in enumerate(words):
+            w = " " + w if k else w
+            if w[-1:] in (".", ",") and w[-2:-1].isalpha():
+                out.append(w[:-1])
+                out.append(w[-1])
+            else:
+                out.append(w)
+    return out
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    ``ranks_file`` holds the same vocabulary for a faster encoder, which takes the parts of
+    plain characters; all other parts go through the tokenizer itself."""
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, ranks_file: str | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[str, bytes] = {}
+        self.plain = None
+        if ranks_file is not None:
+            import base64
+
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            with open(ranks_file, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def learn(self, parts: Iterable[str]) -> None:
+        rest = []
+        for p in parts:
+            if self.plain is not None and "<|" not in p and _PLAIN.fullmatch(p):
+                self.known[p] = array("I", self.plain(p)).tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [parts_of(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({p for parts in split for p in parts if p not in known})
-        for i in range(0, len(new), 1024):
-            some = new[i : i + 1024]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.learn({p for parts in split for p in parts if p not in self.known})
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
 
 def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
@@ -76,12 +112,12 @@ def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """docs (doc_id, text) -> pieces (doc_id as text, piece, start, length, ids_crc32)."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(tokenizer_file)
+        enc = Encoder(tokenizer_file, ranks_file)
         for b in batches:
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
             for lo in range(0, len(texts), 256):
@@ -178,13 +214,14 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, slack: int = 8, fan_in: in
     return out
 
 
-def sequences(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer_file: str | None = None, ranks_file: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     if tokenizer_file is None:
         import public_tokenizers
 
         tokenizer_file = str(public_tokenizers.path("byte_bpe_50k.json"))
-    return pack(tokenize(docs, tokenizer_file)).withColumn("doc_id", F.col("doc_id").cast("long"))
+        ranks_file = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(tokenize(docs, tokenizer_file, ranks_file)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
