@@ -49,12 +49,12 @@ POOR_WORDS = frozenset("ad ads adv side meta tags toc alert".split())
 GOOD = re.compile(r"article|content|main|post|entry|story|body", re.I)
 
 FEATURES = ["bias", "article", "main", "p", "heading", "list", "div", "nav", "header", "footer", "aside", "form", "poor", "good", "links", "words", "stops", "text"]
-DEFAULT = np.array([-0.5, 5.0, 5.0, 0.5, 0.5, 0.0, 0.0, -7.0, -7.0, -7.0, -7.0, -7.0, -7.0, 4.0, -3.0, 0.1, 0.3, 0.0])
+DEFAULT = np.array([-0.5, 8.0, 8.0, 0.5, 0.5, 0.0, 0.0, -7.0, -7.0, -7.0, -7.0, -7.0, -7.0, 4.0, -3.0, 0.1, 0.3, 0.0])
 #: prior counts of (parent, child) states, not content first
 TIES = np.array([[30.0, 6.0], [2.0, 30.0]])
 LEAST_TIES = np.array([[0.0, 0.02], [0.05, 0.0]])
 #: pull of the weights towards DEFAULT, per node
-RIDGE = 0.05
+RIDGE = 0.5
 
 
 class Page(HTMLParser):
