@@ -33,7 +33,7 @@ from prepline.llm.common import HEAVY_SHARE, ceil_div, cut, keyed_join
 TAU = 2
 MIN_CHARS = 10
 NEAR_CHARS = 24
-LETTERS = "etaoinsr"
+LETTERS = "etaoinsrhldu"
 #: candidate lines up to this many are fetched through a broadcast of their hashes
 BROADCAST_LINES = 200_000
 PAIRS_PER_TASK = 2_000
@@ -84,20 +84,20 @@ def probe_keys(norm: Column, n: Column, tau: int) -> Column:
 
 
 def letter_counts(norm: Column) -> Column:
-    """Counts of LETTERS, seven bits each (by the remainder)."""
+    """Counts of LETTERS, five bits each (by the remainder)."""
     packed = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        count = (F.length(norm) - F.length(F.replace(norm, F.lit(c)))).cast("long") % 128
-        packed = packed + F.shiftleft(count, 7 * k)
+        count = (F.length(norm) - F.length(F.replace(norm, F.lit(c)))).cast("long") % 32
+        packed = packed + F.shiftleft(count, 5 * k)
     return packed
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """A lower bound of the sum of the letters' differences (differences taken modulo 128)."""
+    """A lower bound of the sum of the letters' differences (differences taken modulo 32)."""
     total = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        x = F.abs(F.shiftright(a, 7 * k).bitwiseAND(F.lit(127)) - F.shiftright(b, 7 * k).bitwiseAND(F.lit(127)))
-        total = total + F.least(x, 128 - x)
+        x = F.abs(F.shiftright(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * k).bitwiseAND(F.lit(31)))
+        total = total + F.least(x, 32 - x)
     return total
 
 

@@ -175,23 +175,24 @@ def hubs_of(members: DataFrame, weight: DataFrame) -> DataFrame:
     return best.select("band", (-F.col("best.m")).alias("hub"))
 
 
-def leftover_pairs(open_members: DataFrame, threshold: int) -> DataFrame:
+def leftover_pairs(open_members: DataFrame, threshold: int, band: int) -> DataFrame:
     """open_members (band, node, component, bits) -> candidate edges between components of a bucket.
 
     A bucket is cut into blocks; every pair of blocks is one group, in which signatures are
-    compared as arrays; pairs of one component or with too few equal bins are never rows."""
-    # equal bins are threshold/100 of BINS on average; five standard deviations below that
+    compared as arrays; pairs of one component or with too few equal bins are never rows, and a
+    pair that shares several buckets is a row of the first of them only."""
+    # equal bins are threshold/100 of BINS on average; three and a half standard deviations below
     share = threshold / 100
-    least = BINS * share - 5 * np.sqrt(BINS * share * (1 - share)) - 1
+    least = BINS * share - 3.5 * np.sqrt(BINS * share * (1 - share))
     size = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = open_members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    m = m.select("band", "node", "component", "bits", "block", other)
+    m = m.select("band", "place", "node", "component", "bits", "block", other)
     m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), BINS)
-        node, comp, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
+        node, comp, block, place = (rows[c].to_numpy() for c in ("node", "component", "block", "place"))
         out = []
         for k in range(len(rows) - 1):
             rest = np.arange(k + 1, len(rows))
@@ -199,8 +200,11 @@ def leftover_pairs(open_members: DataFrame, threshold: int) -> DataFrame:
             if block[0] != block[-1] or (block != block[0]).any():
                 rest = rest[block[rest] != block[k]]
             if len(rest):
-                like = (sig[rest] == sig[k]).sum(axis=1) >= least
-                out += [(node[k], node[r]) for r in rest[like]]
+                same = sig[rest] == sig[k]
+                like = same.sum(axis=1) >= least
+                shared = same[like][:, : BINS // band * band].reshape(-1, BINS // band, band).all(axis=2)
+                # a row of the first shared bucket: the one of this group, as node k holds it
+                out += [(node[k], node[r]) for r, f in zip(rest[like], shared.argmax(axis=1), strict=True) if f == place[k]]
         return pd.DataFrame(out, columns=["node", "hub"], dtype=np.int64)
 
     return m.groupBy("band", "lo", "hi").applyInPandas(run, "node long, hub long").distinct()
@@ -218,11 +222,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
     nodes = classes.where(F.col("node").isNotNull())
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(members.join(sizes, "band"))  # only buckets of two or more classes go on
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    members = members.select("band", "node")
+    members = members.select("band", "place", "node")
     label = None
     links = None
     tried = None
@@ -263,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         part = members.join(label, "node")
         per = part.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
         left = part.join(per.select("band"), "band").join(nodes.select("node", "bits"), "node")
-        rest = cut(leftover_pairs(left, threshold).join(tried, ["node", "hub"], "left_anti"))
+        rest = cut(leftover_pairs(left, threshold, band).join(tried, ["node", "hub"], "left_anti"))
         if not rest.isEmpty():
             links = cut(links.unionByName(confirm(rest, sets, threshold)))
             label = _labels(involved, links)
