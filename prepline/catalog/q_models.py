@@ -223,7 +223,7 @@ def t17(spark, sf):
 
 @register("t21_self_training", None)
 def t21(spark, sf):
-    return T.self_training(doc_features(spark, sf, labelled_only=False), DOC_FEATURES, "quality", "doc_id", threshold=0.9, max_iter=3)[1]
+    return T.self_training(doc_features(spark, sf, labelled_only=False), DOC_FEATURES, "quality", "doc_id", threshold=0.9)[1]
 
 
 @register("t23_series_classification", None)

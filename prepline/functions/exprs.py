@@ -111,15 +111,25 @@ def lower_contains_any(c: Column, words: Iterable[str]) -> Column:
 
 
 def lehmer(key: Column) -> Column:
-    """One Lehmer step of a non-negative integer key; same value in DuckDB SQL."""
-    return ((key % F.lit(LEHMER_MOD)) * F.lit(LEHMER_MUL)) % F.lit(LEHMER_MOD)
+    """One Lehmer step of an integer key (a negative one by its non-negative remainder); same
+    value in DuckDB SQL."""
+    return (F.pmod(key, F.lit(LEHMER_MOD)) * F.lit(LEHMER_MUL)) % F.lit(LEHMER_MOD)
 
 
 def lehmer_sql(key: str) -> str:
-    return f"((({key}) % {LEHMER_MOD}) * {LEHMER_MUL}) % {LEHMER_MOD}"
+    return f"(((({key}) % {LEHMER_MOD} + {LEHMER_MOD}) % {LEHMER_MOD}) * {LEHMER_MUL}) % {LEHMER_MOD}"
 
 
 
+def null_safe_join(left, right, keys, how: str = "inner"):
+    """Equi-join on ``keys`` where NULL matches NULL; the keys of ``left`` are kept."""
+    other = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    cond = F.lit(True)
+    for k, r in other.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return left.join(right.withColumnsRenamed(other), cond, how).drop(*other.values())
+
+
 def attach_one_row(df, one_row):
     """Append the columns of a single-row aggregate to every row of ``df``.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prepline.functions.exprs import null_safe_join
 from prepline.session import cut_lineage
 
 
@@ -33,7 +34,7 @@ def running_before(df: DataFrame, keys: Sequence[str], order: str, weight: str,
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_part), F.lit(0))).drop("_t")
     w_row = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(offsets, ["_pid", *keys])
+        null_safe_join(ranged, offsets, ["_pid", *keys])
         .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(w_row), F.lit(0)))
         .drop("_pid", "_off")
     )
@@ -75,7 +76,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: str, value: str,
     w_key = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(w_key))).select("_pid", *keys, "_carry")
     carry = carry.withColumn("_carry", F.when(F.size("_carry") > k, F.slice("_carry", -k, k)).otherwise(F.col("_carry")))
-    j = inpart.join(carry, ["_pid", *keys], "left")
+    j = null_safe_join(inpart, carry, ["_pid", *keys], "left")
     full = F.concat(F.coalesce(F.col("_carry"), F.array().cast(j.schema["_in"].dataType)), F.col("_in"))
     return j.withColumn(out, F.when(F.size(full) > k, F.slice(full, -k, k)).otherwise(full)).drop("_pid", "_in", "_carry")
 
@@ -223,7 +224,7 @@ def last_non_null(df: DataFrame, keys: Sequence[str], order: str, value: str, ou
     tails = r.groupBy("_pid", *keys).agg(F.max_by(known, F.when(F.col(value).isNotNull(), F.col(order))).alias("_t"))
     w_key = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.withColumn("_c", F.last("_t", ignorenulls=True).over(w_key)).select("_pid", *keys, "_c")
-    j = inpart.join(carry, ["_pid", *keys], "left")
+    j = null_safe_join(inpart, carry, ["_pid", *keys], "left")
     j = j.withColumn(out, F.coalesce(F.col("_lv"), F.col("_c.v")))
     if out_order:
         j = j.withColumn(out_order, F.coalesce(F.col("_lo"), F.col("_c.o")))

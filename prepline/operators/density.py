@@ -39,7 +39,7 @@ def _dist2(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dbscan(df: DataFrame, key: str, vector_col: str, eps: float, min_samples: int, max_rounds: int = 200) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector_col: str, eps: float, min_samples: int) -> DataFrame:
     """Return (key, cluster, is_core); cluster -1 is noise."""
     first = df.select(F.size(vector_col).alias("d")).where(F.col("d").isNotNull()).first()
     if first is None:
@@ -94,13 +94,18 @@ def dbscan(df: DataFrame, key: str, vector_col: str, eps: float, min_samples: in
         .distinct()
     )
     edges = cut_lineage(auto.unionByName(pairs).distinct())
+    # every round takes the smallest label around, then the label that the cell of that label has
+    # by now (pointer jumping); it ends when nothing changes
     labels = node.select("cell", "label")
-    for _ in range(max_rounds):
+    own = node.select("cell", F.col("label").alias("own"))
+    while True:
         incoming = edges.join(labels.select(F.col("cell").alias("ncell"), F.col("label").alias("nl")), "ncell").groupBy("cell").agg(
             F.min("nl").alias("nl")
         )
         new = labels.join(incoming, "cell", "left").select("cell", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
         new = cut_lineage(new)
+        jump = new.join(own, "cell").select(F.col("own").alias("label"), F.col("label").alias("further"))
+        new = cut_lineage(new.join(jump, "label").select("cell", F.least("label", "further").alias("label"), "old"))
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.drop("old")
         if changed == 0:

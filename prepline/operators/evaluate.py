@@ -79,10 +79,11 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
     """Tie-aware AUC = (sum of average ranks of positives - P(P+1)/2) / (P N).
 
     Scores are ranked over their distinct values with a distributed running count; each
-    distinct score carries its positive count, so the sum needs no per-row window."""
+    distinct score carries its positive count, so the sum needs no per-row window. Rows without
+    a score or without a label are not counted."""
     from prepline.functions.ordering import running_before
 
-    per = pred.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+    per = pred.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")
     )
     ranked = running_before(per, [], "s", "n")
@@ -212,14 +213,15 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5) -> DataFra
 def time_series_split(df: DataFrame, ts: str, k: int = 5) -> DataFrame:
     """Rows ordered by time (ties by the remaining order column list) are cut into k+1
     equal blocks; ``fold`` = block index (block 0 only ever trains; fold i tests block i and
-    trains on blocks < i). Positions come from a distributed running count."""
+    trains on blocks < i). Positions come from a distributed running count. Rows without a
+    time keep their place in the output with a NULL fold."""
     from prepline.functions.ordering import running_before
 
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    counts = df.groupBy(F.col(ts).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    n = df.agg(F.count(ts).alias("__n"))
+    counts = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
     pos = running_before(counts, [], "__t", "__c", out="__before")
     blk = attach_one_row(pos, n).select("__t", F.floor(F.col("__before") * (k + 1) / F.col("__n")).cast("int").alias("fold"))
-    return df.join(blk, F.col(ts) == F.col("__t")).drop("__t")
+    return df.join(blk, F.col(ts) == F.col("__t"), "left").drop("__t")
 
 
 # ------------------------------------------------------------------ E11, E12

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepline.functions.exprs import as_double, attach_one_row, is_numeric, lehmer
+from prepline.functions.exprs import as_double, attach_one_row, is_numeric, lehmer, null_safe_join
 from prepline.functions.quantiles import exact_quantiles, quantiles_wide
 
 
@@ -226,7 +226,7 @@ def encode_target(df: DataFrame, column: str, target: str, smoothing: float = 10
     tot = per.groupBy("__lvl").agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
     fold_tot = d.groupBy("__fold").agg(F.sum(y).alias("__fs"), F.count(y).alias("__fn"))  # `folds` rows
     grand = d.agg(F.sum(y).alias("__gs"), F.count(y).alias("__gn"))
-    enc = attach_one_row(per.join(tot, "__lvl").join(F.broadcast(fold_tot), "__fold"), grand).select(
+    enc = attach_one_row(null_safe_join(null_safe_join(per, tot, ["__lvl"]), fold_tot, ["__fold"]), grand).select(
         "__lvl",
         "__fold",
         (
@@ -234,7 +234,7 @@ def encode_target(df: DataFrame, column: str, target: str, smoothing: float = 10
             / (F.col("__tn") - F.col("__n") + smoothing)
         ).alias(f"{column}_te"),
     )
-    return d.join(enc, ["__lvl", "__fold"], "left").drop("__lvl", "__fold")
+    return null_safe_join(d, enc, ["__lvl", "__fold"], "left").drop("__lvl", "__fold")
 
 
 def bin_width(df: DataFrame, column: str, bins: int, out: str | None = None) -> DataFrame:
@@ -427,6 +427,6 @@ def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float =
     sizes = df.groupBy(q(label).alias("__lbl")).agg(F.count(F.lit(1)).alias("__size"))
     ordered = h.withColumn("__ord", F.struct("__h", q(key)))
     ranked = running_before(ordered.withColumn("__lbl", q(label)), ["__lbl"], "__ord", "__one", out="__pos")
-    j = ranked.join(sizes, "__lbl")
+    j = null_safe_join(ranked, sizes, ["__lbl"])
     out = j.withColumn("split", F.when(F.col("__pos") < F.round(F.col("__size") * test_fraction), "test").otherwise("train"))
     return out.drop("__h", "__one", "__ord", "__lbl", "__pos", "__size")

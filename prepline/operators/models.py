@@ -354,13 +354,14 @@ def bagging(df, features, label, key, n_bags=5, seed=11, task="classification",
 
 # ------------------------------------------------------------------ T21 self-training
 
-def self_training(df: DataFrame, features: Sequence[str], label: str, key: str, threshold: float = 0.9, max_iter: int = 5, seed: int = 42):
+def self_training(df: DataFrame, features: Sequence[str], label: str, key: str, threshold: float = 0.9, seed: int = 42):
     """Fit on labelled rows, add unlabelled rows predicted with probability >= threshold
-    as pseudo-labels, refit; stops when no row is added or after ``max_iter`` rounds. The
+    as pseudo-labels, refit, until no row is added; so the last model has seen them all. The
     growing label table is checkpointed (reliable) every round."""
     data = assemble(df, features, invalid="skip").withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
-    model = None
-    for r in range(1, max_iter + 1):
+    r = 0
+    while True:
+        r += 1
         train = data.where(F.col("__y").isNotNull())
         model = RandomForestClassifier(featuresCol="features", labelCol="__y", seed=seed, numTrees=30).fit(train)
         scored = model.transform(data.where(F.col("__y").isNull()))
