@@ -7,8 +7,9 @@ split into tau + 1 segments; two lines within tau edits share a segment, at a pl
 differs by no more than the edits to its left and right allow. So the segments of all lines,
 keyed by line length, segment number and content, are an index, and each line probes it with
 the substrings that can match (itself or a longer line, multi-match-aware places only), all
-as hashed keys. A candidate survives if the counts of ``LETTERS`` differ by no more than 2 tau
-edits can make them differ, which the join tests itself; then the lines' texts are fetched
+as hashed keys. A candidate survives if the counts of ``LETTERS`` differ by no more than tau
+edits can make them differ (2 tau, less the difference of the lengths), which the join tests
+itself; then the lines' texts are fetched
 and, without their common start and end, verified by banded bit-parallel edit distance (a
 band of 2 tau + 1 bits slides along the diagonal, one step per character). A line with any verified earlier neighbour goes.
 
@@ -33,11 +34,12 @@ from prepline.llm.common import HEAVY_SHARE, ceil_div, cut, keyed_join
 TAU = 2
 MIN_CHARS = 10
 NEAR_CHARS = 24
-LETTERS = "etaoinsrhldu"
+#: two words of packed counts; white space is often most of what the common letters leave
+LETTERS = ("etaoinsrhldu", "cmgpbfvwkyz ")
 #: candidate lines up to this many are fetched through a broadcast of their hashes
 BROADCAST_LINES = 200_000
 PAIRS_PER_TASK = 2_000
-BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def line_key(norm: Column) -> Column:
@@ -47,7 +49,7 @@ def line_key(norm: Column) -> Column:
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, mark, place, norm: lines long enough to be compared."""
     raw = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return raw.withColumn("norm", F.regexp_replace("line", BLANK, "")).drop("line").where(F.length("norm") >= min_chars)
+    return raw.withColumn("norm", F.btrim("line", F.lit(BLANKS))).drop("line").where(F.length("norm") >= min_chars)
 
 
 def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -84,18 +86,32 @@ def probe_keys(norm: Column, n: Column, tau: int) -> Column:
 
 
 def letter_counts(norm: Column) -> Column:
-    """Counts of LETTERS, five bits each (by the remainder)."""
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        count = (F.length(norm) - F.length(F.replace(norm, F.lit(c)))).cast("long") % 32
-        packed = packed + F.shiftleft(count, 5 * k)
-    return packed
+    """Counts of LETTERS, five bits each (by the remainder), one long per word of LETTERS. Letters
+    are taken out one after the other, so each step reads a shorter rest."""
+
+    def out(s: Column, c: Column) -> Column:
+        # the count of the letter taken out before this step shows in the rest's bytes now
+        here = F.octet_length(s.rest)
+        return F.struct(F.replace(s.rest, c, F.lit("")).alias("rest"), here.alias("n"), packed(s, here).alias("packed"))
+
+    def packed(s: Column, here: Column) -> Column:
+        return F.shiftleft(s.packed, 5) + ((s.n - here) % 32).cast("long")
+
+    def done(s: Column) -> Column:
+        return F.struct(s.rest.alias("rest"), packed(s, F.octet_length(s.rest)).alias("packed"))
+
+    def word(rest: Column, letters: str) -> Column:
+        start = F.struct(rest.alias("rest"), F.octet_length(rest).alias("n"), F.lit(0).cast("long").alias("packed"))
+        return F.aggregate(F.array(*[F.lit(c) for c in letters]), start, out, done)
+
+    both = F.transform(F.array(word(norm, LETTERS[0])), lambda a: F.struct(a.packed.alias("a"), word(a.rest, LETTERS[1]).packed.alias("b")))
+    return F.get(both, F.lit(0))
 
 
 def letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of the sum of the letters' differences (differences taken modulo 32)."""
     total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
+    for k in range(12):
         x = F.abs(F.shiftright(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * k).bitwiseAND(F.lit(31)))
         total = total + F.least(x, 32 - x)
     return total
@@ -181,10 +197,13 @@ def cores(pairs: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
     """The keys of distinct lines that have an earlier line within tau edits."""
     side = lambda keys, tag: distinct.where(F.col("info.index").isNotNull()).select(
-        F.explode(keys).alias("segment"), F.col("info.id").alias(f"id_{tag}"), F.col("info.letters").alias(f"letters_{tag}")
+        F.explode(keys).alias("segment"), F.col("info.id").alias(f"id_{tag}"), F.col("info.letters").alias(f"letters_{tag}"), F.col("info.n").alias(f"n_{tag}")
     )
     met = side("info.index", "p").join(side("info.probe", "t"), "segment")
-    met = met.where((F.col("id_p") != F.col("id_t")) & (letters_apart(F.col("letters_p"), F.col("letters_t")) <= 2 * tau))
+    # a substitution changes two counts by one, a character more or less a single one
+    most = 2 * tau - (F.col("n_t") - F.col("n_p"))
+    common = letters_apart(F.col("letters_p.a"), F.col("letters_t.a"))
+    met = met.where((F.col("id_p") != F.col("id_t")) & (common <= most) & (common + letters_apart(F.col("letters_p.b"), F.col("letters_t.b")) <= most))
     pairs = cut(met.select(F.least("id_p", "id_t").alias("a"), F.greatest("id_p", "id_t").alias("b")).distinct())
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     if ids.count() <= BROADCAST_LINES:
@@ -211,7 +230,8 @@ def dropped_lines(docs: DataFrame, tau: int, min_chars: int, near_chars: int) ->
     near = n >= near_chars
     info = F.struct(
         F.xxhash64("norm").alias("id"),
-        letter_counts(F.col("norm")).alias("letters"),
+        n.alias("n"),
+        F.when(near, letter_counts(F.col("norm"))).alias("letters"),
         F.when(near, index_keys(F.col("norm"), n, tau)).alias("index"),
         F.when(near, probe_keys(F.col("norm"), n, tau)).alias("probe"),
     )
