@@ -11,8 +11,9 @@ they come from), so a group of n classes costs n - 1 edges. Edges are confirmed
 shingle sets, read again for the classes that have an edge. Buckets whose classes are still
 in several components go into further rounds with new hubs; as a star may meet a bucket's
 members in the wrong order, what is then left of a bucket is compared by signatures in
-blocks, in arrays inside tasks, and only pairs whose signatures agree about as much as the
-threshold asks become edges to confirm. Components follow by large and small stars.
+blocks, in arrays inside tasks: first the signature above, then one of ``FINE_BINS`` bins
+without densification, which for short texts holds nearly the whole set; only pairs that both
+leave possible become edges to confirm. Components follow by large and small stars.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a text of
 fewer than ``shingle`` words is one shingle; null texts and texts without words have no
@@ -41,6 +42,7 @@ BAND = 8
 PROBES = 64
 STAR_ROUNDS = 4
 BLOCK = 1024
+FINE_BINS = 1024
 SALT_ROWS = 2_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +157,26 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInPandas(run, "node long, shingles array<long>")
 
 
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """sets (node, shingles) -> node, n (set size), fine (a byte of each bin's smallest hash, 0 for
+    an empty bin)."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for x in b["shingles"]:
+                h = np.sort(_mix(np.asarray(x, dtype=np.int64).view(np.uint64) + _U(0x1B873593CC9E2D51)))
+                bins, first = np.unique((h >> _U(54)).astype(np.int64), return_index=True)
+                fine = np.zeros(FINE_BINS, dtype=np.uint8)
+                fine[bins] = (h[first] % _U(255)).astype(np.uint8) + 1
+                rows.append((len(h), fine.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "fine"])
+            out.insert(0, "node", b["node"].to_numpy())
+            yield out
+
+    return sets.mapInPandas(run, "node long, n long, fine binary")
+
+
 def confirm(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """edges (node, hub) whose full sets reach the threshold. A hub may have any number of edges:
     its set is dealt out in copies, one for every SALT_ROWS edges."""
@@ -175,36 +197,47 @@ def hubs_of(members: DataFrame, weight: DataFrame) -> DataFrame:
     return best.select("band", (-F.col("best.m")).alias("hub"))
 
 
-def leftover_pairs(open_members: DataFrame, threshold: int, band: int) -> DataFrame:
-    """open_members (band, node, component, bits) -> candidate edges between components of a bucket.
+def leftover_pairs(open_members: DataFrame, marks: DataFrame, threshold: int, band: int) -> DataFrame:
+    """open_members (band, place, node, component), marks (node, bits, n, fine) -> candidate edges
+    between components of a bucket.
 
     A bucket is cut into blocks; every pair of blocks is one group, in which signatures are
     compared as arrays; pairs of one component or with too few equal bins are never rows, and a
-    pair that shares several buckets is a row of the first of them only."""
-    # equal bins are threshold/100 of BINS on average; three and a half standard deviations below
+    pair that shares several buckets is a row of the first of them only. Both bounds allow for
+    the number of shingles that the signatures have drawn from sets of this size."""
     share = threshold / 100
-    least = BINS * share - 3.5 * np.sqrt(BINS * share * (1 - share))
+    spread = np.sqrt(share * (1 - share))
     size = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = open_members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    m = m.select("band", "place", "node", "component", "bits", "block", other)
-    m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    m = m.select("band", "place", "node", "component", "block", other)
+    # signatures join last: they are shuffled once to their members and once to the groups
+    m = m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).join(marks, "node")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), BINS)
-        node, comp, block, place = (rows[c].to_numpy() for c in ("node", "component", "block", "place"))
+        fine = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint8).reshape(len(rows), FINE_BINS)
+        node, comp, block, place, n = (rows[c].to_numpy() for c in ("node", "component", "block", "place", "n"))
+        # a densified signature counts as half the bins that a set of this size fills
+        least = BINS * (share - 3.5 * spread / np.sqrt(np.maximum(BINS * -np.expm1(-n / BINS), 1) / np.where(n < 4 * BINS, 2, 1)))
         out = []
         for k in range(len(rows) - 1):
             rest = np.arange(k + 1, len(rows))
-            rest = rest[comp[rest] != comp[k]]
+            rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))]
             if block[0] != block[-1] or (block != block[0]).any():
                 rest = rest[block[rest] != block[k]]
             if len(rest):
-                same = sig[rest] == sig[k]
-                like = same.sum(axis=1) >= least
-                shared = same[like][:, : BINS // band * band].reshape(-1, BINS // band, band).all(axis=2)
+                rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= np.minimum(least[rest], least[k])]
+            if len(rest):
+                used = np.maximum(((fine[rest] | fine[k]) != 0).sum(axis=1), 1)
+                agree = ((fine[rest] == fine[k]) & (fine[k] != 0)).sum(axis=1) / used
+                # drawn without replacement from a union that is this large at the threshold
+                drawn = np.minimum(used * (1 + share) / (n[rest] + n[k]), 1)
+                rest = rest[agree >= share - 4 * spread * np.sqrt((1 - drawn) / used) - 2 / used]
+            if len(rest):
+                shared = (sig[rest] == sig[k])[:, : BINS // band * band].reshape(-1, BINS // band, band).all(axis=2)
                 # a row of the first shared bucket: the one of this group, as node k holds it
-                out += [(node[k], node[r]) for r, f in zip(rest[like], shared.argmax(axis=1), strict=True) if f == place[k]]
+                out += [(node[k], node[r]) for r, f in zip(rest, shared.argmax(axis=1), strict=True) if f == place[k]]
         return pd.DataFrame(out, columns=["node", "hub"], dtype=np.int64)
 
     return m.groupBy("band", "lo", "hi").applyInPandas(run, "node long, hub long").distinct()
@@ -262,15 +295,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
                 break
             tried = star if tried is None else cut(tried.unionByName(star))
             good = cut(confirm(star, sets, threshold))
+            if good.isEmpty():
+                break  # nothing changes: other hubs of these buckets are left to the blocks
             links = good if links is None else cut(links.unionByName(good))
             label = _labels(involved, links)
         part = members.join(label, "node")
         per = part.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        left = part.join(per.select("band"), "band").join(nodes.select("node", "bits"), "node")
-        rest = cut(leftover_pairs(left, threshold, band).join(tried, ["node", "hub"], "left_anti"))
+        left = cut(part.join(per.select("band"), "band"))
+        marked = fine_signatures(sets.join(left.select("node").distinct(), "node", "left_semi"))
+        marked = nodes.select("node", "bits").join(marked, "node")
+        rest = cut(leftover_pairs(left, marked, threshold, band).join(tried, ["node", "hub"], "left_anti"))
         if not rest.isEmpty():
-            links = cut(links.unionByName(confirm(rest, sets, threshold)))
-            label = _labels(involved, links)
+            good = cut(confirm(rest, sets, threshold))
+            if not good.isEmpty():
+                links = good if links is None else cut(links.unionByName(good))
+                label = _labels(involved, links)
     group = classes.select("set_key", "node", "copies")
     if label is not None:
         group = group.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
