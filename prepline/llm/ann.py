@@ -4,14 +4,15 @@ Lists: a hash sample of at most ``SAMPLE_ROWS`` vectors is halved again and agai
 along the line between two far means, so all leaves hold equally many sampled vectors; a
 leaf's mean is a list's centroid. Every vector of the table goes to its nearest list, and
 boundary vectors also to further lists whose centroid is at most ``1 + REPLICATE`` times as
-far, up to ``COPIES`` in all. Centroids (at most ``MAX_LISTS``, a bounded broadcast) carry a
-neighbour graph in memory; a query walks it best-first and probes the lists found, nearest
-first, as long as they are at most ``1 + PROBE`` times as far as the nearest one, and no
-fewer than ``LEAST_PROBES``.
-
-Work is dealt out by list: a list of more than ``BLOCK`` vectors or queries is cut into blocks
-on both sides, so a vector that a third of all rows hold, or a third of all queries probe, is
-many groups. Each group compares its queries with its vectors and keeps each query's k
+far, up to ``COPIES`` in all. A query is compared with every centroid (at most ``MAX_LISTS``, a
+bounded broadcast) and probes all lists that are at most ``1 + PROBE`` times as far as the
+nearest one, however many these are, and no fewer than ``LEAST_PROBES``.
+
+Work is dealt out by shelves of ``SHELF`` lists: a vector is one row of each shelf that holds
+one of its lists, a query one of each shelf that holds a list it probes, both with the bits of
+those lists, and they are compared if they have one in common. A shelf of more than ``BLOCK``
+vectors or queries is cut into blocks on both sides, so a vector that a third of all rows
+hold, or a third of all queries probe, is many groups. Each group keeps each query's k
 nearest, measured in double precision on the original vectors; a last grouping keeps the k
 nearest of each query. Queries for which fewer than k were found although there are more
 candidates probe all lists in a second turn.
@@ -24,7 +25,6 @@ fewer than k candidates all are returned; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,9 +41,7 @@ COPIES = 4
 REPLICATE = 0.2
 PROBE = 0.6
 LEAST_PROBES = 12
-MOST_PROBES = 64
-DEGREE = 24
-BEAM = 128
+SHELF = 16
 BLOCK = 4_096
 
 
@@ -83,49 +81,18 @@ def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
 
 
-class Graph:
-    """Centroids with their nearest neighbours; reverse edges keep it connected in practice, and
-    the walk starts from several spread centroids."""
-
-    def __init__(self, centroids: np.ndarray) -> None:
-        self.c = centroids
-        n = len(centroids)
-        near = np.argsort(square_distances(centroids, centroids), axis=1, kind="stable")[:, 1 : DEGREE + 1]
-        edges: list[set[int]] = [set(r.tolist()) for r in near]
-        for i, r in enumerate(near.tolist()):
-            for j in r[: DEGREE // 2]:
-                edges[j].add(i)
-        self.edges = [np.array(sorted(e), dtype=np.int64) for e in edges]
-        self.start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
-
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The centroids nearest to q that the walk found, nearest first, and their distances."""
-        d = lambda at: ((self.c[at] - q) ** 2).sum(axis=1)
-        seen = set(self.start.tolist())
-        todo = [(float(x), int(i)) for x, i in zip(d(self.start), self.start, strict=True)]
-        best = [(-x, i) for x, i in todo]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        while todo:
-            x, i = heapq.heappop(todo)
-            if len(best) >= beam and x > -best[0][0]:
-                break
-            new = np.array([j for j in self.edges[i].tolist() if j not in seen], dtype=np.int64)
-            if not len(new):
-                continue
-            seen.update(new.tolist())
-            for y, j in zip(d(new).tolist(), new.tolist(), strict=True):
-                if len(best) < beam or y < -best[0][0]:
-                    heapq.heappush(todo, (y, j))
-                    heapq.heappush(best, (-y, j))
-                    if len(best) > beam:
-                        heapq.heappop(best)
-        found = sorted((-x, i) for x, i in best)
-        return np.array([i for _, i in found]), np.sqrt([x for x, _ in found])
+def shelved(keep: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """keep (rows x lists, which lists a row takes) -> per row its shelves and their lists' bits."""
+    shelves = ceil_div(keep.shape[1], SHELF)
+    full = np.zeros((len(keep), shelves * SHELF), dtype=np.int32)
+    full[:, : keep.shape[1]] = keep
+    bits = (full.reshape(len(keep), shelves, SHELF) << np.arange(SHELF, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+    at = [np.flatnonzero(x).astype(np.int32) for x in bits]
+    return at, [x[i] for x, i in zip(bits, at, strict=True)]
 
 
 def posting_lists(v: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """v (vec_id, v) -> lists added: the nearest list, and near ones for boundary vectors."""
+    """v (vec_id, v) -> shelves and bits added: of the nearest list, and near ones for boundary vectors."""
     shared = v.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,28 +105,30 @@ def posting_lists(v: DataFrame, centroids: np.ndarray) -> DataFrame:
                 at = np.argpartition(d, take - 1, axis=1)[:, :take]
                 near = np.take_along_axis(d, at, axis=1)
                 first = near.min(axis=1)[:, None]
-                keep = near <= first * (1 + REPLICATE)
-                yield part.assign(lists=[a[k].astype(np.int32) for a, k in zip(at, keep, strict=True)])
+                keep = np.zeros(d.shape, dtype=bool)
+                np.put_along_axis(keep, at, near <= first * (1 + REPLICATE), axis=1)
+                shelves, bits = shelved(keep)
+                yield part.assign(shelves=shelves, bits=bits)
 
-    return v.mapInPandas(run, "vec_id long, v array<double>, lists array<int>")
+    return v.mapInPandas(run, "vec_id long, v array<double>, shelves array<int>, bits array<int>")
 
 
 def probed_lists(q: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """q (vec_id, v) -> query_id, q, lists: those that the walk over the graph selects."""
+    """q (vec_id, v) -> query_id, q, shelves, bits: of all lists that the distance ratio selects."""
     shared = q.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = None
+        c = shared.value
+        least = min(LEAST_PROBES, len(c))
         for b in batches:
-            graph = graph or Graph(shared.value)
-            out = []
-            for x in b["v"]:
-                at, d = graph.search(np.asarray(x), BEAM)
-                keep = (d <= d[0] * (1 + PROBE)) | (np.arange(len(d)) < LEAST_PROBES)
-                out.append(at[keep][:MOST_PROBES].astype(np.int32))
-            yield pd.DataFrame({"query_id": b["vec_id"], "q": b["v"], "lists": out})
+            for lo in range(0, len(b), 2048):
+                part = b.iloc[lo : lo + 2048]
+                d = np.sqrt(square_distances(np.array(part["v"].tolist()), c))
+                few = np.partition(d, least - 1, axis=1)[:, least - 1 : least]
+                shelves, bits = shelved(d <= np.maximum(d.min(axis=1)[:, None] * (1 + PROBE), few))
+                yield pd.DataFrame({"query_id": part["vec_id"].to_numpy(), "q": part["v"].tolist(), "shelves": shelves, "bits": bits})
 
-    return q.mapInPandas(run, "query_id long, q array<double>, lists array<int>")
+    return q.mapInPandas(run, "query_id long, q array<double>, shelves array<int>, bits array<int>")
 
 
 def nearest(k: int):
@@ -168,12 +137,12 @@ def nearest(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(queries) and len(vectors):
-            v, ids = np.array(vectors["v"].tolist()), vectors["vec_id"].to_numpy()
+            v, ids, held = np.array(vectors["v"].tolist()), vectors["vec_id"].to_numpy(), vectors["bits"].to_numpy()
             size = (v * v).sum(axis=1)
-            for qid, x in zip(queries["query_id"], queries["q"], strict=True):
+            for qid, x, bits in zip(queries["query_id"], queries["q"], queries["bits"], strict=True):
                 x = np.asarray(x)
                 rough = size + (x * x).sum() - 2 * (v @ x)
-                rough[ids == qid] = np.inf
+                rough[(ids == qid) | (held & bits == 0)] = np.inf
                 limit = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
                 if np.isinf(limit):
                     limit = np.partition(rough, -1)[-1] if not np.isinf(rough).any() else rough[~np.isinf(rough)].max(initial=-1.0)
@@ -188,20 +157,21 @@ def nearest(k: int):
 
 
 def compare(listed: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """listed (vec_id, v, lists), probes (query_id, q, lists) -> query_id, vec_id, score."""
-    entries = listed.select("vec_id", "v", F.explode("lists").alias("list"))
-    asked = probes.select("query_id", "q", F.explode("lists").alias("list"))
-    n_v = entries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vs"))
-    n_q = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs"))
-    load = cut(n_v.join(n_q, "list"))  # one row per list, MAX_LISTS at most
+    """listed (vec_id, v, shelves, bits), probes (query_id, q, shelves, bits) -> query_id, vec_id, score."""
+    one = F.explode(F.arrays_zip(F.col("shelves").alias("shelf"), F.col("bits").alias("bits"))).alias("at")
+    entries = listed.select("vec_id", "v", one).select("vec_id", "v", "at.shelf", "at.bits")
+    asked = probes.select("query_id", "q", one).select("query_id", "q", "at.shelf", "at.bits")
+    n_v = entries.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vs"))
+    n_q = asked.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs"))
+    load = cut(n_v.join(n_q, "shelf"))  # one row per shelf, MAX_LISTS / SHELF at most
     load = F.broadcast(load)
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    entries = entries.join(load, "list").withColumn("vb", deal("vec_id", "vs")).select("list", "vb", every("qs").alias("qb"), "vec_id", "v")
-    asked = asked.join(load, "list").withColumn("qb", deal("query_id", "qs")).select("list", "qb", every("vs").alias("vb"), "query_id", "q")
-    key = ["list", "vb", "qb"]
+    entries = entries.join(load, "shelf").withColumn("vb", deal("vec_id", "vs")).select("shelf", "vb", every("qs").alias("qb"), "vec_id", "v", "bits")
+    asked = asked.join(load, "shelf").withColumn("qb", deal("query_id", "qs")).select("shelf", "qb", every("vs").alias("vb"), "query_id", "q", "bits")
+    key = ["shelf", "vb", "qb"]
     found = asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(nearest(k), "query_id long, vec_id long, score double")
-    # a vector of several lists is found several times, with one score
+    # a vector of several shelves is found several times, with one score
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
 
@@ -223,7 +193,8 @@ def search(vectors: DataFrame, query_step: int, k: int = 10) -> DataFrame:
     few = queries.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), F.col("vec_id") == F.col("query_id"), "left")
     few = cut(few.where(F.coalesce("n", F.lit(0)) < min(k, rows - 1)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     if not few.isEmpty():
-        everywhere = few.withColumn("lists", F.sequence(F.lit(0), F.lit(len(centroids) - 1)).cast("array<int>"))
+        shelves = ceil_div(len(centroids), SHELF)
+        everywhere = few.withColumn("shelves", F.sequence(F.lit(0), F.lit(shelves - 1))).withColumn("bits", F.array_repeat(F.lit((1 << SHELF) - 1), shelves))
         found = found.unionByName(compare(listed, everywhere, k)).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -99,6 +99,22 @@ def test_search_against_brute_force(spark):
     assert ann.search(df.limit(0), 100).count() == 0
 
 
+def test_search_at_most_lists(spark, monkeypatch):
+    # unit vectors without any structure: the ratio rule selects far more than 64 of the lists
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    x = np.random.default_rng(3).normal(size=(4 * ann.MAX_LISTS + 8, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, 200).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(g["vec_id"]))
+    assert got["query_id"].nunique() == 41 and len(got) == 410
+    assert hit >= 0.99 * 410, hit
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
