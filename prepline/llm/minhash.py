@@ -197,14 +197,15 @@ def hubs_of(members: DataFrame, weight: DataFrame) -> DataFrame:
     return best.select("band", (-F.col("best.m")).alias("hub"))
 
 
-def leftover_pairs(open_members: DataFrame, marks: DataFrame, threshold: int, band: int) -> DataFrame:
-    """open_members (band, place, node, component), marks (node, bits, n, fine) -> candidate edges
-    between components of a bucket.
+def leftover_pairs(open_members: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
+    """open_members (band, place, node, component), marks (node, bits, keys, n, fine) -> candidate
+    edges between components of a bucket.
 
     A bucket is cut into blocks; every pair of blocks is one group, in which signatures are
     compared as arrays; pairs of one component or with too few equal bins are never rows, and a
-    pair that shares several buckets is a row of the first of them only. Both bounds allow for
-    the number of shingles that the signatures have drawn from sets of this size."""
+    pair that shares several buckets is a row of the first of them only, told by the whole keys
+    of a class's buckets: the bytes of a band may agree where its keys do not. Both bounds
+    allow for the number of shingles that the signatures have drawn from sets of this size."""
     share = threshold / 100
     spread = np.sqrt(share * (1 - share))
     size = open_members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -217,6 +218,7 @@ def leftover_pairs(open_members: DataFrame, marks: DataFrame, threshold: int, ba
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), BINS)
         fine = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint8).reshape(len(rows), FINE_BINS)
+        keys = np.stack(rows["keys"].to_list())
         node, comp, block, place, n = (rows[c].to_numpy() for c in ("node", "component", "block", "place", "n"))
         # a densified signature counts as half the bins that a set of this size fills
         least = BINS * (share - 3.5 * spread / np.sqrt(np.maximum(BINS * -np.expm1(-n / BINS), 1) / np.where(n < 4 * BINS, 2, 1)))
@@ -235,7 +237,7 @@ def leftover_pairs(open_members: DataFrame, marks: DataFrame, threshold: int, ba
                 drawn = np.minimum(used * (1 + share) / (n[rest] + n[k]), 1)
                 rest = rest[agree >= share - 4 * spread * np.sqrt((1 - drawn) / used) - 2 / used]
             if len(rest):
-                shared = (sig[rest] == sig[k])[:, : BINS // band * band].reshape(-1, BINS // band, band).all(axis=2)
+                shared = keys[rest] == keys[k]
                 # a row of the first shared bucket: the one of this group, as node k holds it
                 out += [(node[k], node[r]) for r, f in zip(rest, shared.argmax(axis=1), strict=True) if f == place[k]]
         return pd.DataFrame(out, columns=["node", "hub"], dtype=np.int64)
@@ -303,8 +305,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         per = part.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
         left = cut(part.join(per.select("band"), "band"))
         marked = fine_signatures(sets.join(left.select("node").distinct(), "node", "left_semi"))
-        marked = nodes.select("node", "bits").join(marked, "node")
-        rest = cut(leftover_pairs(left, marked, threshold, band).join(tried, ["node", "hub"], "left_anti"))
+        marked = nodes.select("node", "bits", F.col("bands").alias("keys")).join(marked, "node")
+        rest = cut(leftover_pairs(left, marked, threshold).join(tried, ["node", "hub"], "left_anti"))
         if not rest.isEmpty():
             good = cut(confirm(rest, sets, threshold))
             if not good.isEmpty():

@@ -249,6 +249,18 @@ def test_near_duplicates_by_definition(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_leftover_pair_whose_earlier_band_agrees_in_bytes_only(spark):
+    n = minhash.BINS // minhash.BAND
+    bits, fine = bytes(range(256)), bytes(minhash.FINE_BINS)
+    fine = bytes([1]) + fine[1:]
+    keys = {1: [10, *range(101, 100 + n)], 2: [20, *range(101, 100 + n)]}  # bucket 0 differs, all others are shared
+    marks = spark.createDataFrame([(k, bits, keys[k], 500, fine) for k in (1, 2)], "node long, bits binary, keys array<long>, n long, fine binary")
+    members = [(keys[k][p], p, k, k) for k in (1, 2) for p in range(1, n)]
+    members = spark.createDataFrame(members, "band long, place int, node long, component long")
+    got = [{r["node"], r["hub"]} for r in minhash.leftover_pairs(members, marks, 85).collect()]
+    assert got == [{1, 2}]
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert components(e).agg(F.max("component"), F.count("*")).first() == (0, 201)
