@@ -17,7 +17,9 @@ become text, inline elements do not break a block, white space within a block be
 space, blocks are joined by one space in page order. Nothing is cut: whole pages, any depth.
 
 Defined results: a null or empty html has an empty text; broken markup is read as far as it
-goes, unclosed elements end with their parents; repeated rows are extracted each; an empty
+goes, unclosed elements end with their parents; a head is no element here, only what is in it is
+silent, so it needs no end; a silent element without its own end tag is silent up to its first
+block only, and what follows counts as if it had ended there; repeated rows are extracted each; an empty
 table gives no rows.
 """
 
@@ -37,7 +39,7 @@ SAMPLE_PAGES = 400
 SAMPLE_NODES = 40_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg iframe object canvas select textarea button".split())
+SILENT = frozenset("script style noscript template title svg iframe object canvas select textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: an opening tag ends the open element of these names, unless one of SCOPE is in between
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -66,16 +68,38 @@ class Page(HTMLParser):
         self.parent, self.tag, self.words, self.text = [-1], ["html"], [""], [""]
         self.link_chars = [0]
         self.open: list[int] = [0]
-        self.silent: list[str] = []
+        #: open silent elements: tag and the state before them, which their end tag brings back
+        self.silent: list[tuple] = []
+        self.label = False  # whether the run is the first of a silent element
         self.links = 0
         self.run: list[str] = []
         self.run_links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
-        if text:
+        if text and not self.label:
             self.add("#text", "", text, min(len(text), self.run_links))
-        self.run, self.run_links = [], 0
+        self.run, self.run_links, self.label = [], 0, False
+
+    def hush(self, tag: str) -> None:
+        """A silent element starts: it is read like others until its end tag takes that back."""
+        self.silent.append((tag, len(self.tag), self.open[:], self.run, self.run_links, self.links, self.label))
+        self.flush()
+        self.label = True
+
+    def unhush(self, tag: str) -> None:
+        for k in range(len(self.silent) - 1, -1, -1):
+            if self.silent[k][0] == tag:
+                _, n, self.open, self.run, self.run_links, self.links, self.label = self.silent[k]
+                for a in (self.parent, self.tag, self.words, self.text, self.link_chars):
+                    del a[n:]
+                del self.silent[k:]
+                return
+
+    def left(self) -> None:
+        """Silent elements whose parent has ended are over, although their end tag did not come."""
+        while self.silent and len(self.silent[-1][2]) > len(self.open):
+            self.silent.pop()
 
     def add(self, tag: str, words: str, text: str = "", links: int = 0) -> int:
         self.parent.append(self.open[-1])
@@ -85,8 +109,8 @@ class Page(HTMLParser):
         self.link_chars.append(links)
         return len(self.tag) - 1
 
-    def end(self, names: Iterable[str], scope: frozenset[str] = frozenset()) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
+    def end(self, names: Iterable[str], scope: frozenset[str] = frozenset(), floor: int = 1) -> None:
+        for k in range(len(self.open) - 1, floor - 1, -1):
             t = self.tag[self.open[k]]
             if t in names:
                 del self.open[k:]
@@ -95,17 +119,12 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.silent:
-            if tag == self.silent[0]:
-                self.silent.append(tag)
-            elif tag == "body" and self.silent[0] in ("head", "title"):
-                self.silent.clear()
-            else:
-                return
         if tag in SILENT:
-            if not self.silent:
-                self.silent.append(tag)
+            self.hush(tag)
             return
+        if tag == "body" and self.silent and self.silent[-1][0] == "title":
+            self.flush()
+            self.silent.pop()
         if tag == "a":
             self.links += 1
         if tag == "br":
@@ -114,11 +133,13 @@ class Page(HTMLParser):
             return
         self.flush()
         self.links = 0  # links do not reach over a block's border
+        # what a tag ends by itself lies in the same silent element
+        floor = len(self.silent[-1][2]) if self.silent else 1
         if tag in ENDS:
-            self.end(ENDS[tag], SCOPE - ENDS[tag])
+            self.end(ENDS[tag], SCOPE - ENDS[tag], floor)
         elif tag in CLOSES_P:
-            self.end({"p"}, SCOPE)
-        if tag in VOID or tag in ("html", "body"):
+            self.end({"p"}, SCOPE, floor)
+        if tag in VOID or tag in ("html", "head", "body"):
             return
         self.open.append(self.add(tag, " ".join(v for k, v in attrs if k in ("class", "id", "role", "aria-label") and v)))
 
@@ -130,22 +151,21 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent:
-            if tag == self.silent[0]:
-                self.silent.pop()
+        if tag in SILENT:
+            self.unhush(tag)
             return
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in INLINE or tag in VOID or tag in ("html", "body"):
+        if tag in INLINE or tag in VOID or tag in ("html", "head", "body"):
             return
         self.flush()
         self.end({tag}, frozenset() if tag in SCOPE else SCOPE)
+        self.left()
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.run.append(data)
-            if self.links:
-                self.run_links += len(data)
+        self.run.append(data)
+        if self.links:
+            self.run_links += len(data)
 
     def unknown_decl(self, data: str) -> None:
         pass

@@ -64,6 +64,19 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
 
 
+def test_silent_elements_without_end():
+    body = "<h1>Title here</h1><p>First part, which is long enough to count.</p>"
+    want = "Title here First part, which is long enough to count."
+    model = html_extract.Model()
+    # both end tags of the head and the body's tags may be left out
+    assert model.text_of(f"<html><head><meta charset=x><title>T</title><style>p{{}}</style><article>{body}</article>") == want
+    for tag in ("button", "select", "noscript", "svg", "object", "canvas", "template"):
+        before, inside = f"<body><{tag}>Menu<article>{body}</article>", f"<article>{body}<div><{tag}>Share</div><p>Last words, at the end.</p></article>"
+        assert model.text_of(before) == want, tag
+        assert model.text_of(inside) == f"{want} Last words, at the end.", tag
+        assert model.text_of(f"<article>{body}<p>One <{tag}><p>not</p><div>this</{tag}> line, as it was.</p></article>") == f"{want} One line, as it was.", tag
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     parent = [-1, 0, 0, 1, 1, 2, 4]
