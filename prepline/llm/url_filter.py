@@ -12,8 +12,10 @@ a url is blocked if its branch's smoothed purity is below ``MIN_PURITY``. A host
 labelled url takes the global share, which blocks only if most labelled urls are blocked.
 
 Pages are first summed up by host and kind template, so a host with a third of all pages is
-a few rows from then on; the levels work on these rows. Paths deeper than ``LEVELS`` segments
-share the template of their first segments.
+a few rows from then on; the levels work on these rows. The tree is as deep as its branches: the
+first ``LEVELS`` levels are one plan, each further one a step of its own, until every deeper
+path is alone under its node. The rest of such a path has no siblings, so all its segments
+are literal and merge into ``~``: it is put on, and its purity computed, in one step.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and
 is judged as the host ``''``; repeated rows count and are returned each; an empty table gives
@@ -62,7 +64,7 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def kinds(path: Column) -> Column:
-    """The path's segments with variable ones replaced by their kind; at most LEVELS segments."""
+    """The path's segments with variable ones replaced by their kind."""
 
     def kind(s: Column) -> Column:
         return (
@@ -72,7 +74,7 @@ def kinds(path: Column) -> Column:
             .otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
         )
 
-    return F.slice(F.transform(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), kind), 1, LEVELS)
+    return F.transform(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), kind)
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
@@ -82,21 +84,47 @@ def template_tree(pages: DataFrame) -> DataFrame:
         pages.groupBy("host", "segs").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("depth", F.size("segs"))
     )
     # downwards: literal or wildcard, by the parent's count
-    node = t.withColumn("node", F.array().cast("array<string>"))
-    for level in range(LEVELS):
-        seg = F.get("segs", F.lit(level))
-        there = node.withColumn("seg", seg)
+    def down(node: DataFrame, level: int) -> DataFrame:
+        there = node.withColumn("seg", F.get("segs", F.lit(level)))
         parent = there.where("seg is not null").groupBy("host", "node").agg(F.sum("n").alias("pn"))
         child = there.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("cn"))
         literal = child.join(parent, ["host", "node"]).where(F.col("cn") >= LITERAL_SHARE * F.col("pn")).select("host", "node", "seg", F.lit(True).alias("lit"))
         there = there.join(literal, ["host", "node", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.array(F.when(F.col("lit"), F.col("seg")).otherwise(F.lit("*")))))
-        node = there.withColumn("node", step).drop("seg", "lit")
+        return there.withColumn("node", step).drop("seg", "lit")
+
+    deepest = t.agg(F.max("depth")).first()[0] or 0
+    top = min(LEVELS, deepest)  # levels that are not put on in one step
+    node = t.withColumn("node", F.array().cast("array<string>"))
+    for level in range(top):
+        node = down(node, level)
+    node = cut(node)
+    ended = []
+    while deepest > top:
+        # a path alone under its node has no siblings any more
+        at = node.where(F.col("depth") > top)
+        ended.append(node.where(F.col("depth") <= top).withColumn("fork", F.lit(top)))
+        at = cut(at.join(at.groupBy("host", "node").agg(F.count(F.lit(1)).alias("rows")), ["host", "node"]))
+        rest = F.slice("segs", F.lit(top + 1), F.size("segs"))
+        ended.append(at.where("rows = 1").drop("rows").withColumns({"node": F.concat("node", rest), "fork": F.lit(top)}))
+        at = at.where("rows > 1").drop("rows")
+        if at.isEmpty():
+            break
+        node = cut(down(at, top))
+        top += 1
+    else:
+        ended.append(node.withColumn("fork", F.lit(top)))
+    node = ended[0]
+    for e in ended[1:]:
+        node = node.unionByName(e)
     node = cut(node)
     # upwards: siblings that do not differ become one branch
-    leaf = node.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("bad", "good")])
-    branch = leaf.withColumn("branch", F.col("node"))
-    for level in range(LEVELS, 0, -1):
+    leaf = node.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("bad", "good")], F.max("fork").alias("fork"))
+    tail = F.array_repeat(F.lit("~"), F.greatest(F.lit(0), F.size("node") - F.col("fork")))
+    branch = leaf.withColumn("branch", F.concat(F.slice("node", F.lit(1), F.col("fork")), tail)).drop("fork")
+    for level in range(top, 0, -1):
+        if level % LEVELS == 0 and level < top:
+            branch = cut(branch)
         parent = F.slice("branch", 1, level - 1)
         sums = branch.where(F.size("branch") >= level).withColumns({"parent": parent, "seg": F.get("branch", F.lit(level - 1))})
         child = sums.groupBy("host", "parent", "seg").agg(F.sum("bad").alias("cb"), F.sum(F.col("bad") + F.col("good")).alias("cn"))
@@ -108,7 +136,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         differs = (F.col("cn") > 0) & (rest_n > 0) & (spread > 0) & (F.abs(F.try_divide("cb", "cn") - F.try_divide(rest_b, rest_n)) > Z_MERGE * spread)
         apart = c.where(differs).select("host", "parent", "seg", F.lit(True).alias("own"))
         joined = branch.withColumns({"parent": parent, "seg": F.get("branch", F.lit(level - 1))}).join(apart, ["host", "parent", "seg"], "left")
-        merged = F.concat("parent", F.array(F.when(F.col("own"), F.col("seg")).otherwise(F.lit("~"))), F.slice("branch", level + 1, LEVELS))
+        merged = F.concat("parent", F.array(F.when(F.col("own"), F.col("seg")).otherwise(F.lit("~"))), F.slice("branch", F.lit(level + 1), F.size("branch")))
         branch = joined.withColumn("branch", F.when(F.col("seg").isNull(), F.col("branch")).otherwise(merged)).drop("parent", "seg", "own")
     branch = cut(branch)
     # purity, smoothed from the global share down to the branch
@@ -118,12 +146,27 @@ def template_tree(pages: DataFrame) -> DataFrame:
     host = branch.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     state = host.select("host", F.array().cast("array<string>").alias("up"), ((F.col("g") + PRIOR * share) / (F.col("g") + F.col("b") + PRIOR)).alias("purity"))
     out = None
-    for level in range(1, LEVELS + 1):
+    for level in range(1, top + 1):
+        if level % LEVELS == 0 and level < top:
+            state = cut(state)
         deep = branch.where(F.size("branch") >= level).groupBy("host", F.slice("branch", 1, level - 1).alias("up"), F.slice("branch", 1, level).alias("here"))
         deep = deep.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(state, ["host", "up"])
         out = state if out is None else out.unionByName(state)
         state = deep.select("host", F.col("here").alias("up"), ((F.col("g") + PRIOR * F.col("purity")) / (F.col("g") + F.col("b") + PRIOR)).alias("purity"))
-    out = out.unionByName(state)
+    out = state if out is None else out.unionByName(state)
+    # below the top all is "~": the purities of a chain of one node each, from its counts by depth
+    ends = branch.where(F.size("branch") > top).groupBy("host", F.slice("branch", 1, top).alias("up"), F.size("branch").alias("depth")).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    chain = ends.groupBy("host", "up").agg(F.collect_list(F.struct("depth", "g", "b")).alias("ends")).join(state, ["host", "up"])
+    chain = chain.select("host", "up", "ends", "purity", F.explode("ends.depth").alias("depth"))
+
+    def smoothed(purity: Column, level: Column) -> Column:
+        deep = F.filter("ends", lambda e: e.depth >= level)
+        good = F.aggregate(deep, F.lit(0).cast("long"), lambda a, e: a + e.g)
+        bad = F.aggregate(deep, F.lit(0).cast("long"), lambda a, e: a + e.b)
+        return (good + PRIOR * purity) / (good + bad + PRIOR)
+
+    purity = F.aggregate(F.sequence(F.lit(top + 1), F.col("depth")), F.col("purity"), smoothed)
+    out = out.unionByName(chain.select("host", F.concat("up", F.array_repeat(F.lit("~"), F.col("depth") - top)).alias("up"), purity.alias("purity")))
     judged = branch.select("host", "node", F.col("branch").alias("up")).join(out, ["host", "up"]).select("host", "node", "up", "purity")
     return cut(node.select("host", "segs", "node").join(judged, ["host", "node"]).select("host", "segs", F.col("up").alias("branch"), "purity"))
 

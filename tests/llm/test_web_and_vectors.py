@@ -47,6 +47,25 @@ def test_tree_keeps_branches_that_differ(spark):
     assert tree["same", "{n}"] > 0.8 and 0.2 < tree["new",] < 0.9
 
 
+def test_tree_is_as_deep_as_its_branches(spark, monkeypatch):
+    deep = ["a", "b", "c", "d"]
+    rows = [("h", [*deep, "good", f"x{k}", "y"], 8, 0, 8) for k in range(5)] + [("h", [*deep, "spam", f"x{k}", "y"], 8, 8, 0) for k in range(5)]
+    rows += [("h", [*deep, "spam", "x1", "y", *["z"] * 60], 8, 8, 0), ("h", [*deep, "good", "x1", "y", "w", "v"], 8, 0, 8), ("h", ["a"], 2, 0, 0), ("g", [""], 1, 0, 0)]
+    df = spark.createDataFrame(rows, "host string, segs array<string>, n long, bad long, good long")
+    tree = {(r["host"], *r["segs"]): (r["purity"], r["branch"]) for r in url_filter.template_tree(df).collect()}
+    assert len(tree) == len(rows)
+    for _, s, *_ in rows[:12]:
+        assert tree["h", *s][0] > 0.8 if "good" in s else tree["h", *s][0] < 0.2
+    # the same as with every level built one by one
+    rows = [("h", ["a", "b", c, d], 8, 8 * (c == "x"), 8 * (c != "x")) for c in "xyz" for d in "uv"] + [("h", ["a", "e", "f", "g"], 5, 2, 3), ("h", ["a"], 2, 0, 0)]
+    df = spark.createDataFrame(rows, df.schema)
+    whole = {tuple(r["segs"]): (r["purity"], r["branch"]) for r in url_filter.template_tree(df).collect()}
+    monkeypatch.setattr(url_filter, "LEVELS", 1)
+    steps = {tuple(r["segs"]): (r["purity"], r["branch"]) for r in url_filter.template_tree(df).collect()}
+    assert whole.keys() == steps.keys() and len(whole) == len(rows)
+    assert all(whole[k][1] == steps[k][1] and abs(whole[k][0] - steps[k][0]) < 1e-12 for k in whole)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a>More</a></li></ul></nav>
 <header><p>Welcome to this site, reader.</p></header><div class="ad">Buy this now, it is cheap.</div><article><h1>Title &amp; more</h1><p><b>First   one &eacute;&#33;<br><p>Second <i>par</i>t, here.</p><p>Short.</p></article>
 <div class="cookie-notice"><p>We use cookies, as all do.</p></div><aside>Related, other things.</aside><form><p>Your mail, please.</p></form><section class="comments"><p>I liked this, said one.</p></section><footer>&copy; site</footer>"""
