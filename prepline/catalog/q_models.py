@@ -262,7 +262,7 @@ def t9(spark, sf):
 
     o = load(spark, sf, "orders").select(
         "o_orderkey",
-        F.array(F.round(F.col("o_totalprice") / 10000, 1), F.round(F.datediff(F.col("o_orderdate"), F.lit("1995-01-01")) / 30.0, 1)).alias("v"),
+        F.array(F.col("o_totalprice") / 10000, F.datediff(F.col("o_orderdate"), F.lit("1995-01-01")) / 30.0).alias("v"),
     )
     return dbscan(o, "o_orderkey", "v", eps=0.5, min_samples=40)
 

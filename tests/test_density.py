@@ -49,3 +49,15 @@ def test_dbscan_matches_brute_force(spark):
     got = {r["k"]: (r["cluster"], r["is_core"]) for r in dbscan(df, "k", "v", eps=0.6, min_samples=8).collect()}
     exp = brute_dbscan(X, keys, 0.6, 8)
     assert got == exp
+
+
+def test_orders_are_clustered_by_raw_values(spark, tmp_path):
+    import datetime as dt
+
+    from prepline.catalog.q_models import t9
+
+    # 39 orders at one place and one 0.54 away, which is 0.5, and so near, only if rounded
+    rows = [(k, 0.0 if k else 5400.0, dt.date(1995, 1, 1)) for k in range(40)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: (r["cluster"], r["is_core"]) for r in t9(spark, str(tmp_path)).collect()}
+    assert got == {k: (-1, False) for k in range(40)}
