@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prepline.llm import ann, chat, html_extract, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, url_filter
+from prepline.llm import ann, bpe, chat, html_extract, line_dedup, merkle, minhash, mixing, packing, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_ann": ann.op10_ann,
+    "op11_bpe": bpe.op11_bpe,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
