@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prepline.llm import ann, bpe, chat, html_extract, line_dedup, merkle, minhash, mixing, packing, quality_classifier, quality_rules, url_filter
+from prepline.llm import ann, bpe, chat, html_extract, line_dedup, merkle, minhash, mixing, packing, quality_classifier, quality_rules, repair, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_ann": ann.op10_ann,
     "op11_bpe": bpe.op11_bpe,
+    "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_merkle": merkle.op13_merkle,
 }
 
