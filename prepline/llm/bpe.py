@@ -27,6 +27,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +55,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+_TO_BYTE = {ord(c): b for c, b in byte_alphabet().items()}
+
+
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of every token id of a tokenizer file."""
+    own = {i: t.translate(_TO_BYTE).encode("latin-1") for t, i in spec["model"]["vocab"].items()}
+    return own | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def text_of(ids: bytes, tokens: dict[int, bytes]) -> str:
+    """The text of ids, ill-formed UTF-8 replaced as the tokenizer's own decoder does."""
+    return b"".join(map(tokens.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
 class Bpe:
-    """A byte-level BPE vocabulary, for encoding by prefixes and for decoding."""
+    """A byte-level BPE vocabulary, for encoding by prefixes."""
 
     def __init__(self, tokenizer_file: str) -> None:
         import ahocorasick
@@ -71,7 +86,7 @@ class Bpe:
         if model.get("ignore_merges") or model.get("dropout") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("vocabulary options beyond plain merges")
         self.pre_tokenize = Tokenizer.from_file(tokenizer_file).pre_tokenizer.pre_tokenize_str
-        self.to_byte = {ord(c): b for c, b in byte_alphabet().items()}
+        self.to_byte = _TO_BYTE
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
@@ -79,8 +94,7 @@ class Bpe:
         #: characters whose classes every version of the Unicode tables agrees on
         self.plain = regex.compile(r"[\t\n\r -ɏ]*")
         vocab = model["vocab"]
-        self.bytes_of: dict[int, bytes] = {i: t.translate(self.to_byte).encode("latin-1") for t, i in vocab.items()}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = token_bytes(spec)
         self._trees(vocab, model["merges"])
         self.automaton = ahocorasick.Automaton()
         #: (id, length, ids of tokens known to stand before it or not)
@@ -206,19 +220,18 @@ class Bpe:
             known[key] = e
         return e
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, ill-formed UTF-8 replaced as the tokenizer's own decoder does."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-
-
-_LOADED: dict[str, Bpe] = {}
-
 
+@lru_cache(1)
 def load(tokenizer_file: str) -> Bpe:
     """The vocabulary of a file, read once per worker."""
-    if tokenizer_file not in _LOADED:
-        _LOADED[tokenizer_file] = Bpe(tokenizer_file)
-    return _LOADED[tokenizer_file]
+    return Bpe(tokenizer_file)
+
+
+@lru_cache(1)
+def load_tokens(tokenizer_file: str) -> dict[int, bytes]:
+    """What decoding needs of a file, read once per worker."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return token_bytes(json.load(f))
 
 
 def default_file() -> str:
@@ -254,11 +267,11 @@ def decode(encoded: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     rows = encoded.select(*others, F.coalesce("ids", F.lit(b"")).alias("ids"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(file)
+        tokens = load_tokens(file)
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 some = b.slice(lo, ROWS)
-                text = pa.array([bpe.decode(i) for i in some.column("ids").to_pylist()], pa.string())
+                text = pa.array([text_of(i, tokens) for i in some.column("ids").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in others), text], names=[*others, "text"])
 
     return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in others), StructField("text", StringType())]))

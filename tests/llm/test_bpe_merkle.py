@@ -21,7 +21,7 @@ def library():
 
 
 def test_words_equal_the_library(library):
-    own = bpe.load(bpe.default_file())
+    own, tokens = bpe.load(bpe.default_file()), bpe.load_tokens(bpe.default_file())
     rng = random.Random(3)
     letters = "ab e'stllre  \n\t\r\x00\x1c\x85\xa0　éß中文𝒳١²Ⅳͅ​😀.,!?<|>0123"
     pieces = ["<|endoftext|>", " the", "'ll", "'s", "aaaa", "  ", "\n\n", "hello", "World", " 1234", "ẞ", "ſ"]
@@ -30,10 +30,10 @@ def test_words_equal_the_library(library):
         ids = library.encode(text, add_special_tokens=False).ids
         got = own.encode(text)
         assert list(memoryview(got).cast("I")) == ids, text
-        assert own.decode(got) == library.decode(ids, skip_special_tokens=False)
+        assert bpe.text_of(got, tokens) == library.decode(ids, skip_special_tokens=False)
     for _ in range(1000):
         ids = [rng.randrange(50257) for _ in range(rng.randint(0, 8))]
-        assert own.decode(array("I", ids).tobytes()) == library.decode(ids, skip_special_tokens=False)
+        assert bpe.text_of(array("I", ids).tobytes(), tokens) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_long_words_and_full_caches(library, monkeypatch):
