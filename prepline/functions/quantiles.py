@@ -1,20 +1,20 @@
 """Exact quantiles and bounded top-k without ever holding a whole group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer, so
-a per-column median over a 100 TB table would put a whole column into one task. Here the
-work is split instead:
+a per-column median over a 100 TB table would put a whole column into one task. Here ranks are
+selected by running sums over a global order instead:
 
 1. The caller supplies a *weighted* table ``(keys..., value, weight)`` (distinct values with
    multiplicities, built with a map-side-combined ``groupBy``), so a hot value costs one row.
-2. Each wanted rank ("needle") starts with the key's full value range. While a needle's range
-   still holds more than ``max_group`` distinct values, one distributed pass histograms the
-   range into ``fanout`` equal-width buckets (bucket bounds are the data's own min/max, so
-   wide gaps collapse immediately) and a cumulative sum over at most ``fanout`` rows picks the
-   bucket holding the rank.
-3. When every range is small, a window sorted within (key, needle) picks the exact value.
-
-Interpolation follows ``quantile_cont`` / pandas ``linear``: h = (n-1)p,
-q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
+2. :func:`ranged_values` range-partitions it by (keys, value): a key with most of the values is
+   dealt over many partitions, and is written once to the checkpoint folder.
+3. Each partition's weight per key (one row per partition and key) gives, by prefix sums, the
+   ranks that every partition holds, and so the one partition where a wanted rank lies.
+4. Only there, values are sorted within (partition, key), and a running sum finds the rank.
+
+No value is shuffled by its key alone: exchanges on the keys carry the sums of step 3. Keys may be
+NULL; a NULL key is a key of its own. Interpolation follows ``quantile_cont`` / pandas ``linear``:
+h = (n-1)p, q = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
 """
 
 from __future__ import annotations
@@ -27,11 +27,6 @@ from pyspark.sql import functions as F
 
 from prepline.session import cut_lineage
 
-MAX_GROUP = 100_000
-FANOUT = 4096
-MAX_ROUNDS = 64
-
-
 def weighted_values(long_df: DataFrame, keys: Sequence[str], value: str, out: str = "v") -> DataFrame:
     """(keys, v, w): distinct non-null values with their multiplicity (partial agg map-side)."""
     return (
@@ -41,92 +36,52 @@ def weighted_values(long_df: DataFrame, keys: Sequence[str], value: str, out: st
     )
 
 
-def exact_quantiles(
-    weighted: DataFrame,
-    keys: Sequence[str],
-    probs: Sequence[float],
-    value: str = "v",
-    weight: str = "w",
-    max_group: int = MAX_GROUP,
-    fanout: int = FANOUT,
-    max_distinct: int | None = None,
-) -> DataFrame:
-    """Return (keys..., p double, q double): exact continuous quantiles per key.
+def ranged_values(weighted: DataFrame, keys: Sequence[str], value: str = "v", weight: str = "w") -> DataFrame:
+    """(keys, v, w) range-partitioned by (keys, v), with its partition id ``_pid``; checkpointed, so
+    that every later use and a lost executor see the same partitions."""
+    rows = weighted.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w"))
+    return cut_lineage(rows.repartitionByRange(*keys, "v").withColumn("_pid", F.spark_partition_id()))
 
-    Eager: the weighted input is cached while the sizing job, refinement rounds and final
-    pass run, and the small result (keys x probs rows) is checkpointed before the cache is
-    released. ``max_distinct`` (largest number of distinct values of any key), when known,
-    skips the sizing job.
-    """
-    from pyspark import StorageLevel
 
-    keys = list(keys)
-    w = weighted.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = w.groupBy(*keys).agg(
-        F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")
-    )
+def _located(ranged: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """(targets, located): each key's wanted ranks, and the values (_k, r, x) at those ranks."""
+    rows = ranged.select(F.struct(*keys).alias("_k"), "v", "w", "_pid")  # structs compare NULL keys as equal
+    part = rows.groupBy("_pid", "_k").agg(F.sum("w").alias("t"))
+    # one row per partition, so this window is as small as the list of partitions
+    offsets = part.groupBy("_pid").agg(F.sum("t").alias("_n"))
+    offsets = offsets.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    in_part = F.sum("t").over(Window.partitionBy("_pid").orderBy("_k")) - F.col("t")
+    part = cut_lineage(part.withColumn("start", in_part).join(offsets, "_pid").withColumn("start", F.col("start") + F.col("_off")).drop("_off"))
+    stats = part.groupBy("_k").agg(F.sum("t").alias("n"), F.min("start").alias("first"))
     targets = (
-        stats.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))  # len(probs) rows per key
+        stats.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("h", (F.col("n") - 1) * F.col("p"))
         .withColumn("r0", F.floor("h").cast("long"))
         .withColumn("r1", F.ceil("h").cast("long"))
         .withColumn("frac", F.col("h") - F.col("r0"))
     )
-    needles = (
-        targets.select(*keys, F.explode(F.array("r0", "r1")).alias("r"), "lo", "hi")
-        .distinct()
-        .withColumn("below", F.lit(0).cast("long"))
-    )
-    if max_distinct is None:
-        max_distinct = stats.agg(F.max("d")).first()[0] or 0
-    if max_distinct > max_group:
-        for _ in range(MAX_ROUNDS):
-            cand = w.join(needles, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-            width = F.col("hi") - F.col("lo")
-            bucket = F.when(width <= 0, F.lit(0)).otherwise(
-                F.least(F.floor((F.col("v") - F.col("lo")) / width * fanout), F.lit(fanout - 1))
-            )
-            hist = cand.groupBy(*keys, "r", "below", bucket.cast("int").alias("b")).agg(
-                F.sum("w").alias("bw"),
-                F.min("v").alias("blo"),
-                F.max("v").alias("bhi"),
-                F.count(F.lit(1)).alias("bd"),
-            )
-            win = Window.partitionBy(*keys, "r").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-            hist = hist.withColumn("before", F.coalesce(F.sum("bw").over(win), F.lit(0)))
-            picked = hist.where(
-                (F.col("below") + F.col("before") <= F.col("r")) & (F.col("r") < F.col("below") + F.col("before") + F.col("bw"))
-            ).select(
-                *keys,
-                "r",
-                F.col("blo").alias("lo"),
-                F.col("bhi").alias("hi"),
-                (F.col("below") + F.col("before")).alias("below"),
-                F.col("bd").alias("d"),
-            )
-            needles = cut_lineage(picked)  # needle table: keys x len(probs) x 2 rows
-            biggest = needles.agg(F.max("d")).first()[0] or 0
-            needles = needles.drop("d")
-            if biggest <= max_group:
-                break
-    cand = w.join(needles, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    win = Window.partitionBy(*keys, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    located = (
-        cand.withColumn("before", F.col("below") + F.coalesce(F.sum("w").over(win), F.lit(0)))
-        .where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("w")))
-        .select(*keys, "r", F.col("v").alias("x"))
-    )
+    wanted = targets.select("_k", "first", F.explode(F.array("r0", "r1")).alias("r")).withColumn("at", F.col("first") + F.col("r"))
+    wanted = part.join(wanted, "_k").where("at >= start and at < start + t")
+    wanted = wanted.groupBy("_pid", "_k").agg(F.collect_set(F.struct((F.col("at") - F.col("start")).alias("at"), "r")).alias("wanted"))
+    before = F.sum("w").over(Window.partitionBy("_pid", "_k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    hit = rows.join(wanted, ["_pid", "_k"]).withColumn("before", before)
+    inside = F.filter("wanted", lambda e: (e["at"] >= F.col("before")) & (e["at"] < F.col("before") + F.col("w")))
+    return targets, hit.select("_k", "v", F.explode(inside).alias("e")).select("_k", F.col("e.r").alias("r"), F.col("v").alias("x"))
+
+
+def exact_quantiles(weighted: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "v", weight: str = "w", ranged: DataFrame | None = None) -> DataFrame:
+    """Return (keys..., p double, q double): exact continuous quantiles per key.
+
+    Rows may repeat a value. ``ranged`` is a table of :func:`ranged_values` that the caller has
+    already. Eager: the result (keys x probs rows) is checkpointed."""
+    keys = list(keys)
+    if ranged is None:
+        ranged = ranged_values(weighted, keys, value, weight)
+    targets, located = _located(ranged, keys, probs)
     x0 = located.withColumnRenamed("r", "r0").withColumnRenamed("x", "x0")
     x1 = located.withColumnRenamed("r", "r1").withColumnRenamed("x", "x1")
-    result = (
-        targets.join(x0, keys + ["r0"], "left")
-        .join(x1, keys + ["r1"], "left")
-        .select(*keys, "p", (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("q"))
-    )
-    # keys x len(probs) rows: materialise to reliable storage and release the cached input
-    result = cut_lineage(result)
-    w.unpersist()
-    return result
+    out = targets.join(x0, ["_k", "r0"], "left").join(x1, ["_k", "r1"], "left")
+    return cut_lineage(out.select("_k.*", "p", (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("q")))
 
 
 def quantiles_wide(q: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -191,4 +146,4 @@ def collect_sorted(df: DataFrame, key: str, rank: str, value: str, out: str, sep
     )
 
 
-__all__ = ["weighted_values", "exact_quantiles", "quantiles_wide", "smallest_k", "collect_sorted"]
+__all__ = ["weighted_values", "ranged_values", "exact_quantiles", "quantiles_wide", "smallest_k", "collect_sorted"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepline.functions.exprs import attach_one_row, lehmer
+from prepline.functions.exprs import attach_one_row, lehmer, null_safe_join
 from prepline.session import cut_lineage
 
 # ---- fixed values: default parameters per model name ----
@@ -290,8 +290,10 @@ def isolation_forest(df: DataFrame, features: Sequence[str], key: str, n_trees:
 
 def statistical_anomalies(df: DataFrame, column: str, by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
     """Per group, row flags for |z| > 3 (sample std), modified z > 3.5 (MAD; MAD 0 -> NULL)
-    and IQR fences. Group statistics: one aggregate + exact quantiles per group."""
-    from prepline.functions.quantiles import exact_quantiles, quantiles_wide
+    and IQR fences. Group statistics: one aggregate + exact quantiles per group. Every row stays:
+    NULL is a group of its own, and a missing value or a group without values has no fences
+    (iqr_flag NULL)."""
+    from prepline.functions.quantiles import exact_quantiles, quantiles_wide, ranged_values
 
     v = F.col(column).cast("double")
     base = df.select(*key, *by, v.alias("__v"))
@@ -300,16 +302,18 @@ def statistical_anomalies(df: DataFrame, column: str, by: Sequence[str] = (), ke
     keys = list(by) if by else ["__g"]
     if not by:
         w = w.withColumn("__g", F.lit(0))
-    qs = quantiles_wide(exact_quantiles(w, keys, [0.25, 0.5, 0.75]), keys, [0.25, 0.5, 0.75], ["__q1", "__med", "__q3"])
-    dev = w.join(qs.select(*keys, "__med"), keys).select(*keys, F.abs(F.col("v") - F.col("__med")).alias("v"), "w")
+    w = ranged_values(w, keys)
+    qs = quantiles_wide(exact_quantiles(w, keys, [0.25, 0.5, 0.75], ranged=w), keys, [0.25, 0.5, 0.75], ["__q1", "__med", "__q3"])
+    dev = null_safe_join(w, qs.select(*keys, "__med"), keys).select(*keys, F.abs(F.col("v") - F.col("__med")).alias("v"), "w")
     dev = dev.groupBy(*keys, "v").agg(F.sum("w").alias("w"))
     mad = exact_quantiles(dev, keys, [0.5]).select(*keys, F.col("q").alias("__mad"))
-    stats = qs.join(mad, keys)
+    stats = null_safe_join(qs, mad, keys)
     if not by:
-        stats = stats.drop("__g")
+        # no row at all if every value is missing
+        stats = stats.agg(*[F.first(c).alias(c) for c in ("__q1", "__med", "__q3", "__mad")])
         j = attach_one_row(attach_one_row(base, mom), stats)
     else:
-        j = base.join(mom, list(by)).join(stats, list(by))
+        j = null_safe_join(null_safe_join(base, mom, list(by)), stats, list(by), "left")
     z = (F.col("__v") - F.col("__mean")) / F.col("__sd")
     mz = F.when(F.col("__mad") > 0, F.lit(0.6745) * (F.col("__v") - F.col("__med")) / F.col("__mad"))
     iqr = F.col("__q3") - F.col("__q1")

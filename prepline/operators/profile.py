@@ -24,7 +24,7 @@ from prepline.functions.exprs import (
     missing,
     pandas_dtype,
 )
-from prepline.functions.quantiles import exact_quantiles, quantiles_wide, smallest_k, collect_sorted
+from prepline.functions.quantiles import collect_sorted, exact_quantiles, quantiles_wide, ranged_values, smallest_k, weighted_values
 
 SAMPLE_K = 5
 SAMPLE_SEP = "|"
@@ -206,12 +206,12 @@ def unique_values(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def _medians(vals: DataFrame, max_distinct: int | None) -> DataFrame:
+def _medians(vals: DataFrame) -> DataFrame:
     v = F.coalesce(F.col("d"), F.col("l").cast("double"))
     # one of l / d is set per numeric column, so (position, v) is already distinct; repeated v
     # would still be handled (ranks sum weights over equal values)
     num = vals.where(v.isNotNull()).select("position", v.alias("v"), "w")
-    q = exact_quantiles(num, ["position"], [0.5], max_distinct=max_distinct)
+    q = exact_quantiles(num, ["position"], [0.5])
     return q.select("position", F.col("q").alias("median"))
 
 
@@ -227,7 +227,7 @@ def numeric_stats(df: DataFrame, exact: bool = True) -> DataFrame:
         long = df.select(
             F.explode(F.array(*[F.struct(F.lit(i).alias("position"), as_double(qcol(f.name), f.dataType).alias("v")) for i, f in num])).alias("e")
         ).select("e.*")
-        weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w"))
+        weighted = weighted_values(long, ["position"], "v")
         med = exact_quantiles(weighted, ["position"], [0.5]).select("position", F.col("q").alias("median"))
     else:
         aggs = [F.percentile_approx(as_double(qcol(f.name), f.dataType), 0.5, 10000).alias(f"q{i}") for i, f in enumerate(df.schema.fields) if i in num_idx]
@@ -302,8 +302,7 @@ def column_profile(df: DataFrame, exact: bool = True, k: int = SAMPLE_K) -> Data
     vals = distinct_values(df).persist(StorageLevel.MEMORY_AND_DISK)
     uniq = vals.groupBy("position").agg(F.count(F.lit(1)).alias("unique_values"))
     if exact:
-        max_d = uniq.agg(F.max("unique_values")).first()[0] or 0
-        med = _medians(vals, max_d)
+        med = _medians(vals)
     else:
         num_idx = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
         if num_idx:
@@ -384,7 +383,8 @@ def _numeric_long(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[
 
 
 def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, weighted: DataFrame | None = None) -> DataFrame:
-    """(position, column_name, lower, upper, center, scale) per numeric column.
+    """(position, column_name, lower, upper, center, scale) per numeric column. ``weighted`` is the
+    distinct-value table of ``ranged_values``, if there is one already.
 
     iqr: Q1 - 1.5 IQR, Q3 + 1.5 IQR. zscore: mean -+ 3 sample std. modified_z: median -+
     3.5 MAD / 0.6745 (MAD = 0 gives NULL bounds).
@@ -395,9 +395,9 @@ def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         b = b.select("position", "center", "scale", (F.col("center") - 3 * F.col("scale")).alias("lower"), (F.col("center") + 3 * F.col("scale")).alias("upper"))
     else:
         if weighted is None:
-            weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w"))
+            weighted = ranged_values(weighted_values(long, ["position"], "v"), ["position"])
         if method == "iqr":
-            q = quantiles_wide(exact_quantiles(weighted, ["position"], [0.25, 0.75]), ["position"], [0.25, 0.75], ["q1", "q3"])
+            q = quantiles_wide(exact_quantiles(weighted, ["position"], [0.25, 0.75], ranged=weighted), ["position"], [0.25, 0.75], ["q1", "q3"])
             iqr = F.col("q3") - F.col("q1")
             b = q.select(
                 "position",
@@ -407,7 +407,7 @@ def outlier_bounds(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
                 (F.col("q3") + 1.5 * iqr).alias("upper"),
             )
         elif method == "modified_z":
-            med = exact_quantiles(weighted, ["position"], [0.5]).select("position", F.col("q").alias("center"))
+            med = exact_quantiles(weighted, ["position"], [0.5], ranged=weighted).select("position", F.col("q").alias("center"))
             dev = weighted.join(F.broadcast(med), "position").select(
                 "position", F.abs(F.col("v") - F.col("center")).alias("v"), "w"
             ).groupBy("position", "v").agg(F.sum("w").alias("w"))
@@ -438,12 +438,10 @@ def outlier_counts(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
     """(position, column_name, method, n_outliers, lower, upper).
 
     iqr / modified_z: one explode builds the weighted distinct-value table (position, v, w);
-    it feeds both the exact quantiles and the count (sum of w outside the bounds), so the
-    table is scanned once. zscore: moments and the count over the long form. The bounds
-    table has one row per column, so broadcasting it is safe at any data size. Eager: the
-    result (one row per column) is checkpointed and the cached table released."""
-    from pyspark import StorageLevel
-
+    range-partitioned once, it feeds both the exact quantiles and the count (sum of w outside
+    the bounds), so the table is scanned once. zscore: moments and the count over the long
+    form. The bounds table has one row per column, so broadcasting it is safe at any data size.
+    Eager: the result (one row per column) is checkpointed."""
     from prepline.session import cut_lineage
 
     long, _ = _numeric_long(df, columns)
@@ -453,9 +451,8 @@ def outlier_counts(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         counts = long.join(F.broadcast(bounds.select("position", "center", "scale")), "position").groupBy("position").agg(
             F.count_if(F.coalesce(test, F.lit(False))).alias("n_outliers")
         )
-        weighted = None
     else:
-        weighted = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        weighted = ranged_values(weighted_values(long, ["position"], "v"), ["position"])
         bounds = outlier_bounds(df, method, columns, weighted=weighted)
         if method == "modified_z":
             # modified z = 0.6745 (x - median) / MAD  > 3.5
@@ -473,10 +470,7 @@ def outlier_counts(df: DataFrame, method: str = "iqr", columns: Sequence[str] |
         F.round("lower", 6).alias("lower"),
         F.round("upper", 6).alias("upper"),
     )
-    out = cut_lineage(out)
-    if weighted is not None:
-        weighted.unpersist()
-    return out
+    return cut_lineage(out)
 
 
 # ---------------------------------------------------------------- A12 type consistency

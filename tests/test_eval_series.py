@@ -58,18 +58,58 @@ def test_ses_golden(spark):
     assert got == [2.0, 3.0, 5.5]
 
 
-def test_exact_quantiles_with_refinement(spark):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.lognormal(3, 2, 3000), np.full(2000, 7.0), rng.normal(0, 1e-3, 500)])
     keys = np.repeat([0, 1], len(vals) // 2 + 1)[: len(vals)]
     pdf = pd.DataFrame({"k": keys, "v": vals})
     w = spark.createDataFrame(pdf).groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
-    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(w, ["k"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], max_group=50, fanout=8).collect()}
+    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(w, ["k"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).collect()}
     for (k, p), q in got.items():
         exp = np.quantile(pdf[pdf.k == k].v.to_numpy(), p)
         assert math.isclose(q, exp, rel_tol=1e-12, abs_tol=1e-12), (k, p)
 
 
+def test_quantiles_of_null_keys_and_repeated_values(spark):
+    rows = [(None, 1.0, 2), (None, 5.0, 1), ("a", 3.0, 1), ("a", 3.0, 4), ("a", 9.0, 1)]
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, v double, w long"), ["k"], [0.5, 1.0]).collect()
+    assert {(r["k"], r["p"], r["q"]) for r in got} == {(None, 0.5, 1.0), (None, 1.0, 5.0), ("a", 0.5, 3.0), ("a", 1.0, 9.0)}
+
+
+def test_quantile_plan_shuffles_no_value_by_its_column(spark):
+    """Exchanges on the column position alone carry sums of partitions, never values."""
+    from prepline.functions.quantiles import _located, ranged_values
+
+    w = spark.range(20_000).select((F.col("id") % 3).cast("int").alias("position"), (F.col("id") * 7 % 9001).cast("double").alias("v"), F.lit(1).alias("w"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        ranged = ranged_values(w, ["position"])
+        assert ranged.groupBy("_pid").count().count() > 3
+        _, located = _located(ranged, ["position"], [0.25, 0.5])
+        assert sorted(r["r"] for r in located.collect()) == sorted(3 * [1666, 1667, 3333] + [3332])
+    finally:
+        spark.conf.set(name, "true")
+    plan = located._jdf.queryExecution().explainString(located.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    keyed = 0
+    for node in plan.split("\n\n"):
+        if "Exchange\n" in node and "hashpartitioning(_k" in node:
+            keyed += 1
+            assert " v#" not in node and "[v#" not in node, node
+    assert keyed and "hashpartitioning(position" not in plan
+
+
+def test_anomalies_keep_rows_of_missing_groups(spark):
+    from prepline.operators.models import statistical_anomalies
+
+    rows = [(k, None if k % 4 == 0 else "b" if k % 4 == 1 else "c", None if k % 4 == 1 else float(k * k % 17)) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    got = statistical_anomalies(df, "x", ["g"], ["id"])
+    assert got.count() == 80 and got.where("g is null and iqr_flag is not null").count() == 20
+    assert got.where("g = 'b' and iqr_flag is null and not z_flag").count() == 20
+    assert statistical_anomalies(df.where("x is null"), "x", [], ["id"]).count() == 20
+
+
 def test_previous_values_hot_key(spark):
     n = 3000
     pdf = pd.DataFrame({"k": np.where(np.arange(n) % 3 == 0, 1, np.arange(n) % 17), "t": np.arange(n), "v": np.arange(n) * 1.0})
