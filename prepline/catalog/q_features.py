@@ -186,6 +186,14 @@ def f10(spark, sf):
     return FE.encode_one_hot(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
 
 
+@register(
+    "f10_encode_one_hot_sparse",
+    "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS level_index, o_custkey AS level FROM orders",
+)
+def f10_sparse(spark, sf):
+    return FE.encode_one_hot_sparse(load(spark, sf, "orders"), "o_orderkey", "o_custkey")
+
+
 @register(
     "f11_encode_target",
     """SELECT p_partkey, p_type, round((s + 10.0 * (SELECT avg(p_retailprice) FROM part)) / (n + 10.0), 6) AS p_type_te

@@ -89,11 +89,69 @@ def f1(spark, sf):
     return X.plan(_orders_profile(spark, sf), "supervised_classification")
 
 
-@register("f2_execute_plan", None)
+def _test_row(key: str) -> str:
+    from prepline.functions.exprs import lehmer_sql
+
+    return f"CASE WHEN {lehmer_sql(key)} % 1000 < 200 THEN 'test' ELSE 'train' END"
+
+
+def _f2_sql() -> str:
+    from prepline.sources.tables import ORDERS_MISSING_SQL
+
+    return f"""WITH s AS (SELECT * REPLACE (CASE WHEN isnan(o_totalprice) THEN NULL ELSE o_totalprice END AS o_totalprice), {_test_row('o_orderkey')} AS split FROM {ORDERS_MISSING_SQL}),
+i AS (SELECT * REPLACE (coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM s WHERE split = 'train')) AS o_totalprice) FROM s),
+b AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM i WHERE split = 'train'),
+c AS (SELECT i.* REPLACE (least(greatest(o_totalprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS o_totalprice) FROM i, b),
+m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM c WHERE split = 'train'),
+l AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) - 1 AS code FROM (SELECT DISTINCT o_orderstatus FROM c WHERE split = 'train'))
+SELECT o_orderkey, o_custkey, o_orderpriority, round((o_totalprice - mean) / std, 6) + 0.0 AS o_totalprice, code AS o_orderstatus_code,
+  CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day,
+  CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_weekday, CAST(hour(o_orderdate) AS INTEGER) AS o_orderdate_hour, CAST(quarter(o_orderdate) AS INTEGER) AS o_orderdate_quarter,
+  isodow(o_orderdate) >= 6 AS o_orderdate_is_weekend, split
+FROM c LEFT JOIN l USING (o_orderstatus), m"""
+
+
+@register("f2_execute_plan", _f2_sql())
 def f2(spark, sf):
     o = orders_missing(spark, sf)
     steps = X.plan(_orders_profile(spark, sf), "supervised_classification")
-    return X.execute_plan(o, steps, "o_orderkey")
+    out = rounded(X.execute_plan(o, steps, "o_orderkey"))
+    return out.withColumn("o_totalprice", F.col("o_totalprice") + 0.0)  # no -0.0
+
+
+def _parts(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", F.col("p_type").alias("p_group"), "p_size", "p_retailprice")
+    size = F.when(F.col("p_partkey") % 9 > 0, F.col("p_size"))
+    group = F.when(F.col("p_partkey") % 8 > 0, F.col("p_group"))
+    return p.withColumns({"p_size": size, "p_group": group})
+
+
+@register(
+    "f2_apply_fitted_after_reload",
+    f"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 8 > 0 THEN p_type END AS g, CAST(CASE WHEN p_partkey % 9 > 0 THEN p_size END AS DOUBLE) AS z, p_retailprice AS r, {_test_row('p_partkey')} AS split FROM part),
+f AS (SELECT avg(z) AS fz, (SELECT g FROM s WHERE split = 'train' AND g IS NOT NULL GROUP BY g ORDER BY count(*) DESC, g LIMIT 1) AS fg FROM s WHERE split = 'train'),
+i AS (SELECT p_partkey, coalesce(g, fg) AS g, coalesce(z, fz) AS z, r, split FROM s, f),
+b AS (SELECT quantile_cont(z, 0.25) AS z1, quantile_cont(z, 0.75) AS z3, quantile_cont(r, 0.25) AS r1, quantile_cont(r, 0.75) AS r3 FROM i WHERE split = 'train'),
+c AS (SELECT p_partkey, g, least(greatest(z, z1 - 1.5 * (z3 - z1)), z3 + 1.5 * (z3 - z1)) AS z, least(greatest(r, r1 - 1.5 * (r3 - r1)), r3 + 1.5 * (r3 - r1)) AS r, split FROM i, b),
+m AS (SELECT avg(z) AS mz, stddev_pop(z) AS dz, avg(r) AS mr, stddev_pop(r) AS dr FROM c WHERE split = 'train')
+SELECT p_partkey, g AS level, round((z - mz) / dz, 6) + 0.0 AS p_size, round((r - mr) / dr, 6) + 0.0 AS p_retailprice, split FROM c, m WHERE split = 'test'""",
+)
+def f2_reload(spark, sf):
+    """Fitted on the training rows, exported, read back, applied to the test rows alone; the one-hot
+    columns are folded back into the level they mark."""
+    import uuid
+
+    from prepline.operators.profile import column_profile
+
+    parts = _parts(spark, sf)
+    steps = X.plan(column_profile(parts), "supervised_classification")
+    path = scratch_path(spark, "fitted", uuid.uuid4().hex)
+    X.fit_on_train(parts, steps, "p_partkey").write.parquet(path)
+    test = X.FE.train_test_split(parts, "p_partkey").where("split = 'test'").drop("split")
+    out = X.apply_plan(test, spark.read.parquet(path))
+    level = F.coalesce(*[F.when(F.col(f"`{c}`") == 1, c.removeprefix("p_group_")) for c in out.columns if c.startswith("p_group_")])
+    out = rounded(out.select("p_partkey", level.alias("level"), "p_size", "p_retailprice", "split"))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("p_size", "p_retailprice")})  # no -0.0
 
 
 @register("e12_model_report", None)

@@ -200,16 +200,24 @@ def encode_frequency(df: DataFrame, column: str, out: str | None = None) -> Data
 def encode_one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, prefix: str | None = None, max_levels: int = 1000) -> DataFrame:
     """one 0/1 column per level, none dropped. The levels become column names, so they
     are listed first -- at most ``max_levels`` + 1 are fetched, and more levels than that is an
-    error (use ordinal, frequency or target encoding for high-cardinality columns)."""
+    error: :func:`encode_one_hot_sparse` takes any number of levels."""
     if levels is None:
         got = [r[0] for r in df.where(q(column).isNotNull()).select(q(column)).distinct().orderBy(q(column)).limit(max_levels + 1).collect()]
         if len(got) > max_levels:
-            raise ValueError(f"{column} has more than {max_levels} levels; one-hot would create that many columns")
+            raise ValueError(f"{column} has more than {max_levels} levels; encode_one_hot_sparse has no such limit")
         levels = got
     pre = prefix or column
     return df.select("*", *[(q(column) == F.lit(lv)).cast("int").alias(f"{pre}_{lv}") for lv in levels])
 
 
+def encode_one_hot_sparse(df: DataFrame, key: str, column: str) -> DataFrame:
+    """F10 for any number of levels: the ones of the indicator matrix as rows (key, level_index, level),
+    levels numbered from 0 in sorted order; a NULL level has none. Levels stay a distributed
+    table, numbered by a running count; a level with a third of the rows is joined by AQE's skew split."""
+    codes = encode_ordinal(df.where(q(column).isNotNull()).select(q(key), q(column).alias("level")), "level", "level_index")
+    return codes.select(q(key), "level_index", "level")
+
+
 def encode_target(df: DataFrame, column: str, target: str, smoothing: float = 10.0, folds: int | None = None, key: str | None = None) -> DataFrame:
     """smoothed mean of the target per level: (sum + m * prior) / (n + m). With ``folds``
     (and an integer ``key``) each row is encoded from the other folds only."""

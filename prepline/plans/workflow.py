@@ -1,9 +1,8 @@
 """Preprocessing plans (F1, F2), export (X1, X2) and the end-to-end run.
 
 A plan is a DataFrame of steps derived from the column profile with Column expressions
-(F1); executing it (F2) folds the steps in order over the data -- the step list is small
-(a few rows per column) and is the only thing collected to the driver. X3 is a plain
-function that calls the stages in order; every stage is a Spark job.
+(F1); executing it (F2) fits the steps on the training rows (``fitted``) and applies the fitted
+table. X3 is a plain function that calls the stages in order; every stage is a Spark job.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepline.operators import features as FE
-from prepline.session import cut_lineage
 from prepline.operators.rules import name_type_expr, role_expr
+from prepline.plans.fitted import TEST_SHARE, apply_plan, fit_plan
+from prepline.session import cut_lineage
 
 # ---- fixed values: step order ----
 STEP_ORDER = {"impute": 1, "treat_outliers": 2, "date_features": 3, "encode": 4, "scale": 5, "split": 6}
@@ -51,26 +51,17 @@ def plan(profile: DataFrame, problem: str) -> DataFrame:
 
 
 def execute_plan(df: DataFrame, steps: DataFrame, key: str) -> DataFrame:
-    """apply the steps in step order (then column position)."""
-    rows = steps.orderBy("step_order", F.col("position").asc_nulls_last()).collect()  # the plan: a few rows per column
-    out = df
-    for r in rows:
-        c, step, method = r["column_name"], r["step"], r["method"]
-        if step == "impute":
-            out = FE.impute(out, [c], "mean" if method == "mean" else "mode")
-        elif step == "treat_outliers":
-            out = FE.treat_outliers(out, [c], "clip", "iqr")
-        elif step == "date_features":
-            out = FE.date_features(out, c).drop(c)
-        elif step == "encode" and method == "one_hot":
-            out = FE.encode_one_hot(out, c).drop(c)
-        elif step == "encode" and method == "ordinal":
-            out = FE.encode_ordinal(out, c).drop(c)
-        elif step == "scale":
-            out = FE.scale(out, [c], "standard")
-        elif step == "split":
-            out = FE.train_test_split(out, key, 0.2)
-    return out
+    """fit the steps on the training rows of the plan's split (on all rows if the plan has none)
+    and apply them to the whole table."""
+    return apply_plan(df, fit_on_train(df, steps, key))
+
+
+def fit_on_train(df: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """the plan's fitted table, from rows outside the test split only."""
+    train = df
+    if steps.where("step = 'split'").limit(1).count():
+        train = FE.train_test_split(df, key, TEST_SHARE).where("split = 'train'").drop("split")
+    return fit_plan(train, steps, key)
 
 
 def export_package(root: str, tables: dict[str, DataFrame], model=None) -> DataFrame:
@@ -131,7 +122,9 @@ def end_to_end(
     kept = [r["column_name"] for r in feats.where("decision = 'keep'").select("column_name").collect()]
     models = M.recommend_models(cls.select("problem_type"), data_facts(profile))
     steps = cut_lineage(plan(profile.where(F.col("column_name").isin(kept)), problem))  # a few rows
-    prepared = execute_plan(df.select(key, target, *kept), steps, key)
+    chosen = df.select(key, target, *kept)
+    fitted = cut_lineage(fit_on_train(chosen, steps, key))
+    prepared = apply_plan(chosen, fitted)
     numeric = [f.name for f in prepared.schema.fields if f.name not in (key, target, "split") and f.dataType.typeName() in ("double", "integer", "long", "float", "boolean", "short", "byte")]
     prepared = prepared.withColumns({c: F.col(c).cast("double") for c in numeric})
     first_model = models.orderBy("priority").select("model_name").first()["model_name"]
@@ -140,6 +133,6 @@ def end_to_end(
     model, _, run = T.train(first_model, train_df, numeric, target, [key])
     pred = model.transform(test_df).select(key, F.col(target).alias("label"), "prediction")
     metrics = cut_lineage(E.evaluate(pred, problem))  # a few rows, read by export and report
-    manifest = export_package(out_root, {"plan": steps, "metrics": metrics, "models": models, "profile": profile.drop("sample_values")}, model)
+    manifest = export_package(out_root, {"plan": steps, "fitted": fitted, "metrics": metrics, "models": models, "profile": profile.drop("sample_values")}, model)
     report = E.model_report(run.withColumn("problem_type", F.lit(problem)), metrics)
     return report.withColumn("n_exported", F.lit(manifest.count()))
