@@ -255,7 +255,24 @@ def t26(spark, sf):
 
 
 
-@register("t9_dbscan_orders", None)
+def _dbscan_sql(points: str, key: str, eps: float, min_samples: int) -> str:
+    """By definition: all pairs, and the smallest core key that a recursive walk reaches."""
+    return f"""WITH RECURSIVE p AS ({points}),
+nb AS (SELECT a.k, b.k AS n FROM p a JOIN p b ON b.x BETWEEN a.x - {eps} - 1e-9 AND a.x + {eps} + 1e-9
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps} * {eps}),
+core AS (SELECT k FROM nb GROUP BY k HAVING count(*) >= {min_samples}),
+e AS (SELECT k, n FROM nb WHERE k IN (FROM core) AND n IN (FROM core)),
+walk AS (SELECT k, k AS root FROM core UNION SELECT e.n, w.root FROM walk w JOIN e ON e.k = w.k WHERE w.root < e.n),
+label AS (SELECT k, min(root) AS c FROM walk GROUP BY k),
+border AS (SELECT nb.k, min(n) AS c FROM nb WHERE nb.k NOT IN (FROM core) AND n IN (FROM core) GROUP BY nb.k)
+SELECT p.k AS {key}, CAST(coalesce(l.c, lb.c, -1) AS BIGINT) AS cluster, l.k IS NOT NULL AS is_core
+FROM p LEFT JOIN label l ON p.k = l.k LEFT JOIN border b ON p.k = b.k LEFT JOIN label lb ON lb.k = b.c"""
+
+
+@register(
+    "t9_dbscan_orders",
+    _dbscan_sql("SELECT o_orderkey AS k, o_totalprice / 10000 AS x, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 30.0::DOUBLE AS y FROM orders", "o_orderkey", 0.5, 40),
+)
 def t9(spark, sf):
     """Orders as 2-D points: (total price / 10000, days since 1995-01-01 / 30)."""
     from prepline.operators.density import dbscan
@@ -267,6 +284,19 @@ def t9(spark, sf):
     return dbscan(o, "o_orderkey", "v", eps=0.5, min_samples=40)
 
 
+@register(
+    "t9_dbscan_customers",
+    _dbscan_sql("SELECT c_custkey AS k, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal / 1000 END AS x, c_nationkey / 4.0::DOUBLE AS y FROM customer", "c_custkey", 0.4, 8),
+)
+def t9_customers(spark, sf):
+    """Customers as (balance / 1000, nation / 4); every ninth has no point and is noise."""
+    from prepline.operators.density import dbscan
+
+    c = load(spark, sf, "customer")
+    v = F.when(F.col("c_custkey") % 9 > 0, F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / 4.0))
+    return dbscan(c.select("c_custkey", v.alias("v")), "c_custkey", "v", eps=0.4, min_samples=8)
+
+
 @register("t22_label_propagation_documents", None)
 def t22(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "lang", "source")

@@ -61,3 +61,35 @@ def test_orders_are_clustered_by_raw_values(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["o_orderkey"]: (r["cluster"], r["is_core"]) for r in t9(spark, str(tmp_path)).collect()}
     assert got == {k: (-1, False) for k in range(40)}
+
+
+def test_dense_cells_split_into_boxes(spark, monkeypatch):
+    """Crowded cells beside each other, some within eps and some just not; missing vectors are noise."""
+    from prepline.operators import density
+
+    monkeypatch.setattr(density, "LEAF", 4)
+    rng = np.random.default_rng(5)
+    eps = 1.0
+    X = np.vstack([rng.uniform((0, 0), (0.5, 0.5), (150, 2)), rng.uniform((1.2, 0), (1.7, 0.5), (150, 2)), rng.uniform((3.0, 0.0), (3.3, 0.3), (100, 2)), rng.uniform(-2, 6, (60, 2))])
+    X = np.vstack([X, X[:20] * [1, -1], [[0.0, 0.0], [-0.0, 0.0]]])
+    keys = np.arange(len(X)) * 7 % 1009 + 1
+    rows = [(int(k), [float(a), float(b)]) for k, (a, b) in zip(keys, X)]
+    gone = [(5000, None), (5001, [None, 1.0]), (5002, [float("nan"), 0.0])]
+    got = {r["k"]: (r["cluster"], r["is_core"]) for r in density.dbscan(spark.createDataFrame(rows + gone, "k long, v array<double>"), "k", "v", eps, 12).collect()}
+    assert {k: got.pop(k) for k in (5000, 5001, 5002)} == dict.fromkeys((5000, 5001, 5002), (-1, False))
+    assert got == brute_dbscan(X, keys, eps, 12)
+
+
+def test_two_dense_cells_meet_in_boxes_not_in_pairs(spark):
+    """Two neighbouring cells of 4,000 points each: 16 million pairs of points, a few pairs of boxes."""
+    from prepline.operators.density import _touching, _tree
+
+    rng = np.random.default_rng(6)
+    side = 1 / np.sqrt(2)
+    rows = [([0, 0], [float(a), float(b)], 1, k) for k, (a, b) in enumerate(rng.uniform(0, 0.7, (4000, 2)))]
+    rows += [([2, 0], [float(a) + 1.45, float(b)], 1, 9000 + k) for k, (a, b) in enumerate(rng.uniform(0, 0.6, (4000, 2)))]
+    tree, depth = _tree(spark.createDataFrame(rows, "cell array<long>, x array<double>, w long, pid long"), 2, float(side))
+    assert depth >= 3 and tree.where("size(pts) > 32").count() == 0
+    pairs = spark.createDataFrame([([0, 0], [2, 0])], "cell array<long>, ncell array<long>")
+    assert _touching(pairs, tree, 1.0).count() == 1
+    assert _touching(pairs, tree, 0.5).count() == 0
