@@ -92,119 +92,202 @@ def next_values(df: DataFrame, keys: Sequence[str], order: str, value: str, k: i
     return res.withColumn(out, F.reverse("_nx")).drop("_nx", "_neg_order")
 
 
-def affine_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    step,
-    init,
-    state_names: Sequence[str],
-) -> DataFrame:
-    """Run a per-series linear recurrence s_t = M s_(t-1) + v * y_t over a global order.
-
-    ``step(state tuple, y) -> state tuple`` must be affine in ``state`` (exponential smoothing is); it is
-    applied inside tasks over range partitions (pandas, one pass). Each partition is first run
-    from the zero state and from unit states, which gives the partition's affine map; the maps
-    are chained per series over its partitions (at most one row per partition), and the
-    chained entry state replays the partition exactly. ``init(first_rows) -> state`` gives the
-    state before the series' first row from its first two values. Output adds, per state
-    name, the state after the row and ``prior_<name>`` (the state before it), plus
-    ``is_first`` for the series' first row.
-    """
+#: passes at most that bring composed states to those of single steps
+POLISH = 8
+
+
+def _scan(A, c, first):
+    """Inclusive prefix products of affine maps s -> A s + c within segments (``first`` marks their first
+    rows): doubling steps over whole arrays."""
     import numpy as np
-    import pandas as pd
 
-    keys = list(keys)
-    dim = len(state_names)
-    r = _ranged(df.select(*keys, order, value), keys, order)
-    sorted_r = r.sortWithinPartitions("_pid", *keys, order)
-    key_schema = sorted_r.select(*keys).schema
-
-    def run(ys, s0):
-        """States after each row (rows x dim); plain floats in the loop, one array at the end."""
-        s = tuple(float(v) for v in s0)
-        out = []
-        for y in ys.tolist():
-            s = step(s, y)
-            out.append(s)
-        return np.array(out, dtype=float).reshape(len(out), dim)
-
-    # pass 1: per (partition, key) affine map over its rows, plus its first two values
+    A, c, whole = A.copy(), c.copy(), first.copy()
+    whole[:1] = True
+    step = 1
+    while not whole.all():
+        at = np.flatnonzero(~whole)
+        before = at - step
+        c_new = np.einsum("nij,nj->ni", A[at], c[before]) + c[at]
+        A_new, whole_new = A[at] @ A[before], whole[before]
+        A[at], c[at], whole[at] = A_new, c_new, whole_new
+        step *= 2
+    return A, c
+
+
+def affine_scan(df: DataFrame, keys: Sequence[str], order: str, value: str, step, gain, missing_step, init, state_names: Sequence[str]) -> DataFrame:
+    """Run a per-series linear recurrence s_t = ``step`` s_(t-1) + ``gain`` y_t over a global order;
+    where y is missing (NULL or NaN), s_t = ``missing_step`` s_(t-1).
+
+    ``init(y1, y2)`` gives the state before the series' first known value from its first two
+    (y2 None if there is one only); rows before it have no state (NULL). Rows are range-partitioned by
+    series and ``order`` (ties by value); tasks stream over Arrow batches and compose all maps of a batch at
+    once in numpy. Only the first and the last series of a partition can go on in another one: their
+    composed maps, at most two rows per partition, are chained on the driver, and a second pass
+    replays each partition from its exact entry states. A NULL key is a series of its own. Output adds,
+    per state name, the state after the row and ``prior_<name>`` before it, and ``is_first`` for the
+    first known row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys, names = list(keys), list(state_names)
+    d = len(names)
+    M, g, N, eye = np.array(step, float).reshape(d, d), np.array(gain, float).reshape(d), np.array(missing_step, float).reshape(d, d), np.eye(d)
+    said = [F.when(F.col(k).isNull(), "-").otherwise(F.concat(F.octet_length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string"))) for k in keys]
+    src = df.select(*keys, order, F.col(value).cast("double").alias(value)).withColumn("_series", F.concat(*said) if said else F.lit(""))
+    sort = ["_series", order, value]
+    r = cut_lineage(src.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_pid", F.spark_partition_id()))
+
+    def maps(b, last_series):
+        """Per row: first of its series (within the partition), known, and its map."""
+        series, y = b.column("_series"), b.column(value)
+        first = np.ones(b.num_rows, bool)
+        if b.num_rows > 1:
+            first[1:] = pc.not_equal(series.slice(1), series.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        first[0] = series[0].as_py() != last_series
+        y = pc.fill_null(y, float("nan")).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(y)
+        A = np.where(known[:, None, None], M, N)
+        c = np.where(known[:, None], np.nan_to_num(y)[:, None] * g, 0.0)
+        return first, known, y, A, c
+
+    def begun(first, known, before):
+        """Whether a known value of the series is at or before each row, given it for the row before the batch."""
+        n = len(first)
+        start = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+        seen = np.maximum.accumulate(np.where(known, np.arange(n), -1))
+        return (seen >= np.maximum(start, 0)) | ((start < 0) & before)
+
+    # pass 1: the composed maps of each partition's first and last series, if the series had begun
+    # before the partition (all rows) and if not (from its first known value on)
     def summarize(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        rows = []
-        for kv, g in pdf.groupby(["_pid", *keys], sort=False):
-            ys = g[value].to_numpy(dtype=float)
-            base = run(ys, np.zeros(dim))[-1]
-            cols = [run(ys, np.eye(dim)[j])[-1] - base for j in range(dim)]
-            first2 = list(ys[:2]) + [np.nan] * (2 - min(2, len(ys)))
-            kv = kv if isinstance(kv, tuple) else (kv,)
-            rows.append((*kv, [float(x) for c in cols for x in c], [float(x) for x in base], first2[0], first2[1], len(ys)))
-        yield pd.DataFrame(rows, columns=["_pid", *keys, "_m", "_b", "_y1", "_y2", "_n"])
-
-    summary_schema = (
-        T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields))
-        .add("_m", T.ArrayType(T.DoubleType()))
-        .add("_b", T.ArrayType(T.DoubleType()))
-        .add("_y1", T.DoubleType())
-        .add("_y2", T.DoubleType())
-        .add("_n", T.LongType())
-    )
-    summary = sorted_r.mapInPandas(summarize, summary_schema)
-
-    # pass 2: chain the maps per key over its partitions (<= partitions rows per key)
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pid")
-        ys = [y for a, b in zip(pdf["_y1"], pdf["_y2"], strict=True) for y in (a, b) if not pd.isna(y)]
-        s = np.array(init(ys[:2]), dtype=float)
-        entries = []
-        for m, b in zip(pdf["_m"], pdf["_b"], strict=True):
-            entries.append([float(x) for x in s])
-            mm = np.array(m, dtype=float).reshape(dim, dim).T
-            s = mm @ s + np.array(b, dtype=float)
-        first = np.zeros(len(pdf), dtype=bool)
-        first[0] = True  # the series starts in its lowest partition
-        return pd.DataFrame({"_pid": pdf["_pid"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "_s0": entries, "_first": first})
-
-    entry_schema = (
-        T.StructType([T.StructField("_pid", T.IntegerType())] + list(key_schema.fields))
-        .add("_s0", T.ArrayType(T.DoubleType()))
-        .add("_first", T.BooleanType())
-    )
-    entries = summary.groupBy(*keys).applyInPandas(chain, entry_schema)
-
-    # pass 3: replay each partition from its exact entry state
-    joined = sorted_r.join(entries, ["_pid", *keys]).sortWithinPartitions("_pid", *keys, order)
-    out_schema = T.StructType([f for f in joined.schema.fields if f.name not in ("_s0", "_first")]).add("is_first", T.BooleanType())
-    for n in state_names:
-        out_schema = out_schema.add(n, T.DoubleType()).add(f"prior_{n}", T.DoubleType())
+        done, cur = [], None  # cur: series, map if begun, map if not, known values (two at most)
+        pid = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pid = b.column("_pid")[0].as_py()
+            first, known, y, A, c = maps(b, cur["series"] if cur else None)
+            start = begun(first, known, bool(cur and cur["known"]))
+            Aa, ca = _scan(A, c, first)
+            An, cn = _scan(np.where(start[:, None, None], A, eye), np.where(start[:, None], c, 0.0), first)
+            ends = np.flatnonzero(np.append(first[1:], True))
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            # in between, only the runs at the batch's ends can matter
+            for s, e in zip(starts, ends, strict=True):
+                if first[s] and cur is not None:
+                    done = done[:1] + [cur] if done else [cur]
+                if first[s]:
+                    cur = {"series": b.column("_series")[int(s)].as_py(), "all": (eye, np.zeros(d)), "new": (eye, np.zeros(d)), "known": []}
+                for name, (P, q) in (("all", (Aa[e], ca[e])), ("new", (An[e], cn[e]))):
+                    P0, q0 = cur[name]
+                    cur[name] = (P @ P0, P @ q0 + q)
+                if len(cur["known"]) < 2:
+                    cur["known"] += y[s : e + 1][known[s : e + 1]][:2].tolist()
+        if cur is not None:
+            done = done[:1] + [cur] if done else [cur]
+            rows = [(pid, k, x["series"], *(v.ravel().tolist() for n in ("all", "new") for v in x[n]), x["known"][:2]) for k, x in enumerate(done)]
+            yield pa.RecordBatch.from_pylist([dict(zip(fields, row, strict=True)) for row in rows], schema)
+
+    fields = ["pid", "k", "series", "A", "c", "A_new", "c_new", "known"]
+    floats = pa.list_(pa.float64())
+    schema = pa.schema([("pid", pa.int32()), ("k", pa.int32()), ("series", pa.string()), *((f, floats) for f in fields[3:])])
+    ddl = "pid int, k int, series string, " + ", ".join(f"{f} array<double>" for f in fields[3:])
+    ends = sorted(r.select("_series", value, "_pid").mapInArrow(summarize, ddl).collect(), key=lambda x: (x["pid"], x["k"]))  # two rows per partition
+
+    # pass 2: chain them; an entry is (begun before?, state there) by partition and run
+    entry: dict[tuple[int, int], tuple[bool, list[float]]] = {}
+    i = 0
+    while i < len(ends):
+        j = i
+        while j < len(ends) and ends[j]["series"] == ends[i]["series"]:
+            j += 1
+        values = [v for x in ends[i:j] for v in x["known"]][:2]
+        state, on = np.array(init(values[0], values[1] if len(values) > 1 else None), float) if values else np.zeros(d), False
+        for x in ends[i:j]:
+            entry[x["pid"], x["k"]] = (on, state.tolist())
+            A, c = (x["A"], x["c"]) if on else (x["A_new"], x["c_new"])
+            state, on = np.array(A).reshape(d, d) @ state + np.array(c), on or bool(x["known"])
+        i = j
+    n_runs = {pid: k + 1 for pid, k in entry}
+
+    # pass 3: replay; the series between a partition's first and last begin and end in it
+    kept = [*keys, order, value]
 
     def replay(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        parts = []
-        for _, g in pdf.groupby(["_pid", *keys], sort=False):
-            g = g.sort_values(order)
-            s0 = np.array(g["_s0"].iloc[0], dtype=float)
-            states = run(g[value].to_numpy(dtype=float), s0)
-            prior = np.vstack([s0.reshape(1, dim), states[:-1]])
-            is_first = np.zeros(len(g), dtype=bool)
-            is_first[0] = bool(g["_first"].iloc[0])
-            g = g.drop(columns=["_s0", "_first"])
-            g["is_first"] = is_first
-            for j, n in enumerate(state_names):
-                g[n] = states[:, j]
-                g[f"prior_{n}"] = prior[:, j]
-            parts.append(g)
-        yield pd.concat(parts, ignore_index=True)
-
-    return joined.mapInPandas(replay, out_schema).drop("_pid")
+        last, run_no, before, state = None, -1, False, np.zeros(d)
+        held: list = []  # of a series whose second known value may come in a later batch
+
+        def emit(b, last, run_no, before, state):
+            first, known, y, A, c = maps(b, last)
+            n = b.num_rows
+            pid = b.column("_pid")[0].as_py()
+            # entry states of the series that begin in this batch, put in front of their first row
+            heads = np.flatnonzero(first)
+            ends_at = np.append(heads[1:], n)[: len(heads)]
+            s0, on = np.zeros((n, d)), np.zeros(n, bool)
+            for s, e in zip(heads.tolist(), ends_at.tolist(), strict=True):
+                run_no += 1
+                at_end = run_no and e == n and is_last_run(b, s, pid)
+                if run_no == 0 or at_end:
+                    on[s], s0[s] = entry[pid, 0 if run_no == 0 else 1]
+                else:
+                    vals = y[s:e][known[s:e]][:2].tolist()
+                    if vals:
+                        s0[s] = init(vals[0], vals[1] if len(vals) > 1 else None)
+            start = begun(first, known, before)
+            # a series that had begun earlier has begun on all its rows
+            carried = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            start |= np.where(np.maximum.accumulate(first), on[carried], before)
+            A = np.where(start[:, None, None], A, eye)
+            c = np.where(start[:, None], c, 0.0)
+            P, q = _scan(A, c, first)
+            origin = np.where(np.maximum.accumulate(first)[:, None], s0[carried], state[None, :])
+            after = np.einsum("nij,nj->ni", P, origin) + q
+            # composed maps round differently from step after step; taking each step once more from the
+            # states found shrinks that difference, until nothing changes
+            for _ in range(POLISH):
+                prior = np.vstack([state[None, :], after[:-1]])
+                prior[first] = s0[first]
+                stepped = np.einsum("nij,nj->ni", A, prior) + c
+                if np.array_equal(stepped, after):
+                    break
+                after = stepped
+            begun_before = np.concatenate([[before], start[:-1]])
+            begun_before[first] = on[first]
+            is_first = known & ~begun_before
+            out = [b.column(k) for k in kept] + [pa.array(is_first)]
+            for k in range(d):
+                out += [pa.array(after[:, k], mask=~start), pa.array(prior[:, k], mask=~start)]
+            return pa.RecordBatch.from_arrays(out, names=out_names), b.column("_series")[n - 1].as_py(), run_no, bool(start[-1]), after[-1]
+
+        def is_last_run(b, s, pid):
+            return n_runs[pid] > 1 and b.column("_series")[s].as_py() == last_series[pid]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # a batch is cut in front of its last series, which waits for the next batch, unless it is the partition's first or last one
+            if held:
+                b = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+                held = []
+            pid, tail = b.column("_pid")[0].as_py(), b.column("_series")[b.num_rows - 1].as_py()
+            if tail not in (first_series[pid], last_series[pid]):
+                at = pc.index(b.column("_series"), tail).as_py()
+                held, b = [b.slice(at)], b.slice(0, at)
+            if b.num_rows:
+                out, last, run_no, before, state = emit(b, last, run_no, before, state)
+                yield out
+        for b in held:
+            yield emit(b, last, run_no, before, state)[0]
+
+    first_series = {x["pid"]: x["series"] for x in reversed(ends)}
+    last_series = {x["pid"]: x["series"] for x in ends}
+    out_schema = T.StructType([*(r.schema[k] for k in kept)]).add("is_first", T.BooleanType())
+    for n in names:
+        out_schema = out_schema.add(n, T.DoubleType()).add(f"prior_{n}", T.DoubleType())
+    out_names = [f.name for f in out_schema.fields]
+    return r.mapInArrow(replay, out_schema)
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, out_order: str | None = None) -> DataFrame:

@@ -171,33 +171,25 @@ def exponential_smoothing(df: DataFrame, ts: str, y: str, by: Sequence[str] = ()
     SES: l_1 = y_1, l_t = a y_t + (1 - a) l_(t-1). Holt: b_1 = y_2 - y_1,
     l_t = a y_t + (1 - a)(l_(t-1) + b_(t-1)), b_t = beta (l_t - l_(t-1)) + (1 - beta) b_(t-1).
     Returns (by..., ts, y, level[, trend], fitted) where fitted is the one-step-ahead
-    forecast made before y_t. Runs as an affine scan (no series in one task).
+    forecast made before y_t. Runs as an affine scan (no series in one task). A missing y keeps its
+    row: the state goes on as forecast (level + trend; the trend stays); before a series' first
+    known value there is no state (NULL), and y_1, y_2 are its first two known values. A NULL
+    ``by`` is a series of its own.
     """
     a = float(alpha)
-    src = df.select(*by, ts, F.col(y).cast("double").alias(y))
     if beta is None:
-
-        def step(s, v):
-            return (a * v + (1 - a) * s[0],)
-
-        def init(first):
-            return [first[0]]
-
-        out = affine_scan(src, by, ts, y, step, init, ["level"])
+        out = affine_scan(df, by, ts, y, [1 - a], [a], [1.0], lambda y1, y2: [y1], ["level"])
         # fitted = level before the row (the first row's prior is y_1 itself)
         return out.select(*by, ts, y, "level", F.col("prior_level").alias("fitted"))
     b = float(beta)
 
-    def step2(s, v):
-        lvl = a * v + (1 - a) * (s[0] + s[1])
-        return (lvl, b * (lvl - s[0]) + (1 - b) * s[1])
-
-    def init2(first):
-        y1 = first[0]
-        y2 = first[1] if len(first) > 1 else first[0]
+    def init(y1, y2):
+        y2 = y1 if y2 is None else y2
         return [2 * y1 - y2, y2 - y1]
 
-    out = affine_scan(src, by, ts, y, step2, init2, ["level", "trend"])
+    # with p = level + trend: level' = a y + (1 - a) p, trend' = b (level' - level) + (1 - b) trend
+    step = [[1 - a, 1 - a], [-a * b, b * (1 - a) + 1 - b]]
+    out = affine_scan(df, by, ts, y, step, [a, a * b], [[1.0, 1.0], [0.0, 1.0]], init, ["level", "trend"])
     fitted = F.when(~F.col("is_first"), F.col("prior_level") + F.col("prior_trend"))
     return out.select(*by, ts, y, "level", "trend", fitted.alias("fitted"))
 

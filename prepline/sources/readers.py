@@ -1,8 +1,6 @@
 """Readers and sinks (S1-S10): thin choices among Spark's own data sources.
 
-Everything is a distributed scan. The only RDD step is the header-row skip of S1, which
-needs each line's position in the file (``zipWithIndex`` keeps file order and runs one
-small counting job).
+Everything is a distributed scan; no RDDs.
 """
 
 from __future__ import annotations
@@ -53,39 +51,37 @@ def read_csv(
     encoding: str = "utf-8",
     infer_schema: bool = True,
     schema: T.StructType | str | None = None,
+    quoted_breaks: bool = True,
+    escape: str = '"',
 ) -> DataFrame:
     """CSV whose header is line ``header_row`` (0-based) of every file; earlier lines are
-    dropped. ``header_row`` 0 is Spark's own reader. Otherwise the file is parsed as strings
-    with Spark's CSV reader, and each line's place in its file comes from the hidden
-    ``_metadata`` columns: lines of a file's first block (block start 0), ordered by the
-    reader's own row order, are numbered with a window over that one block only. Types are
-    then inferred over the whole column (every non-null value must cast)."""
-    opts = {"sep": separator, "header": "true", "encoding": encoding, "inferSchema": str(infer_schema and schema is None).lower()}
-    reader = spark.read.options(**opts)
-    if schema is not None:
-        reader = reader.schema(schema)
+    dropped. Rows are always parsed by Spark's CSV reader; with ``quoted_breaks`` a line break
+    inside quotes belongs to its field, and a file is then one split. Where no field has one,
+    ``quoted_breaks=False`` lets large files be split. A quote inside quotes is doubled; files that
+    Spark wrote with its defaults have ``escape="\\\\"``.
+
+    For ``header_row`` > 0 the names come from that line of the first file. Each task then counts
+    the records at the start of the files it reads, as they stream by, and drops those up to and
+    with the first among ``header_row`` + 1 that equals the header (all of them if none does), so
+    no file is sorted, shuffled or numbered as a whole. Types are inferred over the whole column
+    (every non-null value must cast). A file's start is its first split."""
+    opts = {"sep": separator, "encoding": encoding, "escape": escape, "multiLine": str(quoted_breaks).lower()}
     if header_row <= 0:
-        return reader.csv(path)
+        reader = spark.read.options(header="true", inferSchema=str(infer_schema and schema is None).lower(), **opts)
+        return (reader if schema is None else reader.schema(schema)).csv(path)
     import csv
     import io
 
-    raw = spark.read.option("encoding", encoding).text(path)
-    tagged = raw.select(
-        "value",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__order"),
-    )
-    first_block = Window.partitionBy("__file").orderBy("__order")  # one block of one file per group
-    numbered = tagged.withColumn("__line", F.when(F.col("__block") == 0, F.row_number().over(first_block) - 1))
-    header = numbered.where(F.col("__line") == header_row).orderBy("__file").select("value").first()
-    if header is None:
+    files = sorted(spark.read.options(**opts).text(path).inputFiles())
+    head = [r["value"] for r in spark.read.option("encoding", encoding).text(files[0]).limit(header_row + 1).collect()] if files else []
+    if len(head) <= header_row:
         raise ValueError(f"no line {header_row} in {path}")
-    names = next(csv.reader(io.StringIO(header["value"]), delimiter=separator))  # one line: the header
-    string_schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    lines = numbered.where(F.col("__line").isNull() | (F.col("__line") > header_row))
-    parsed = lines.select(F.from_csv("value", string_schema, {"sep": separator}).alias("__r"))
-    body = parsed.select(*[F.col(f"__r.c{i}").alias(n) for i, n in enumerate(names)])
+    names = next(csv.reader(io.StringIO(head[header_row]), delimiter=separator))  # one line: the header
+    fields = [f"c{i}" for i in range(len(names))]
+    rows = spark.read.options(header="false", **opts).schema(", ".join(f"{c} string" for c in fields)).csv(path)
+    rows = rows.select(*fields, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    body = rows.mapInArrow(_skip_header([n or None for n in names], header_row + 1), ", ".join(f"{c} string" for c in fields))
+    body = body.toDF(*names)
     if schema is not None:
         st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
         return body.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
@@ -94,6 +90,34 @@ def read_csv(
     return infer_types(body)
 
 
+def _skip_header(header: list[str | None], most: int):
+    """Drops the records of each file's first split up to its header, ``most`` at most; records of
+    one split follow each other in one task."""
+
+    def run(batches):
+        import numpy as np
+
+        done: set[str] = set()
+        seen: dict[str, int] = {}
+        for b in batches:
+            files = b.column("file").dictionary_encode()
+            code, start = files.indices.to_numpy(zero_copy_only=False), b.column("start").to_numpy(zero_copy_only=False)
+            keep = np.ones(b.num_rows, dtype=bool)
+            for k, file in enumerate(files.dictionary.to_pylist()):
+                if file in done:
+                    continue
+                for i in np.flatnonzero((code == k) & (start == 0)).tolist():
+                    keep[i] = False
+                    seen[file] = seen.get(file, 0) + 1
+                    if seen[file] >= most or [b.column(c)[i].as_py() for c in range(len(header))] == header:
+                        done.add(file)
+                        break
+            out = b.select(list(range(len(header))))
+            yield out if keep.all() else out.filter(pa.array(keep))
+
+    return run
+
+
 _INFER_ORDER = ["int", "bigint", "double", "timestamp", "boolean"]
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from prepline.functions.ordering import previous_values
@@ -169,3 +170,55 @@ def test_last_non_null_hot_key_matches_pandas_ffill(spark):
             assert ((got.isna() != exp.isna()) | ((got - exp).abs() > 1e-12)).sum() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _smooth(rows, a, b):
+    """(t, y) in order -> (level, trend, fitted) by a plain loop with the missing-value rule."""
+    known = [y for _, y in rows if y is not None]
+    out, state, begun = [], None, False
+    for _, y in rows:
+        if y is None:
+            if not begun:
+                out.append((None, None, None))
+                continue
+            level, trend = state
+            fitted = level + (trend or 0.0)
+            state = (fitted, trend)
+        elif not begun:
+            begun = True
+            fitted = y if b is None else None
+            state = (y, None if b is None else (known[1] - y if len(known) > 1 else 0.0))
+        else:
+            level, trend = state
+            fitted = level + (trend or 0.0)
+            new = a * y + (1 - a) * fitted
+            state = (new, None if b is None else b * (new - level) + (1 - b) * trend)
+        out.append((*state, fitted))
+    return out
+
+
+@pytest.mark.parametrize("beta", [None, 0.2])
+def test_smoothing_over_missing_values_and_null_series(spark, beta):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for t in range(3000):
+        k = "hot" if t % 3 == 0 else rng.choice([None, "a", "late", "gone", *map(str, range(40))])
+        y = None if k == "gone" or (k == "late" and t < 2500) or rng.random() < 0.3 else rng.choice([float("nan"), *[rng.uniform(-5, 5)] * 9])
+        rows.append((k, t, y))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = W.exponential_smoothing(spark.createDataFrame(rows, "k string, t long, y double"), "t", "y", ["k"], alpha=0.3, beta=beta).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(rows)
+    got = {(r["k"], r["t"]): r for r in got}
+    for k in {r[0] for r in rows}:
+        mine = [(t, None if y is None or math.isnan(y) else y) for kk, t, y in rows if kk == k]
+        for (t, _), want in zip(mine, _smooth(mine, 0.3, beta), strict=True):
+            r = got[k, t]
+            have = (r["level"], None if beta is None else r["trend"], r["fitted"])
+            assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)) for g, w in zip(have, want)), (k, t, have, want)

@@ -70,3 +70,18 @@ def test_label_propagation_brute_force(spark):
         s = pd.Series(np.where(pdf.y.notna(), pdf.y, pdf.k.map(new).fillna(pd.Series(s.values))), index=pdf.index)
     for k, v in zip(pdf.k, s):
         assert abs(got[k] - v) < 1e-9
+
+
+def test_csv_header_row_keeps_quoted_breaks(spark, tmp_path):
+    """Several files with preambles of their own, one of them without the second junk line; breaks and separators in quotes."""
+    (tmp_path / "d").mkdir()
+    for i, junk in enumerate(["made by, a tool\n\n", "one\ntwo\n", "only one\n"]):
+        (tmp_path / "d" / f"{i}.csv").write_text(junk + 'id,note,v\n' + f'{i}1,"first\nsecond, third",1.5\n{i}2,"say ""hi""\n\nend",\n{i}3,,3.5\n')
+    df = S.read_csv(spark, str(tmp_path / "d"), header_row=2)
+    assert dict(df.dtypes) == {"id": "int", "note": "string", "v": "double"}
+    got = {r["id"]: (r["note"], r["v"]) for r in df.collect()}
+    assert len(got) == 9 and got[11] == ("first\nsecond, third", 1.5) and got[22][1] is None and got[3] == (None, 3.5)
+    plan = df._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    (tmp_path / "e.csv").write_text('a,b\n1,"x\ny"\n')
+    assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "e.csv")).collect()] == [(1, "x\ny")]
