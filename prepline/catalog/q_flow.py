@@ -32,6 +32,33 @@ def y1(spark, sf):
     return rounded(Y.stream_quality(spark, src, schema, out, ckpt, "ts", "value", "1 day", "1 hour"))
 
 
+@register(
+    "y1_stream_quality_late_rows",
+    """WITH e AS (SELECT event_id % 3 AS b, ts FROM events),
+w AS (SELECT b, (SELECT max(ts) - INTERVAL 10 DAY FROM e p WHERE p.b < g.b) AS mark FROM (SELECT DISTINCT b FROM e) g)
+SELECT CAST(e.b AS BIGINT) AS slice, CAST(count(*) AS BIGINT) AS n_read, CAST(count(*) FILTER (mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark) AS BIGINT) AS n_on_time,
+  CAST(count(*) FILTER (date_trunc('day', ts) + INTERVAL 1 DAY <= mark) AS BIGINT) AS n_late
+FROM e JOIN w USING (b) GROUP BY e.b""",
+)
+def y1_late(spark, sf):
+    """Events arrive in three slices of the same weeks, ten days of delay allowed: later slices hold late rows."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    run = uuid.uuid4().hex[:8]
+    events = load(spark, sf, "events")
+    src = scratch_path(spark, "stream", run, "in")
+    out = scratch_path(spark, "stream", run, "out")
+    ckpt = scratch_path(spark, "stream", run, "ckpt")
+    batches = None
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(src)
+        _, batches = Y.run_quality_stream(spark, src, events.schema, out, ckpt, "ts", "value", "1 day", "10 days")
+    slices = F.row_number().over(Window.orderBy("batch_id")) - 1  # one row per micro-batch
+    return batches.select(slices.cast("long").alias("slice"), "n_read", "n_on_time", "n_late")
+
+
 def _psi_sql(col: str) -> str:
     edges = ", ".join(f"(SELECT quantile_cont({col}, {k / 10}) FROM ref) AS e{k}" for k in range(1, 10))
     b = " + ".join(f"CAST({col} >= e{k} AS INTEGER)" for k in range(1, 10))
@@ -220,7 +247,7 @@ def v6(spark, sf):
 @register("v7_cluster_scatter", None)
 def v7(spark, sf):
     emb = load(spark, sf, "embeddings")
-    n = len(emb.select("embedding").first()["embedding"])
+    n = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
     wide = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
     _, proj, _ = T.pca(wide, [f"e{i}" for i in range(n)], ["vec_id", "label"], k=2)
     return proj.select("vec_id", F.col("label").alias("cluster"), F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))

@@ -301,4 +301,18 @@ def t9_customers(spark, sf):
 def t22(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "lang", "source")
     lab = load(spark, sf, "labels").select("doc_id", "quality")
-    return T.label_propagation(d.join(lab, "doc_id", "left"), "doc_id", "quality", ["lang", "source"], max_iter=10)
+    return T.label_propagation(d.join(lab, "doc_id", "left"), "doc_id", "quality", ["lang", "source"])
+
+
+@register(
+    "t22_label_propagation_step",
+    """WITH d AS (SELECT doc_id, lang, source, CAST(quality AS DOUBLE) AS y FROM documents LEFT JOIN labels USING (doc_id)),
+m AS (SELECT doc_id, y, 'lang=' || lang AS g FROM d UNION ALL SELECT doc_id, y, 'source=' || source FROM d),
+v AS (SELECT g, avg(y) AS gs FROM m GROUP BY g),
+u AS (SELECT doc_id, avg(gs) AS s FROM m JOIN v USING (g) GROUP BY doc_id)
+SELECT doc_id, y AS quality, round(coalesce(y, s), 6) AS score, CAST(floor(coalesce(y, s) + 0.5) AS BIGINT) AS prediction FROM d JOIN u USING (doc_id)""",
+)
+def t22_step(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "lang", "source")
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    return rounded(T.label_propagation(d.join(lab, "doc_id", "left"), "doc_id", "quality", ["lang", "source"], rounds=1))

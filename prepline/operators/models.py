@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -57,15 +57,36 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features", inva
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid=invalid).transform(slim)
 
 
+def complete(df: DataFrame, features: Sequence[str]):
+    """Whether a row has all features (none NULL or NaN)."""
+    ok = F.lit(True)
+    for c in features:
+        v = F.col(c).cast("double")
+        ok = ok & v.isNotNull() & ~F.isnan(v)
+    return F.coalesce(ok, F.lit(False))
+
+
+def predict_all(transform, df: DataFrame, features: Sequence[str], keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``keep`` and the predicted ``columns`` of every row of ``df``: rows with a missing feature are not
+    shown to the model and have NULL there."""
+    ok = complete(df, features)
+    known = transform(df.where(ok))
+    known = known.select(*keep, *columns)
+    rest = df.where(~ok).select(*keep, *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in columns])
+    return known.unionByName(rest)
+
+
 def _fit_predict(est, df: DataFrame, features: Sequence[str], keep: Sequence[str]):
-    data = assemble(df, features, invalid="skip")
-    model = est.fit(data)
-    pred = model.transform(data)
-    cols = [*keep, "prediction"]
-    if "probability" in pred.columns:
-        pred = pred.withColumn("probability", vector_to_array("probability"))
-        cols.append("probability")
-    return model, pred.select(*cols)
+    """Fit on the rows with all features and a label, predict every row (:func:`predict_all`)."""
+    label = keep[-1]
+    model = est.fit(assemble(df.where(complete(df, features) & F.col(label).isNotNull()), features))
+
+    def transform(rows: DataFrame) -> DataFrame:
+        out = model.transform(assemble(rows, features))
+        return out.withColumn("probability", vector_to_array("probability")) if "probability" in out.columns else out
+
+    columns = ["prediction", "probability"] if "probability" in transform(df.limit(0)).columns else ["prediction"]
+    return model, predict_all(transform, df, features, keep, columns)
 
 
 # ------------------------------------------------------------------ T3-T7, T17
@@ -168,16 +189,53 @@ def gaussian_mixture(df, vector_col, key, k=4, seed=42, **params):
     return model, pred.select(*key, F.col("prediction").alias("cluster"), vector_to_array("probability").alias("probability"))
 
 
+def gram(df: DataFrame, features: Sequence[str], means: Sequence[float]):
+    """Sums of products of the centred features over the complete rows as a matrix: each task adds up the
+    outer products of its batches, the tasks' matrices meet entry by entry in one aggregate, and what
+    comes to the driver has the size of the schema squared."""
+    import numpy as np
+    import pandas as pd
+
+    d, mu = len(features), np.array(means, float)
+
+    def run(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            x = b.to_numpy(dtype=float) - mu
+            total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(d, dtype=np.int32), "v": list(total)})
+
+    rows = df.where(complete(df, features)).select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    parts = rows.mapInPandas(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+    out = np.zeros((d, d))
+    for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
 def pca(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int = 2):
-    """Principal components of the *centred* features (MLlib's transform does not centre,
-    so means are subtracted first); returns (model, projections, explained variance ratios)."""
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m_{i}") for i, c in enumerate(features)])
-    centred = attach_one_row(df, means).select(*key, *[(F.col(c).cast("double") - F.col(f"__m_{i}")).alias(c) for i, c in enumerate(features)])
-    data = assemble(centred, features, invalid="skip")
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(data)
-    proj = model.transform(data).select(*key, vector_to_array("pcs").alias("pcs"))
-    ratios = data.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())], "component int, variance_ratio double")
-    return model, proj, ratios
+    """Principal components of the centred features; returns (components, projections, explained
+    variance ratios). The covariance comes from one distributed pass (:func:`gram`) and its
+    eigenvectors from a symmetric solver, which always converges; a component's largest weight is
+    positive. Every row stays: one with a missing feature has NULL projections (pcs)."""
+    import numpy as np
+
+    ok = complete(df, features)
+    stats = df.where(ok).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    means = [stats[f"m{i}"] or 0.0 for i in range(len(features))]
+    values, vectors = np.linalg.eigh(gram(df, features, means) / max(stats["n"] - 1, 1))
+    order = np.argsort(values)[::-1][:k]
+    components = vectors[:, order].T
+    components = components * np.where(components[np.arange(len(order)), np.abs(components).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    total = float(values.sum())
+    x = F.array(*[F.col(c).cast("double") - F.lit(m) for c, m in zip(features, means, strict=True)])
+
+    def along(w):
+        return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    proj = df.select(*key, F.when(ok, F.array(*[along(w) for w in components])).alias("pcs"))
+    shares = [(i + 1, float(values[o]) / total if total else None) for i, o in enumerate(order)]
+    return components, proj, df.sparkSession.createDataFrame(shares, "component int, variance_ratio double")
 
 
 # ------------------------------------------------------------------ T12 isolation forest
@@ -340,20 +398,39 @@ def vote(predictions: DataFrame, key: str, model_col: str = "model", prediction:
     )
 
 
+#: fixed values: Poisson(1) probabilities of at most 0, 1, ... draws
+POISSON_1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def bag_weight(key, bag: int):
+    """How often a row is in a bootstrap sample: Poisson(1) by a portable hash of its key, so a bag does
+    not depend on how rows are partitioned."""
+    u = lehmer(lehmer(lehmer(key) + F.lit(bag + 1) * 7919)) / F.lit(float(2**31 - 1))
+    return sum((F.when(u >= p, 1.0).otherwise(0.0) for p in POISSON_1[1:]), F.when(u >= POISSON_1[0], 1.0).otherwise(0.0))
+
+
 def bagging(df, features, label, key, n_bags=5, seed=11, task="classification", **params):
-    """Fit one model per bootstrap sample (Poisson(1) row weights via sample with
-    replacement, seeded) and combine with T15."""
-    preds = []
+    """Fit one model per bootstrap sample (Poisson(1) row weights by key hash) and combine with T15.
+    Rows with a missing feature have no vote: prediction NULL, n_models 0."""
+    train = assemble(df.where(complete(df, features) & F.col(label).isNotNull()), features)
+    cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
+    models = []
     for b in range(n_bags):
-        bag = df.sample(withReplacement=True, fraction=1.0, seed=seed + b)
-        cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
-        model = cls(featuresCol="features", labelCol=label, numTrees=params.get("numTrees", 20), seed=seed + b).fit(assemble(bag, features, invalid="skip"))
-        p = model.transform(assemble(df, features, invalid="skip")).select(*key, F.lit(b).alias("model"), "prediction")
-        preds.append(p)
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    return vote(allp, key[0], how="majority" if task == "classification" else "mean")
+        bag = train.withColumn("__w", bag_weight(F.col(key[0]), b)).where("__w > 0")
+        models.append(cls(featuresCol="features", labelCol=label, weightCol="__w", numTrees=params.get("numTrees", 20), seed=seed + b).fit(bag))
+
+    def transform(rows: DataFrame) -> DataFrame:
+        # one pass over the rows: each model adds its vote as a column
+        out = assemble(rows, features)
+        for b, m in enumerate(models):
+            out = m.transform(out).withColumnRenamed("prediction", f"__p{b}").drop("rawPrediction", "probability")
+        return out.withColumn("votes", F.array(*[f"__p{b}" for b in range(n_bags)]))
+
+    votes = predict_all(transform, df, features, list(key), ["votes"])
+    long = votes.select(key[0], F.explode_outer("votes").alias("prediction"))
+    out = vote(long.where("prediction is not null"), key[0], how="majority" if task == "classification" else "mean")
+    rest = votes.where("votes is null").select(key[0], F.lit(None).cast("double").alias("prediction"), F.lit(0).cast("long").alias("n_models"))
+    return out.unionByName(rest)
 
 
 # ------------------------------------------------------------------ T21 self-training
@@ -361,8 +438,9 @@ def bagging(df, features, label, key, n_bags=5, seed=11, task="classification",
 def self_training(df: DataFrame, features: Sequence[str], label: str, key: str, threshold: float = 0.9, seed: int = 42):
     """Fit on labelled rows, add unlabelled rows predicted with probability >= threshold
     as pseudo-labels, refit, until no row is added; so the last model has seen them all. The
-    growing label table is checkpointed (reliable) every round."""
-    data = assemble(df, features, invalid="skip").withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
+    growing label table is checkpointed (reliable) every round. Rows with a missing feature are
+    neither fitted nor labelled; they stay with a NULL prediction."""
+    data = assemble(df.where(complete(df, features)), features).withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
     r = 0
     while True:
         r += 1
@@ -377,7 +455,10 @@ def self_training(df: DataFrame, features: Sequence[str], label: str, key: str,
         if data.where(F.col("__round") == r).limit(1).count() == 0:
             break
     final = model.transform(data.drop("rawPrediction", "probability", "prediction"))
-    return model, final.select(key, label, F.col("__y").alias("training_label"), F.col("__round").alias("labelled_in_round"), "prediction")
+    out = final.select(key, label, F.col("__y").alias("training_label"), F.col("__round").alias("labelled_in_round"), "prediction")
+    y = F.col(label).cast("double")
+    rest = df.where(~complete(df, features)).select(key, label, y.alias("training_label"), F.when(y.isNotNull(), 0).alias("labelled_in_round"), F.lit(None).cast("double").alias("prediction"))
+    return model, out.unionByName(rest)
 
 
 # ------------------------------------------------------------------ T23, T24, T25, T26, T1, T2
@@ -419,9 +500,10 @@ def tune(df: DataFrame, features: Sequence[str], label: str, key: str, folds: in
 
 
 def predict(model, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Batch prediction with a fitted model or pipeline."""
-    out = model.transform(assemble(df, features, invalid="keep"))
-    return out.select(*key, "prediction")
+    """Batch prediction of every row with a fitted model or pipeline; NULL where a feature is missing."""
+    casted = df.withColumns({c: F.col(c).cast("double") for c in features})
+    own = isinstance(model, PipelineModel)  # it assembles the features itself
+    return predict_all(lambda rows: model.transform(rows if own else assemble(rows, features)), casted, features, key, ["prediction"])
 
 
 def training_spec(models: DataFrame) -> DataFrame:
@@ -435,7 +517,8 @@ def training_spec(models: DataFrame) -> DataFrame:
 
 
 def train(spec_model: str, df: DataFrame, features: Sequence[str], label: str | None, key: Sequence[str]):
-    """Fit the named model as a Pipeline; returns (pipeline model, predictions, run facts)."""
+    """Fit the named model as a Pipeline; returns (pipeline model, predictions, run facts). It is fitted
+    on rows with all features and a label; the others are predicted as far as they have features."""
     t0 = time.time()
     stages = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")]
     p = DEFAULT_PARAMS.get(spec_model, {})
@@ -454,8 +537,10 @@ def train(spec_model: str, df: DataFrame, features: Sequence[str], label: str |
     else:
         raise ValueError(spec_model)
     casted = df.withColumns({c: F.col(c).cast("double") for c in features})
-    model = Pipeline(stages=stages).fit(casted)
-    pred = model.transform(casted)
+    ok = complete(casted, features) & (F.col(label).isNotNull() if label else F.lit(True))
+    model = Pipeline(stages=stages).fit(casted.where(ok))
+    keep = [*key, label] if label else list(key)
+    pred = predict_all(model.transform, casted, features, keep, ["prediction"])
     seconds = time.time() - t0
     run = df.sparkSession.createDataFrame([(spec_model, float(seconds))], "model_name string, training_seconds double")
     keep = [*key] + ([label] if label else []) + ["prediction"]
@@ -475,34 +560,38 @@ def load_model(path: str) -> PipelineModel:
 
 # ------------------------------------------------------------------ T22 label propagation
 
-def label_propagation(
-    df: DataFrame, key: str, label: str, group_cols: Sequence[str], max_iter: int = 20, tol: float = 1e-6
-) -> DataFrame:
+def label_propagation(df: DataFrame, key: str, label: str, group_cols: Sequence[str], tol: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """Propagate a numeric label (e.g. 0/1) over the bipartite graph of rows and their
     attribute values (row -- "column=value"). Each round: every value node takes the mean
     score of its rows that have one; every unlabelled row takes the mean of its value nodes;
-    labelled rows stay clamped. Edges are memberships, never row pairs, and a value shared by
-    a third of all rows is one groupBy key with partial aggregation. Rounds are checkpointed;
-    stops when the largest change is below ``tol``. Returns (key, label, score, prediction)
-    with prediction = score rounded (ties up)."""
-    memb = df.select(
-        F.col(key).alias("__k"),
-        F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("<null>"))) for c in group_cols])).alias("__g"),
+    labelled rows stay clamped. Rows with equal attributes have equal scores, so they are collapsed
+    into one node that weighs its rows, and the rounds work on distinct attribute tuples only; a
+    value shared by a third of all rows is one groupBy key with partial aggregation.
+
+    Rounds are checkpointed and go on until the largest change is below ``tol``: the scores
+    are weighted means of the labels and approach their fixed point from round to round. ``rounds``
+    asks for exactly so many instead. Returns (key, label, score, prediction), prediction = score
+    rounded (ties up); rows that no label reaches have a NULL score."""
+    y = F.col(label).cast("double")
+    base = df.select(F.col(key).alias("__k"), y.alias("__y"), F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group_cols)]).alias("__t"))
+    nodes = cut_lineage(
+        base.groupBy("__t").agg(F.count("__y").alias("nl"), F.sum("__y").alias("sl"), F.count_if(F.col("__y").isNull()).alias("nu")).withColumn("u", F.lit(None).cast("double"))
     )
-    memb = cut_lineage(memb)
-    base = df.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"))
-    scores = cut_lineage(base.select("__k", "__y", F.col("__y").alias("__s")))
-    for _ in range(max_iter):
-        g = memb.join(scores.where(F.col("__s").isNotNull()).select("__k", "__s"), "__k").groupBy("__g").agg(F.avg("__s").alias("__gs"))
-        r = memb.join(g, "__g").groupBy("__k").agg(F.avg("__gs").alias("__new"))
-        nxt = scores.join(r, "__k", "left").select(
-            "__k", "__y", F.coalesce(F.col("__y"), F.col("__new"), F.col("__s")).alias("__s"), F.col("__s").alias("__old")
-        )
-        nxt = cut_lineage(nxt)
-        delta = nxt.agg(F.max(F.abs(F.coalesce(F.col("__s"), F.lit(0.0)) - F.coalesce(F.col("__old"), F.lit(0.0))))).first()[0] or 0.0
-        scores = nxt.drop("__old")
-        if delta < tol:
+    values = F.array(*[F.concat(F.lit(f"{i}="), F.coalesce(F.concat(F.lit("="), F.col(f"__t.g{i}").cast("string")), F.lit(""))) for i in range(len(group_cols))])
+    done = 0
+    while rounds is None or done < rounds:
+        memb = nodes.select("__t", F.explode(values).alias("__g"), F.coalesce("sl", F.lit(0.0)).alias("sl"), "nl", "nu", "u")
+        known = F.col("nl") + F.when(F.col("u").isNotNull(), F.col("nu")).otherwise(0)
+        total = F.col("sl") + F.coalesce(F.col("u") * F.col("nu"), F.lit(0.0))
+        mean = memb.groupBy("__g").agg(F.try_divide(F.sum(total), F.sum(known)).alias("gs"))
+        new = memb.select("__t", "__g").join(mean, "__g").groupBy("__t").agg(F.avg("gs").alias("new"))
+        nodes = cut_lineage(nodes.join(new, "__t").withColumn("change", F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("u", F.lit(0.0)))))
+        done += 1
+        moved = nodes.where("nu > 0").agg(F.max("change")).first()[0] or 0.0
+        nodes = nodes.select("__t", "nl", "sl", "nu", F.col("new").alias("u"))
+        if rounds is None and moved < tol:
             break
-    return scores.select(
-        F.col("__k").alias(key), F.col("__y").alias(label), F.col("__s").alias("score"), F.floor(F.col("__s") + 0.5).alias("prediction")
+    score = F.coalesce("__y", "u")
+    return base.join(nodes.select("__t", "u"), "__t", "left").select(
+        F.col("__k").alias(key), F.col("__y").alias(label), score.alias("score"), F.floor(score + 0.5).alias("prediction")
     )

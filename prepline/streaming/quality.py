@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,26 @@ def stream_quality(
 ) -> DataFrame:
     """Run the stream to completion (availableNow) and return the final window table
     (window_start, window_end, n_rows, n_missing, mean, min, max)."""
+    return run_quality_stream(spark, source_dir, schema, out_dir, checkpoint, ts, value, window, watermark, max_files_per_trigger)[0]
+
+
+def run_quality_stream(
+    spark: SparkSession,
+    source_dir: str,
+    schema,
+    out_dir: str,
+    checkpoint: str,
+    ts: str = "ts",
+    value: str = "value",
+    window: str = "1 day",
+    watermark: str = "1 hour",
+    max_files_per_trigger: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Y1 with its late rows: the window table, and one row per micro-batch that read anything (batch_id,
+    n_read, n_on_time, n_late). Rows read come from the query's progress, written beside each
+    batch's windows; a row is on time if it reached its window, so on-time and late rows add up to
+    the rows read. Running again with the same folders goes on where the last run ended, with its
+    watermark."""
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -57,13 +77,39 @@ def stream_quality(
         stream = stream.withColumn(ts, F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts)).cast("timestamp"))
     stream = stream.withWatermark(ts, watermark)
     agg = window_quality_agg(stream, ts, value, window)
+    windows, progress = os.path.join(out_dir, "windows"), os.path.join(out_dir, "progress")
+    read: dict[int, int] = {}
+
+    def note(query) -> None:
+        """The last progress reports are kept by the query; each batch takes over what is there."""
+        for p in query.recentProgress:
+            read[p["batchId"]] = max(p["numInputRows"], read.get(p["batchId"], 0))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(os.path.join(windows, f"batch={batch_id}"))
+        if started:
+            note(started[0])
 
+    started: list = []
     q = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.append(q)
     q.awaitTermination()
-    return final_windows(spark.read.parquet(out_dir))
+    note(q)
+    rows = [(b, n) for b, n in sorted(read.items()) if n]
+    if rows:
+        # one file per run, named by its first batch: a repeated run writes the same one
+        spark.createDataFrame(rows, "batch_id long, n_read long").coalesce(1).write.mode("overwrite").parquet(os.path.join(progress, f"from={rows[0][0]}"))
+    updates = spark.read.schema(f"w struct<start:timestamp,end:timestamp>, {_STATS}, batch_id long").parquet(os.path.join(windows, "batch=*"))
+    reads = spark.read.schema("batch_id long, n_read long").parquet(os.path.join(progress, "from=*"))
+    # a window's rows are cumulative: a batch brought what its update has beyond the one before
+    before = F.lag("n_rows", 1, 0).over(Window.partitionBy("w").orderBy("batch_id"))
+    on_time = updates.withColumn("new", F.col("n_rows") - before).groupBy("batch_id").agg(F.sum("new").alias("n"))
+    batches = reads.groupBy("batch_id").agg(F.max("n_read").alias("n_read")).join(on_time, "batch_id", "left")
+    batches = batches.select("batch_id", "n_read", F.coalesce("n", F.lit(0)).alias("n_on_time"), (F.col("n_read") - F.coalesce("n", F.lit(0))).alias("n_late"))
+    return final_windows(updates), batches
+
+
+_STATS = "n_rows long, n_missing long, mean double, min double, max double"
 
 
 def final_windows(updates: DataFrame) -> DataFrame:

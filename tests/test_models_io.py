@@ -57,10 +57,10 @@ def test_label_propagation_brute_force(spark):
 
     rows = [(1, "a", "x", 1.0), (2, "a", "y", None), (3, "b", "y", 0.0), (4, "b", "z", None), (5, "c", "z", None), (6, "a", "x", 0.0)]
     df = spark.createDataFrame(rows, "k long, g1 string, g2 string, y double")
-    got = {r["k"]: r["score"] for r in T.label_propagation(df, "k", "y", ["g1", "g2"], max_iter=50, tol=1e-12).collect()}
+    got = {r["k"]: r["score"] for r in T.label_propagation(df, "k", "y", ["g1", "g2"], tol=1e-12).collect()}
     pdf = pd.DataFrame(rows, columns=["k", "g1", "g2", "y"])
     s = pdf.y.copy()
-    for _ in range(50):
+    for _ in range(300):
         mem = pd.concat([pd.DataFrame({"k": pdf.k, "g": "g1=" + pdf.g1}), pd.DataFrame({"k": pdf.k, "g": "g2=" + pdf.g2})])
         cur = pd.Series(s.values, index=pdf.k)
         mem["s"] = mem.k.map(cur)
@@ -85,3 +85,53 @@ def test_csv_header_row_keeps_quoted_breaks(spark, tmp_path):
     assert "Window" not in plan and "Exchange" not in plan
     (tmp_path / "e.csv").write_text('a,b\n1,"x\ny"\n')
     assert [tuple(r) for r in S.read_csv(spark, str(tmp_path / "e.csv")).collect()] == [(1, "x\ny")]
+
+
+def test_rows_with_missing_features_stay(spark):
+    from prepline.operators import models as M
+
+    rows = [(k, None if k % 10 == 0 else float(k % 7), float("nan") if k % 10 == 5 else float(k % 3), float(k % 2) if k % 9 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    gone = {k for k in range(200) if k % 5 == 0}
+    _, lin = M.linear_regression(df, ["a", "b"], "y", ["id"])
+    model, piped, _ = M.train("Logistic Regression", df, ["a", "b"], "y", ["id"])
+    for pred in (lin, piped, M.predict(model, df, ["a", "b"], ["id"]), M.bagging(df, ["a", "b"], "y", ["id"], n_bags=2, numTrees=3)):
+        got = {r["id"]: r["prediction"] for r in pred.collect()}
+        assert len(got) == 200 and {k for k, p in got.items() if p is None} == gone
+    again = M.bagging(df.repartition(7), ["a", "b"], "y", ["id"], n_bags=1, numTrees=1)
+    weights = df.select(M.bag_weight(F.col("id"), 0).alias("w")).agg(F.avg("w")).first()[0]
+    assert again.count() == 200 and 0.7 < weights < 1.3
+
+
+def test_pca_equals_a_symmetric_solver(spark):
+    import numpy as np
+
+    from prepline.operators import models as M
+
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 100.0
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(X)] + [(999, None, 1.0, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, d double, e double")
+    comp, proj, ratios = M.pca(df.repartition(6), list("abcde"), ["id"], k=2)
+    values, vectors = np.linalg.eigh(np.cov(X.T))
+    assert np.allclose([r["variance_ratio"] for r in ratios.orderBy("component").collect()], values[::-1][:2] / values.sum())
+    got = {r["id"]: r["pcs"] for r in proj.collect()}
+    assert got.pop(999) is None and len(got) == 300
+    assert np.allclose(np.abs([got[k] for k in range(300)]), np.abs((X - X.mean(axis=0)) @ vectors[:, ::-1][:, :2]))
+    assert np.allclose(np.abs(comp @ vectors[:, ::-1][:, :2]), np.eye(2), atol=1e-8)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    import datetime as dt
+
+    from prepline.streaming.quality import run_quality_stream
+
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    slices = [[day(1), day(2), day(9)], [day(2), day(8), day(10)], [day(1), day(1), day(30)]]
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows in slices:
+        df = spark.createDataFrame([(t, 1.0) for t in rows], "ts timestamp_ntz, value double")
+        df.write.mode("append").parquet(src)
+        windows, batches = run_quality_stream(spark, src, df.schema, out, ck, "ts", "value", "1 day", "2 days")
+    got = [(r["n_read"], r["n_on_time"], r["n_late"]) for r in batches.orderBy("batch_id").collect()]
+    assert got == [(3, 3, 0), (3, 2, 1), (3, 1, 2)]
+    assert windows.agg(F.sum("n_rows")).first()[0] == 6
