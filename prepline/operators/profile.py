@@ -273,9 +273,17 @@ def sample_values(df: DataFrame, k: int = SAMPLE_K, vals: DataFrame | None = Non
 
 
 def infer_semantic_type(df: DataFrame) -> DataFrame:
-    """(position, column_name, dtype, data_type)."""
-    prof = column_profile(df)
-    return prof.select("position", "column_name", "dtype", "data_type")
+    """(position, column_name, dtype, data_type). Only string columns need their distinct values; the
+    other types follow from the schema."""
+    cols = columns_table(df)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if strings:
+        narrow = df.select(*[qcol(c) for c in strings])
+        counts = attach_one_row(unique_values(narrow), narrow.agg(F.count(F.lit(1)).alias("n"))).select("column_name", F.try_divide(F.col("unique_values").cast("double"), "n").alias("ratio"))
+        cols = cols.join(F.broadcast(counts), "column_name", "left")  # one row per column
+    else:
+        cols = cols.withColumn("ratio", F.lit(None).cast("double"))
+    return cols.select("position", "column_name", "dtype", semantic_type(F.col("dtype"), F.col("ratio")).alias("data_type"))
 
 
 PROFILE_SCHEMA = (
@@ -575,65 +583,74 @@ def _numeric_fields(df: DataFrame, columns: Sequence[str] | None = None):
     return [f for f in df.schema.fields if is_numeric(f.dataType) and (columns is None or f.name in columns)]
 
 
+#: tables of partial sums per column that meet before the last sum, so no group grows with the partitions
+CORR_SALTS = 64
+#: cells of a batch multiplied at once
+CORR_CELLS = 4_000_000
+
+
 def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """Long form (col_a, col_b, r) for every pair a < b (by position), pairwise-complete.
 
-    Two scans, both plain sums inside one codegen'd aggregate: (1) non-null counts and means;
-    (2) sums of products of mean-centred values. Columns without missing values share one
-    set of sums, so c columns cost c + c(c-1)/2 sums; a pair involving a column with missing
-    values gets its own pairwise-complete sums. r is NULL for a constant column.
-    Spearman: each column is first replaced by its average rank (distributed ranks).
+    Two scans: (1) means; (2) sums of products of mean-centred values as blocked outer products: each
+    task multiplies its batches as matrices (values and their presence), so a pair counts the rows
+    where both are known, and adds them up. The tasks' sums leave as one row per column and are added
+    in two steps (by column and salt, then by column), so neither plan nor groups grow with the
+    number of pairs or partitions: thousands of columns plan like two. r is NULL for a constant
+    column. Spearman: each column is first replaced by its average rank (distributed ranks).
     """
+    import numpy as np
+    import pandas as pd
+
     fields = _numeric_fields(df, columns)
     if method == "spearman":
         df = rank_transform(df, [f.name for f in fields])
         fields = [T.StructField(f.name, T.DoubleType()) for f in fields]
     names = [f.name for f in fields]
-    if len(names) < 2:
+    c = len(names)
+    if c < 2:
         return _empty(df.sparkSession, "col_a string, col_b string, r double")
-    vals = {f.name: as_double(qcol(f.name), f.dataType) for f in fields}
-    first = df.agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(names)], *[F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(names)]
-    ).first()  # 1 + 2c numbers: schema-sized
-    n_all = first["__n"]
-    complete = {c for i, c in enumerate(names) if first[f"n{i}"] == n_all}
-    mean = {c: (first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i, c in enumerate(names)}
-    cen = {c: vals[c] - F.lit(mean[c]) for c in names}
-    aggs = []
-    for i, c in enumerate(names):
-        if c in complete:
-            aggs += [F.sum(cen[c]).alias(f"s{i}"), F.sum(cen[c] * cen[c]).alias(f"q{i}")]
-    pairs = []
-    for a in range(len(names)):
-        for b in range(a + 1, len(names)):
-            ca, cb = names[a], names[b]
-            k = len(pairs)
-            if ca in complete and cb in complete:
-                aggs.append(F.sum(cen[ca] * cen[cb]).alias(f"x{k}"))
-                pairs.append((ca, cb, f"x{k}", None))
-            else:
-                both = vals[ca].isNotNull() & vals[cb].isNotNull()
-                xa, xb = F.when(both, cen[ca]), F.when(both, cen[cb])
-                aggs += [
-                    F.count_if(both).alias(f"pn{k}"), F.sum(xa).alias(f"pa{k}"), F.sum(xb).alias(f"pb{k}"),
-                    F.sum(xa * xa).alias(f"paa{k}"), F.sum(xb * xb).alias(f"pbb{k}"), F.sum(xa * xb).alias(f"x{k}"),
-                ]
-                pairs.append((ca, cb, f"x{k}", k))
-    sums = df.agg(*aggs)
-    exprs = []
-    idx = {c: i for i, c in enumerate(names)}
-    for ca, cb, x, k in pairs:
-        if k is None:
-            n = F.lit(float(n_all))
-            sa, sb, qa, qb = F.col(f"s{idx[ca]}"), F.col(f"s{idx[cb]}"), F.col(f"q{idx[ca]}"), F.col(f"q{idx[cb]}")
-        else:
-            n, sa, sb, qa, qb = F.col(f"pn{k}").cast("double"), F.col(f"pa{k}"), F.col(f"pb{k}"), F.col(f"paa{k}"), F.col(f"pbb{k}")
-        cov = F.col(x) - sa * sb / n
-        va, vb = qa - sa * sa / n, qb - sb * sb / n
-        r = cov / F.sqrt(va * vb)
-        r = F.when((va > 0) & (vb > 0) & (n > 1), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))  # clamp only real values
-        exprs.append(F.struct(F.lit(ca).alias("col_a"), F.lit(cb).alias("col_b"), F.round(r, 6).alias("r")))
-    return sums.select(F.explode(F.array(*exprs)).alias("p")).select("p.*")
+    values = df.select(*[as_double(qcol(f.name), f.dataType).alias(f"v{i}") for i, f in enumerate(fields)])
+    means = values.agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(c)]).first()  # one number per column
+    mu = np.array([m if m is not None else 0.0 for m in means])
+
+    def multiply(batches):
+        both, total, square, cross = (np.zeros((c, c)) for _ in range(4))
+        step = max(1, CORR_CELLS // c)
+        for b in batches:
+            for lo in range(0, len(b), step):
+                x = b.iloc[lo : lo + step].to_numpy(dtype=float) - mu
+                known = ~np.isnan(x)
+                x = np.where(known, x, 0.0)
+                known = known.astype(float)
+                both += known.T @ known
+                total += x.T @ known  # [i, j]: sum of column i over rows where j is known
+                square += (x * x).T @ known
+                cross += x.T @ x
+        for i in range(c - 1):
+            j = slice(i + 1, c)
+            sums = np.vstack([both[i, j], total[i, j], total[j, i], square[i, j], square[j, i], cross[i, j]])
+            yield pd.DataFrame({"i": [i], "sums": [sums.tobytes()]})
+
+    def added(rows: pd.DataFrame):
+        return sum(np.frombuffer(s) for s in rows["sums"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "sums": [added(rows).tobytes()]})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        i = int(rows["i"].iloc[0])
+        n, sa, sb, qa, qb, x = added(rows).reshape(6, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            r = np.clip((x - sa * sb / n) / np.sqrt(va * vb), -1.0, 1.0)
+        r = np.where((va > 0) & (vb > 0) & (n > 1), r, np.nan)
+        return pd.DataFrame({"col_a": names[i], "col_b": names[i + 1 :], "r": r})
+
+    parts = values.mapInPandas(multiply, "i int, sums binary").withColumn("salt", F.spark_partition_id() % CORR_SALTS)
+    parts = parts.groupBy("i", "salt").applyInPandas(add, "i int, sums binary")
+    out = parts.groupBy("i").applyInPandas(finish, "col_a string, col_b string, r double")
+    return out.withColumn("r", F.round(F.when(~F.isnan("r"), F.col("r")), 6))
 
 
 def rank_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -662,7 +679,8 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     """A10: one row -- shape, missing totals, type lists, duplicate count, issue codes (R2)."""
     from prepline.operators.rules import issue_codes
 
-    prof = column_profile(df)
+    # counts of missing cells in one pass; the type lists follow from the schema
+    prof = missing_by_column(df).join(F.broadcast(columns_table(df).select("position", "dtype")), "position")
     dup = duplicate_rows(df)
     agg = prof.agg(
         F.max("n_rows").alias("n_rows"),

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,19 @@ def test_approximate_profile_close_to_exact(spark):
     au = by_name(P.unique_values(li, exact=False))
     for name, e in exact.items():
         assert abs(au[name]["unique_values"] - e["unique_values"]) <= max(2, 0.05 * e["unique_values"])
+
+
+def test_correlation_of_many_columns(spark):
+    c = 300
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, c))
+    x[:, 150] = 2 * x[:, 3] + 1
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7] = 5.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(c)])
+    got = P.correlation_matrix(spark.createDataFrame(pdf).coalesce(3)).toPandas()
+    assert len(got) == c * (c - 1) // 2
+    r = got.set_index(["col_a", "col_b"])["r"]
+    assert np.isnan(r["c0", "c7"]) and abs(r["c3", "c150"] - 1) < 1e-6
+    want = pdf[["c1", "c2", "c299"]].corr()
+    assert abs(r["c1", "c2"] - want.loc["c1", "c2"]) < 1e-6 and abs(r["c2", "c299"] - want.loc["c2", "c299"]) < 1e-6
