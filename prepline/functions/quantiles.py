@@ -51,7 +51,7 @@ def _located(ranged: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
     offsets = part.groupBy("_pid").agg(F.sum("t").alias("_n"))
     offsets = offsets.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     in_part = F.sum("t").over(Window.partitionBy("_pid").orderBy("_k")) - F.col("t")
-    part = cut_lineage(part.withColumn("start", in_part).join(offsets, "_pid").withColumn("start", F.col("start") + F.col("_off")).drop("_off"))
+    part = part.withColumn("start", in_part).join(offsets, "_pid").withColumn("start", F.col("start") + F.col("_off")).drop("_off")
     stats = part.groupBy("_k").agg(F.sum("t").alias("n"), F.min("start").alias("first"))
     targets = (
         stats.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
