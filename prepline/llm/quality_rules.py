@@ -3,15 +3,19 @@
 The words of many documents are one array with the document as part of every symbol, so
 suffixes of different documents differ at once. Prefix doubling ranks the suffixes: after k
 steps equal ranks mean equal runs of 2^k words, and only suffixes that still share a rank go
-on, so ordinary text is done after a few steps. The ranks after three steps give the 8-word
-windows found twice or more. Suffixes that share one are sorted in full; the longest common
-prefixes of neighbours are read off the ranks from long to short. A suffix's deepest
-LCP interval is its longest maximal repeat, so the union of those spans is the union over
-all maximal repeats of at least ``MIN_REPEAT`` words.
-
-Verdict: a document fails the base rules (too few words, or repeated windows over 30 % of
-the words), or the method's limits: the spans cover more than ``MAX_COVERED`` of the words,
-or one repeat is longer than ``MAX_LONGEST`` of the words (and than ``LONGEST_FLOOR`` words).
+on, so ordinary text is done after a few steps. Suffixes that share ``MIN_REPEAT`` words with
+another one are sorted in full; the longest common prefixes of neighbours are read off the
+ranks from long to short, or, where these would need more than ``LEVEL_RANKS`` numbers (very
+long texts that repeat throughout), found in text order, each from the one before. A suffix's
+deepest LCP interval is its longest maximal repeat, so the union of those spans is the union
+over all maximal repeats of at least ``MIN_REPEAT`` words; with ``BASE_WINDOW`` words it is the
+union of the base rule's windows.
+
+Verdict: a document fails the base rules (too few words, or repeated 8-word windows over 30 %
+of the words), or the method's limits: maximal repeats of ``MIN_REPEAT`` words or more cover
+more than ``MAX_COVERED`` of the words (phrases said again and again, too short for the base
+rule's windows), or one repeat is longer than ``MAX_LONGEST`` of the words (and than
+``LONGEST_FLOOR`` words).
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows
 each keep their row; an empty table gives no rows. Texts are taken whole; tasks work through
@@ -28,25 +32,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_REPEAT = 8
-MAX_COVERED = 0.30
+BASE_WINDOW = 8
+MIN_REPEAT = 4  # a power of two
+MAX_COVERED = 0.50
 MAX_LONGEST = 0.20
 LONGEST_FLOOR = 50
 MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
 BLOCK_CHARS = 2_000_000
+LEVEL_RANKS = 64_000_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def repeats(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents laid end to end (``symbols`` distinct between documents, ``ends`` the end of
-    each position's document, ``lengths`` of the documents): the words covered by maximal
-    repeats of at least MIN_REPEAT words, and the longest repeat, of each document."""
+    each position's document, ``lengths`` of the documents), of each document: the words covered
+    by maximal repeats of at least BASE_WINDOW words, the same of at least MIN_REPEAT words, and
+    the longest of these repeats."""
     n, m = len(symbols), len(lengths)
+    none = np.zeros(m, dtype=np.int64)
     if n == 0:
-        return np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        return none, none, none
     counts = np.bincount(symbols)
     rank = (np.cumsum(counts) - counts)[symbols]  # a class's rank: its first place in sorted order
     active = np.flatnonzero(counts[symbols] > 1)
@@ -64,29 +72,63 @@ def repeats(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
         active = at[size > 1]
         step *= 2
-        levels.append(rank.copy())
+        if levels is not None:
+            levels = [*levels, rank.copy()] if (len(levels) + 1) * n <= LEVEL_RANKS else None
         if step == MIN_REPEAT:
             shared = active
     if step < MIN_REPEAT or not len(shared):
-        return np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        return none, none, none
     sa = shared[np.argsort(rank[shared], kind="stable")]
-    i, j = sa[:-1].copy(), sa[1:].copy()
+    lcp = prefixes_in_text_order(symbols, ends, sa) if levels is None else prefixes_by_levels(levels, ends, sa)
+    longest = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
+    doc = np.repeat(np.arange(m), lengths)
+
+    def covered(least: int) -> np.ndarray:
+        edge = np.zeros(n + 1, dtype=np.int64)
+        keep = longest >= least
+        np.add.at(edge, sa[keep], 1)
+        np.add.at(edge, sa[keep] + longest[keep], -1)
+        return np.bincount(doc[np.cumsum(edge[:n]) > 0], minlength=m).astype(np.int64)
+
+    most = none.copy()
+    keep = longest >= MIN_REPEAT
+    np.maximum.at(most, doc[sa[keep]], longest[keep])
+    return covered(BASE_WINDOW), covered(MIN_REPEAT), most
+
+
+def prefixes_by_levels(levels: list[np.ndarray], ends: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """The longest common prefixes of neighbours in ``sa``, from the ranks after every step."""
+    i, j = sa[:-1], sa[1:]
+    last = len(ends) - 1
     lcp = np.zeros(len(i), dtype=np.int64)
     for k in range(len(levels) - 1, -1, -1):
         ok = (i + lcp < ends[i]) & (j + lcp < ends[j])
-        same = ok & (levels[k][np.minimum(i + lcp, n - 1)] == levels[k][np.minimum(j + lcp, n - 1)])
+        same = ok & (levels[k][np.minimum(i + lcp, last)] == levels[k][np.minimum(j + lcp, last)])
         lcp[same] += 1 << k
-    longest = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
-    keep = longest >= MIN_REPEAT
-    sa, longest = sa[keep], longest[keep]
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, sa, 1)
-    np.add.at(edge, sa + longest, -1)
-    doc = np.repeat(np.arange(m), lengths)
-    covered = np.bincount(doc[np.cumsum(edge[:n]) > 0], minlength=m)
-    most = np.zeros(m, dtype=np.int64)
-    np.maximum.at(most, doc[sa], longest)
-    return covered.astype(np.int64), most
+    return lcp
+
+
+def prefixes_in_text_order(symbols: np.ndarray, ends: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """The same without ranks: a suffix has at most one word less in common with its neighbour than
+    the suffix one word before it (which holds as long as both are in ``sa``)."""
+    place = np.full(len(symbols), -1, dtype=np.int64)
+    place[sa] = np.arange(len(sa))
+    lcp = np.zeros(max(0, len(sa) - 1), dtype=np.int64)
+    words, stop = memoryview(np.ascontiguousarray(symbols)), memoryview(np.ascontiguousarray(ends))
+    h, before = 0, -2
+    for i in np.flatnonzero(place >= 0).tolist():
+        p = place[i]
+        h = h - 1 if i == before + 1 and h > MIN_REPEAT else 0
+        before = i
+        if p == 0:
+            h = 0
+            continue
+        j = int(sa[p - 1])
+        room = min(stop[i] - i, stop[j] - j)
+        while h < room and words[i + h] == words[j + h]:
+            h += 1
+        lcp[p - 1] = h
+    return lcp
 
 
 def measure(texts: list[str]) -> pd.DataFrame:
@@ -100,8 +142,8 @@ def measure(texts: list[str]) -> pd.DataFrame:
         rows.append((len(words), len(t) - sum(map(t.count, _BLANKS)), sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines))))
     out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines"], dtype=np.int64)
     lengths = out["n_words"].to_numpy()
-    covered, longest = repeats(np.concatenate(symbols), np.repeat(np.cumsum(lengths), lengths), lengths)
-    return out.assign(n_repeat_words=covered, longest_repeat=longest)
+    base_covered, covered, longest = repeats(np.concatenate(symbols), np.repeat(np.cumsum(lengths), lengths), lengths)
+    return out.assign(n_repeat_words=base_covered, n_phrase_words=covered, longest_repeat=longest)
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -125,10 +167,10 @@ def judge(docs: DataFrame) -> DataFrame:
                 yield measure(texts[lo:hi]).assign(doc_id=b["doc_id"].array[lo:hi])
 
     m = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
+        run, "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_phrase_words long, longest_repeat long"
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    covered = F.when(F.col("n_words") > 0, F.col("n_repeat_words") / F.col("n_words")).otherwise(F.lit(0.0))
+    covered = F.when(F.col("n_words") > 0, F.col("n_phrase_words") / F.col("n_words")).otherwise(F.lit(0.0))
     limit = F.greatest(F.lit(float(LONGEST_FLOOR)), F.col("n_words") * MAX_LONGEST)
     return m.select(
         F.col("doc_id").cast("long").alias("doc_id"),
