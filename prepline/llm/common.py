@@ -24,6 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: rows of narrow tables (edges, labels) that one task takes
+NARROW_ROWS = 50_000
+
+
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """``cut`` for tables of few narrow columns, in as many partitions as their rows ask for: an
+    iterative operator shuffles them again and again, and every task of a shuffle leaves files."""
+    out = cut(df)
+    return out.coalesce(max(1, ceil_div(out.count(), NARROW_ROWS)))
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
@@ -62,7 +73,7 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, tasks: int) -> DataFrame:
         # the minimum of a node's neighbourhood by a partial aggregate, then every
         # neighbour (larger ones: large star; smaller ones and itself: small star) linked to it
         b = both(e) if large else e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
@@ -74,17 +85,18 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
             out = j.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(
                 low.select("src", F.col("low").alias("dst"))
             )
-        return out.where("src <> dst").distinct()
+        return out.where("src <> dst").coalesce(tasks).distinct().coalesce(tasks)
 
-    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    e = cut_narrow(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = None
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
-        e = cut(star(star(e, True), False))
+        tasks = max(1, ceil_div(e.count(), NARROW_ROWS))
+        e = cut(star(star(e, True, tasks), False, tasks))
         rounds += 1
-        # stable when every node points at one root and the sum of the roots stops falling
-        now = e.agg(F.count(F.lit(1)), F.count_distinct("src"), F.sum(F.col("dst").cast("decimal(38,0)")), F.sum(F.hash("src", "dst").cast("long"))).first()
-        if before == now and now[0] == now[1]:
+        # stable when a round leaves the edges as they were: then every node points at one root
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.sum(F.hash("src", "dst").cast("long"))).first()
+        if before == now:
             break
         before = now
     roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()

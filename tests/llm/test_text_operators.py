@@ -281,6 +281,51 @@ def test_near_duplicates_by_definition(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_or_with_shared_ids(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b = [[word() for _ in range(120)] for _ in range(2)]
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [(7, " ".join(a)), (None, near(a, 5)), (9, near(a, 100)), (20, " ".join(b)), (20, "some other words under one id"), (21, near(b, 50)), (22, "Some other words under one id")]
+    rows += [(None, "alone without an id or a partner"), (None, None), (7, " ".join(a))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(7, 118, 7), (None, 118, 7), (9, 118, 7), (20, 118, 20), (21, 118, 20), (20, 4, 20), (22, 4, 20), (None, 5, None), (None, 0, None)}
+    assert got == want
+
+
+def test_shingles_by_definition(monkeypatch):
+    rng = random.Random(3)
+    al = ["a", "B", "é", "É", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "word", "\u2028", "x" * 70, "x" * 64, "\r", "\x0b\x0c"]
+    texts = ["".join(rng.choice(al) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, "", " ", "a a a a a a", "A b", " a  B ", "x" * 71]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for n in (1, 3, 5):
+        known = {}
+        for chunk in (1 << 20, 60, 1):
+            monkeypatch.setattr(minhash, "CHUNK", chunk)
+            for t, got in zip(texts, minhash.Shingler(n).many(texts), strict=True):
+                w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+                want = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+                assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+                assert known.setdefault(frozenset(want), got.tobytes()) == got.tobytes()
+        assert len(set(known.values())) == len(known)
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in [1, 2, 3, 30, 200, 5000, 1, 700]]
+    probes = minhash._probe_table()
+    many = minhash.signatures(sets, probes)
+    for x, got in zip(sets, many, strict=True):
+        assert np.array_equal(minhash.signatures([x], probes)[0], got)
+        h = minhash._mix(x + np.uint64(0x632BE59BD9B4E019))
+        own = {}
+        for v in h.tolist():
+            own[v >> 56] = min(v, own.get(v >> 56, 1 << 64))
+        for i in range(minhash.BINS):
+            donor = next((p for p in [i, *probes[i].tolist(), *range(i, minhash.BINS), *range(i)] if p in own))
+            assert got[i] == own[donor], i
+
+
 def test_leftover_pair_whose_earlier_band_agrees_in_bytes_only(spark):
     n = minhash.BINS // minhash.BAND
     bits, fine = bytes(range(256)), bytes(minhash.FINE_BINS)
