@@ -13,8 +13,8 @@ itself; then the lines' texts are fetched
 and, without their common start and end, verified by banded bit-parallel edit distance (a
 band of 2 tau + 1 bits slides along the diagonal, one step per character). A line with any verified earlier neighbour goes.
 
-Lines are compared without white space at their ends; lines shorter than ``min_chars`` then
-are left alone, as are the line breaks of what stays. Texts are never shuffled before
+Lines are compared without white space at their ends; lines that are blank then (shorter than
+``min_chars``) are left alone, as are the line breaks of what stays. Texts are never shuffled before
 candidates are known; the last join of documents with their dropped places is by document.
 
 Defined results: a null text stays null, an empty one empty; a document whose lines all go
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from prepline.llm.common import HEAVY_SHARE, ceil_div, cut, keyed_join
 
 TAU = 2
-MIN_CHARS = 10
+MIN_CHARS = 1
+#: two edits in a shorter line make another line: another number, name or list entry
 NEAR_CHARS = 24
 #: two words of packed counts; white space is often most of what the common letters leave
 LETTERS = ("etaoinsrhldu", "cmgpbfvwkyz ")
