@@ -33,11 +33,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles, by links;
-    documents without an id or without words belong to no group."""
+    """One document of each group that shares 0.8 or more of its five-word shingles, by links:
+    decided by id and text, so texts that share an id are told apart and of repeated rows one
+    stays. A document without an id goes if its group has one with an id; documents without
+    words belong to no group."""
     marks = minhash.near_duplicates(docs.select("doc_id", "text"), shingle=5, threshold=80, band=6)
-    gone = marks.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marks = cut(marks.where("n_shingles > 0").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"), F.min("component_id").alias("group")))
+    here = F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"))
+
+    def those(d: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+        return d.join(some, F.col("_at.doc_id").eqNullSafe(F.col("_id")) & (F.col("_at.mark") == F.col("_mark")), how)
+
+    left = those(docs.withColumn("_at", here), marks.where("not kept and group is not null"), "left_anti")
+    again = cut(marks.where("rows > 1 and (kept or group is null)"))
+    if not again.isEmpty():
+        left = those(left, again, "left_anti").unionByName(those(left, again, "left_semi").dropDuplicates(["_at"]))
+    return left.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
