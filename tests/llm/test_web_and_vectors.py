@@ -147,6 +147,21 @@ def test_search_at_most_lists(spark, monkeypatch):
     assert hit >= 0.99 * 410, hit
 
 
+def test_pipeline_near_duplicates_of_shared_and_missing_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b, c = ([word() for _ in range(150)] for _ in range(3))
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [(1, " ".join(a), "x"), (1, " ".join(a), "x"), (2, near(a, 9), "x"), (None, near(a, 90), "x"), (3, " ".join(b), "x"), (3, near(a, 30), "y"), (None, " ".join(c), "z"), (None, " ".join(c), "z"), (4, None, "x"), (5, "", "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, df, "").collect()), key=str)
+    want = [(1, rows[0][1]), (3, rows[4][1]), (None, rows[6][1]), (4, None), (5, ""), (5, "")]
+    assert got == sorted(want, key=str)
+    assert cp.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
