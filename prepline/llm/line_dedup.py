@@ -7,11 +7,14 @@ split into tau + 1 segments; two lines within tau edits share a segment, at a pl
 differs by no more than the edits to its left and right allow. So the segments of all lines,
 keyed by line length, segment number and content, are an index, and each line probes it with
 the substrings that can match (itself or a longer line, multi-match-aware places only), all
-as hashed keys. A candidate survives if the counts of ``LETTERS`` differ by no more than tau
-edits can make them differ (2 tau, less the difference of the lengths), which the join tests
-itself; then the lines' texts are fetched
-and, without their common start and end, verified by banded bit-parallel edit distance (a
-band of 2 tau + 1 bits slides along the diagonal, one step per character). A line with any verified earlier neighbour goes.
+as hashed keys. A grouped minimum and maximum tells which keys more than one line has; only lines
+under these are read again. A segment that many lines have (a template's words) is split by what
+they share besides: without the shared segment two such lines are still within tau edits, so
+their rests are cut into segments and met in the same way. A candidate survives if the counts of
+``LETTERS`` differ by no more than tau edits can make them differ (2 tau, less the difference of
+the lengths), which the join tests itself; then the lines, without their common start and end, are
+verified by banded bit-parallel edit distance (a band of 2 tau + 1 bits slides along the diagonal,
+one step per character). A line with any verified earlier neighbour goes.
 
 Lines are compared without white space at their ends; lines that are blank then (shorter than
 ``min_chars``) are left alone, as are the line breaks of what stays. Texts are never shuffled before
@@ -35,11 +38,15 @@ TAU = 2
 MIN_CHARS = 1
 #: two edits in a shorter line make another line: another number, name or list entry
 NEAR_CHARS = 24
-#: two words of packed counts; white space is often most of what the common letters leave
-LETTERS = ("etaoinsrhldu", "cmgpbfvwkyz ")
-#: candidate lines up to this many are fetched through a broadcast of their hashes
+#: words of packed counts; white space is often most of what the common letters leave
+LETTERS = ("etaoinsrhldu", "cmgpbfvwkyz ", "0123456789jx")
+#: shared segments and candidate lines up to this many are fetched through a broadcast of their hashes
 BROADCAST_LINES = 200_000
 PAIRS_PER_TASK = 2_000
+#: a segment under which more pairs than this meet is split by the rests of its lines
+HOT_PAIRS = 250_000
+#: rests shorter than this are not split any further
+SHORT_REST = 12
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -49,7 +56,8 @@ def line_key(norm: Column) -> Column:
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, mark, place, norm: lines long enough to be compared."""
-    raw = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))  # once a text, not once a line
+    raw = split.select("doc_id", "mark", F.posexplode("lines").alias("place", "line"))
     return raw.withColumn("norm", F.btrim("line", F.lit(BLANKS))).drop("line").where(F.length("norm") >= min_chars)
 
 
@@ -66,24 +74,37 @@ def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(norm: Column, n: Column, tau: int) -> Column:
-    """The hashed segments of a line, as the index holds them."""
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(norm, s, w)) for i, (s, w) in enumerate(segments(n, tau))])
-
-
-def probe_keys(norm: Column, n: Column, tau: int) -> Column:
-    """The hashed substrings of a line that can equal a segment of a line as long or up to tau
-    shorter: for segment i of a line shorter by d, places p - i .. p + i that also lie in
-    p + d - (tau - i) .. p + d + (tau - i)."""
-    keys = []
+def matches(n: Column, tau: int, both_ways: bool = False) -> list[tuple[Column, int, Column, Column, bool]]:
+    """Where a line of n characters can equal a segment of a line as long or up to tau shorter: for
+    segment i of a line shorter by d, places p - i .. p + i that also lie in
+    p + d - (tau - i) .. p + d + (tau - i). (length of the shorter line, i, start, length, whether it is
+    the line's own segment). Of two lines equally long either one probes the other, so places to the
+    left are left out there, unless ``both_ways``."""
+    out = []
     for d in range(tau + 1):
         shorter = n - d
         for i, (p, w) in enumerate(segments(shorter, tau)):
             for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
-                if d == 0 and shift < 0:
-                    continue  # of two lines equally long, the other one probes
-                keys.append(F.xxhash64(shorter, F.lit(i), F.substring(norm, p + shift, w)))
-    return F.array_distinct(F.array(*keys))
+                if d == 0 and shift < 0 and not both_ways:
+                    continue
+                out.append((shorter, i, p + shift, w, d == 0 and shift == 0))
+    return out
+
+
+def segment_keys(norm: Column, n: Column, tau: int, *prefix: Column, both_ways: bool = False) -> Column:
+    """The hashed substrings of a line at its ``matches``; those of its own segments are its index."""
+    return F.array(*[F.xxhash64(*prefix, shorter, F.lit(i), F.substring(norm, start, w)) for shorter, i, start, w, _ in matches(n, tau, both_ways)])
+
+
+def own_segment(k: Column, tau: int, both_ways: bool = False) -> Column:
+    return k.isin([j for j, m in enumerate(matches(F.lit(0), tau, both_ways)) if m[4]])
+
+
+def without_match(norm: Column, k: Column, tau: int, both_ways: bool = False) -> Column:
+    """A line less the substring of its match number k."""
+    at = matches(F.length(norm), tau, both_ways)
+    start, w = F.get(F.array(*[m[2] for m in at]), k), F.get(F.array(*[m[3] for m in at]), k)
+    return F.concat(F.substring(norm, F.lit(1), start - 1), F.substring(norm, start + w, F.length(norm)))
 
 
 def letter_counts(norm: Column) -> Column:
@@ -105,8 +126,10 @@ def letter_counts(norm: Column) -> Column:
         start = F.struct(rest.alias("rest"), F.octet_length(rest).alias("n"), F.lit(0).cast("long").alias("packed"))
         return F.aggregate(F.array(*[F.lit(c) for c in letters]), start, out, done)
 
-    both = F.transform(F.array(word(norm, LETTERS[0])), lambda a: F.struct(a.packed.alias("a"), word(a.rest, LETTERS[1]).packed.alias("b")))
-    return F.get(both, F.lit(0))
+    def rest(a: Column) -> Column:
+        return F.get(F.transform(F.array(word(a.rest, LETTERS[1])), lambda b: F.struct(a.packed.alias("a"), b.packed.alias("b"), word(b.rest, LETTERS[2]).packed.alias("c"))), F.lit(0))
+
+    return F.get(F.transform(F.array(word(norm, LETTERS[0])), rest), F.lit(0))
 
 
 def letters_apart(a: Column, b: Column) -> Column:
@@ -195,23 +218,78 @@ def cores(pairs: DataFrame) -> DataFrame:
     return d.withColumns({"m": F.length("p"), "n": F.length("t")}).drop("cut")
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame, tau: int) -> DataFrame:
-    """The keys of distinct lines that have an earlier line within tau edits."""
-    side = lambda keys, tag: distinct.where(F.col("info.index").isNotNull()).select(
-        F.explode(keys).alias("segment"), F.col("info.id").alias(f"id_{tag}"), F.col("info.letters").alias(f"letters_{tag}"), F.col("info.n").alias(f"n_{tag}")
-    )
-    met = side("info.index", "p").join(side("info.probe", "t"), "segment")
-    # a substitution changes two counts by one, a character more or less a single one
-    most = 2 * tau - (F.col("n_t") - F.col("n_p"))
-    common = letters_apart(F.col("letters_p.a"), F.col("letters_t.a"))
-    met = met.where((F.col("id_p") != F.col("id_t")) & (common <= most) & (common + letters_apart(F.col("letters_p.b"), F.col("letters_t.b")) <= most))
-    pairs = cut(met.select(F.least("id_p", "id_t").alias("a"), F.greatest("id_p", "id_t").alias("b")).distinct())
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    if ids.count() <= BROADCAST_LINES:
-        ids = F.broadcast(ids)
-    texts = lines.withColumn("id", F.xxhash64("norm")).join(ids, "id", "left_semi")
+def small(keys: DataFrame) -> DataFrame:
+    """Distinct hashes, to be sent to all tasks if there are at most BROADCAST_LINES of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
+
+
+def met_segments(base: DataFrame, tau: int) -> DataFrame:
+    """base (id, keys) -> segment, id, k: the keys of lines under segments that another line has too."""
+    rows = base.where("keys is not null").select("id", F.posexplode("keys").alias("k", "segment"))
+    own = F.max(own_segment(F.col("k"), tau).cast("int"))
+    met = rows.groupBy("segment").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), own.alias("own")).where("lo <> hi and own = 1")
+    met = cut(met.select("segment"))
+    return cut(rows.join(small(met), "segment", "left_semi").distinct())
+
+
+def lighter_groups(met: DataFrame, texts: DataFrame, tau: int, hot_pairs: int) -> DataFrame:
+    """met (segment, id, k), texts (id, norm) -> segment, id, own, blocks.
+
+    Lines within tau edits that share a segment are within tau edits without it, so a group of more than
+    ``hot_pairs`` pairs is split by what its lines share in their rests, again and again. A group whose
+    rests are shorter than ``SHORT_REST`` stays as it is and is met in blocks."""
+    r = met.withColumn("own", own_segment(F.col("k"), tau))
+    done = []
+    first = True
+    while True:
+        sizes = r.groupBy("segment").agg((F.count_if(F.col("own")) * F.count(F.lit(1))).alias("pairs"))
+        hot = cut(sizes.where(F.col("pairs") > hot_pairs))
+        if hot.isEmpty():
+            done.append(r.select("segment", "id", "own", F.lit(1).alias("blocks")))
+            break
+        done.append(r.join(hot, "segment", "left_anti").select("segment", "id", "own", F.lit(1).alias("blocks")))
+        r = r.join(hot, "segment")
+        if first:
+            r = r.join(texts.select("id", F.col("norm").alias("rest")), "id")
+        r = cut(r.withColumn("rest", without_match(F.col("rest"), F.col("k"), tau, not first)))
+        stay = F.length("rest") < SHORT_REST
+        # index rows of a group are equally long, the others longer: all of a group's pairs stay or none,
+        # but for groups at the border, whose shorter rows are met both ways
+        border = F.length("rest") < SHORT_REST + tau
+        blocks = F.ceil(F.col("pairs") / hot_pairs).cast("int")
+        done.append(r.where(border).select("segment", "id", (F.col("own") & stay).alias("own"), blocks.alias("blocks")))
+        n = F.length("rest")
+        r = r.where(~stay).select("id", "own", "rest", F.posexplode(segment_keys(F.col("rest"), n, tau, F.col("segment"), both_ways=True)).alias("k", "next"))
+        r = cut(r.select(F.col("next").alias("segment"), "id", "k", "rest", (F.col("own") & own_segment(F.col("k"), tau, True)).alias("own")))
+        first = False
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def near_lines(lines: DataFrame, base: DataFrame, tau: int) -> DataFrame:
+    """lines (doc_id, mark, place, norm), base (id, keys) -> the keys of distinct lines that have an
+    earlier line within tau edits."""
+    met = met_segments(base, tau)
+    texts = lines.withColumn("id", F.xxhash64("norm")).join(small(cut(met.select("id").distinct())), "id", "left_semi")
     texts = texts.groupBy("id", "norm").agg(F.min(F.struct("doc_id", "mark", "place")).alias("first"))
-    texts = cut(texts.select("id", "first", F.struct("norm", "first").alias("line")))
+    texts = cut(texts.withColumns({"n": F.length("norm"), "letters": letter_counts(F.col("norm"))}))
+    rows = lighter_groups(met, texts, tau, HOT_PAIRS).join(texts.select("id", "n", "letters"), "id")
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    p = rows.where("own").select("segment", block.alias("block"), F.col("id").alias("id_p"), F.col("letters").alias("letters_p"), F.col("n").alias("n_p"))
+    t = rows.select("segment", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_t"), F.col("letters").alias("letters_t"), F.col("n").alias("n_t"))
+    # a substitution changes two counts by one, a character more or less a single one
+    longer = F.col("n_t") - F.col("n_p")
+    most = 2 * tau - longer
+    apart = F.lit(0).cast("long")
+    fits = (F.col("id_p") != F.col("id_t")) & longer.between(0, tau)
+    for word in ("a", "b", "c"):
+        apart = apart + letters_apart(F.col(f"letters_p.{word}"), F.col(f"letters_t.{word}"))
+        fits = fits & (apart <= most)
+    found = p.join(t, ["segment", "block"]).where(fits)
+    pairs = cut(found.select(F.least("id_p", "id_t").alias("a"), F.greatest("id_p", "id_t").alias("b")).distinct())
+    texts = texts.select("id", F.struct("norm", "first").alias("line"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x.norm") <= F.length("y.norm")
     both = both.select("a", "b", "x", "y", F.when(swap, F.col("x.norm")).otherwise(F.col("y.norm")).alias("p"), F.when(swap, F.col("y.norm")).otherwise(F.col("x.norm")).alias("t"))
@@ -228,18 +306,11 @@ def dropped_lines(docs: DataFrame, tau: int, min_chars: int, near_chars: int) ->
     """docs (doc_id, text) -> doc_id, mark, drops (places), near (how many go as similar lines)."""
     lines = lines_of(docs, min_chars)
     n = F.length("norm")
-    near = n >= near_chars
-    info = F.struct(
-        F.xxhash64("norm").alias("id"),
-        n.alias("n"),
-        F.when(near, letter_counts(F.col("norm"))).alias("letters"),
-        F.when(near, index_keys(F.col("norm"), n, tau)).alias("index"),
-        F.when(near, probe_keys(F.col("norm"), n, tau)).alias("probe"),
-    )
-    rows = lines.select(line_key(F.col("norm")).alias("key"), F.struct("doc_id", "mark", "place").alias("at"), info.alias("info"))
-    distinct = rows.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("info").alias("info"))
-    found = cut(near_lines(lines, distinct, tau))
-    repeated = lines.select(line_key(F.col("norm")).alias("key"), F.struct("doc_id", "mark", "place").alias("at"))
+    keys = F.when(n >= near_chars, segment_keys(F.col("norm"), n, tau))
+    # all that is needed of most lines, written once: hashes, no texts
+    base = cut(lines.select(line_key(F.col("norm")).alias("key"), "doc_id", "mark", "place", F.xxhash64("norm").alias("id"), keys.alias("keys")))
+    found = cut(near_lines(lines, base, tau))
+    repeated = base.select("key", F.struct("doc_id", "mark", "place").alias("at"))
     firsts = repeated.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     known = firsts.join(found.withColumn("near", F.lit(True)), "key", "full")
     known = cut(known.select("key", "first", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("near", F.lit(False)).alias("near")))

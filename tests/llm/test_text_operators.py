@@ -130,9 +130,13 @@ def _edits(a, b):
     return prev[-1]
 
 
-def test_line_dedup_by_definition(spark):
+@pytest.mark.parametrize("hot_pairs", [line_dedup.HOT_PAIRS, 2])
+def test_line_dedup_by_definition(spark, monkeypatch, hot_pairs):
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", hot_pairs)  # 2: nearly every group is split by its rests
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdeé fgh") for _ in range(rng.randint(24, 40))).strip() + "xyz" for _ in range(15)]
+    base += ["one template of some words: " + "".join(rng.choice("0123456789") for _ in range(rng.randint(3, 30))) for _ in range(15)]
+    base += ["ab" * 15 + "c" * k for k in range(3)]
     rows = []
     for k in range(40):
         ls = []
