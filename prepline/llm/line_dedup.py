@@ -42,6 +42,9 @@ NEAR_CHARS = 24
 LETTERS = ("etaoinsrhldu", "cmgpbfvwkyz ", "0123456789jx")
 #: shared segments and candidate lines up to this many are fetched through a broadcast of their hashes
 BROADCAST_LINES = 200_000
+#: a count's remainder by ten as five bits, so that as many bits differ as there are steps between two
+#: remainders on the ring of ten
+RING = [(1 << v) - 1 for v in range(6)] + [32 - (1 << v) for v in range(1, 5)]
 PAIRS_PER_TASK = 2_000
 #: a segment under which more pairs than this meet is split by the rests of its lines
 HOT_PAIRS = 250_000
@@ -108,8 +111,9 @@ def without_match(norm: Column, k: Column, tau: int, both_ways: bool = False) ->
 
 
 def letter_counts(norm: Column) -> Column:
-    """Counts of LETTERS, five bits each (by the remainder), one long per word of LETTERS. Letters
-    are taken out one after the other, so each step reads a shorter rest."""
+    """Counts of LETTERS, five bits each (``RING``), one long per word of LETTERS. Letters are taken
+    out one after the other, so each step reads a shorter rest."""
+    ring = F.array(*[F.lit(v).cast("long") for v in RING])
 
     def out(s: Column, c: Column) -> Column:
         # the count of the letter taken out before this step shows in the rest's bytes now
@@ -117,7 +121,7 @@ def letter_counts(norm: Column) -> Column:
         return F.struct(F.replace(s.rest, c, F.lit("")).alias("rest"), here.alias("n"), packed(s, here).alias("packed"))
 
     def packed(s: Column, here: Column) -> Column:
-        return F.shiftleft(s.packed, 5) + ((s.n - here) % 32).cast("long")
+        return F.shiftleft(s.packed, 5) + F.get(ring, (s.n - here) % 10)
 
     def done(s: Column) -> Column:
         return F.struct(s.rest.alias("rest"), packed(s, F.octet_length(s.rest)).alias("packed"))
@@ -133,12 +137,8 @@ def letter_counts(norm: Column) -> Column:
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """A lower bound of the sum of the letters' differences (differences taken modulo 32)."""
-    total = F.lit(0).cast("long")
-    for k in range(12):
-        x = F.abs(F.shiftright(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * k).bitwiseAND(F.lit(31)))
-        total = total + F.least(x, 32 - x)
-    return total
+    """A lower bound of the sum of the letters' differences (differences taken around a ring of ten)."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def edits(p: Column, t: Column, n: Column, m: Column, tau: int) -> Column:
@@ -282,7 +282,7 @@ def near_lines(lines: DataFrame, base: DataFrame, tau: int) -> DataFrame:
     # a substitution changes two counts by one, a character more or less a single one
     longer = F.col("n_t") - F.col("n_p")
     most = 2 * tau - longer
-    apart = F.lit(0).cast("long")
+    apart = F.lit(0)
     fits = (F.col("id_p") != F.col("id_t")) & longer.between(0, tau)
     for word in ("a", "b", "c"):
         apart = apart + letters_apart(F.col(f"letters_p.{word}"), F.col(f"letters_t.{word}"))
