@@ -4,9 +4,14 @@ Lists: a hash sample of at most ``SAMPLE_ROWS`` vectors is halved again and agai
 along the line between two far means, so all leaves hold equally many sampled vectors; a
 leaf's mean is a list's centroid. Every vector of the table goes to its nearest list, and
 boundary vectors also to further lists whose centroid is at most ``1 + REPLICATE`` times as
-far, up to ``COPIES`` in all. A query is compared with every centroid (at most ``MAX_LISTS``, a
-bounded broadcast) and probes all lists that are at most ``1 + PROBE`` times as far as the
-nearest one, however many these are, and no fewer than ``LEAST_PROBES``.
+far, up to ``COPIES`` in all. A query finds its lists by a walk over a graph of the centroids (at
+most ``MAX_LISTS``, a bounded broadcast): each is linked with its ``DEGREE`` nearest ones and the
+next leaf of the halving, so all are connected. The walk goes on from every centroid among the
+``WALK`` nearest met so far, or within the ratio below, until none of them is left; it has no limit
+of steps. The query probes all lists met that are at most ``1 + ratio`` times as far as the nearest
+one, however many these are, and no fewer than ``LEAST_PROBES``. The ratio is the least one at which
+the lists hold ``RECALL`` of the true neighbours within a hash sample of ``TUNE_ROWS`` further vectors
+(the same as above if there are no others), asked for the neighbours of ``TUNE_QUERIES`` of them.
 
 Work is dealt out by shelves of ``SHELF`` lists: a vector is one row of each shelf that holds
 one of its lists, a query one of each shelf that holds a list it probes, both with the bits of
@@ -39,7 +44,11 @@ LIST_ROWS = 400
 MAX_LISTS = 2_048
 COPIES = 4
 REPLICATE = 0.2
-PROBE = 0.6
+TUNE_ROWS = 10_000
+TUNE_QUERIES = 500
+RECALL = 0.99
+DEGREE = 16
+WALK = 32
 LEAST_PROBES = 12
 SHELF = 16
 BLOCK = 4_096
@@ -97,35 +106,94 @@ def posting_lists(v: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        take = min(COPIES, len(c))
         for b in batches:
             for lo in range(0, len(b), 2048):
                 part = b.iloc[lo : lo + 2048]
-                d = np.sqrt(square_distances(np.array(part["v"].tolist()), c))
-                at = np.argpartition(d, take - 1, axis=1)[:, :take]
-                near = np.take_along_axis(d, at, axis=1)
-                first = near.min(axis=1)[:, None]
-                keep = np.zeros(d.shape, dtype=bool)
-                np.put_along_axis(keep, at, near <= first * (1 + REPLICATE), axis=1)
-                shelves, bits = shelved(keep)
+                shelves, bits = shelved(lists_held(np.array(part["v"].tolist()), c))
                 yield part.assign(shelves=shelves, bits=bits)
 
     return v.mapInPandas(run, "vec_id long, v array<double>, shelves array<int>, bits array<int>")
 
 
-def probed_lists(q: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """q (vec_id, v) -> query_id, q, shelves, bits: of all lists that the distance ratio selects."""
-    shared = q.sparkSession.sparkContext.broadcast(centroids)
+def centroid_graph(centroids: np.ndarray) -> list[np.ndarray]:
+    """Per centroid the others it is linked with: its DEGREE nearest, those it is near to, and the
+    leaves before and after it."""
+    n = len(centroids)
+    d = square_distances(centroids, centroids)
+    np.fill_diagonal(d, np.inf)
+    degree = min(DEGREE, n - 1)
+    linked = np.zeros((n, n), dtype=bool)
+    if degree:
+        np.put_along_axis(linked, np.argpartition(d, degree - 1, axis=1)[:, :degree], True, axis=1)
+        linked[np.arange(n - 1), np.arange(1, n)] = True
+    return [np.flatnonzero(x) for x in linked | linked.T]
+
+
+def walk(x: np.ndarray, centroids: np.ndarray, graph: list[np.ndarray], ratio: float) -> np.ndarray:
+    """The distances of x to the centroids that its walk over the graph meets, infinite for all others."""
+    dist = np.full(len(centroids), np.inf)
+    gone_on = np.zeros(len(centroids), dtype=bool)
+    new = np.unique(np.linspace(0, len(centroids) - 1, WALK).astype(int))  # leaves far apart
+    few = min(WALK, len(centroids)) - 1
+    while True:
+        dist[new] = np.sqrt(((centroids[new] - x) ** 2).sum(axis=1))
+        limit = max(np.partition(dist, few)[few], dist.min() * (1 + ratio))
+        at = np.flatnonzero(~gone_on & (dist <= limit) & np.isfinite(dist))
+        if not len(at):
+            return dist
+        gone_on[at] = True
+        new = np.unique(np.concatenate([graph[i] for i in at]))
+        new = new[np.isinf(dist[new])]
+
+
+def selected(dist: np.ndarray, ratio: float) -> np.ndarray:
+    """Which lists a query probes: by the ratio to the nearest, and the LEAST_PROBES nearest."""
+    least = min(LEAST_PROBES, len(dist)) - 1
+    return (dist <= max(dist.min() * (1 + ratio), np.partition(dist, least)[least])) & np.isfinite(dist)
+
+
+def lists_held(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """rows x lists: the nearest list of each row, and near ones for boundary rows."""
+    take = min(COPIES, len(centroids))
+    d = np.sqrt(square_distances(rows, centroids))
+    at = np.argpartition(d, take - 1, axis=1)[:, :take]
+    near = np.take_along_axis(d, at, axis=1)
+    keep = np.zeros(d.shape, dtype=bool)
+    np.put_along_axis(keep, at, near <= near.min(axis=1)[:, None] * (1 + REPLICATE), axis=1)
+    return keep
+
+
+def tuned_ratio(rows: np.ndarray, centroids: np.ndarray, k: int) -> float:
+    """The least ratio at which the probed lists hold RECALL of the k nearest rows of TUNE_QUERIES rows."""
+    if len(rows) < 2:
+        return 0.0
+    held = lists_held(rows, centroids)
+    needed = []
+    for i in range(min(TUNE_QUERIES, len(rows))):
+        far = ((rows - rows[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        true = np.argpartition(far, min(k, len(rows) - 1) - 1)[: min(k, len(rows) - 1)]
+        dist = np.sqrt(((centroids - rows[i]) ** 2).sum(axis=1))
+        if dist.min() == 0:
+            continue  # a row that is a centroid itself has no ratio
+        over = np.where(selected(dist, 0.0), 0.0, dist / dist.min() - 1)
+        needed.append(np.where(held[true], over, np.inf).min(axis=1))
+    if not needed:
+        return 0.0
+    # a little more, as the ratio is compared after another rounding
+    return float(np.quantile(np.concatenate(needed), RECALL, method="higher")) * (1 + 1e-9)
+
+
+def probed_lists(q: DataFrame, centroids: np.ndarray, ratio: float) -> DataFrame:
+    """q (vec_id, v) -> query_id, q, shelves, bits: of all lists that the walk and the ratio select."""
+    shared = q.sparkSession.sparkContext.broadcast((centroids, centroid_graph(centroids)))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        least = min(LEAST_PROBES, len(c))
+        c, graph = shared.value
         for b in batches:
             for lo in range(0, len(b), 2048):
                 part = b.iloc[lo : lo + 2048]
-                d = np.sqrt(square_distances(np.array(part["v"].tolist()), c))
-                few = np.partition(d, least - 1, axis=1)[:, least - 1 : least]
-                shelves, bits = shelved(d <= np.maximum(d.min(axis=1)[:, None] * (1 + PROBE), few))
+                shelves, bits = shelved(np.array([selected(walk(np.asarray(x), c, graph, ratio), ratio) for x in part["v"]]))
                 yield pd.DataFrame({"query_id": part["vec_id"].to_numpy(), "q": part["v"].tolist(), "shelves": shelves, "bits": bits})
 
     return q.mapInPandas(run, "query_id long, q array<double>, shelves array<int>, bits array<int>")
@@ -183,13 +251,15 @@ def search(vectors: DataFrame, query_step: int, k: int = 10) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not rows:
         return vectors.sparkSession.createDataFrame([], schema)
-    some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    sample = np.unique(np.array(some.tolist()), axis=0)
+    some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS + TUNE_ROWS).select("v").toPandas()["v"]
+    some = np.array(some.tolist())
+    sample = np.unique(some[:SAMPLE_ROWS], axis=0)
     lists = max(1, min(MAX_LISTS, ceil_div(rows, LIST_ROWS), len(sample) // 4))
     centroids = balanced_means(sample, lists)
+    ratio = tuned_ratio(some[-TUNE_ROWS:], centroids, k)
     listed = cut(posting_lists(v, centroids))
     queries = v.where(F.col("vec_id") % query_step == 0)
-    found = cut(compare(listed, probed_lists(queries, centroids), k))
+    found = cut(compare(listed, probed_lists(queries, centroids, ratio), k))
     few = queries.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), F.col("vec_id") == F.col("query_id"), "left")
     few = cut(few.where(F.coalesce("n", F.lit(0)) < min(k, rows - 1)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     if not few.isEmpty():

@@ -131,6 +131,44 @@ def test_search_against_brute_force(spark):
     assert ann.search(df.limit(0), 100).count() == 0
 
 
+def _probed(rows, k=10):
+    """Share of lists that queries probe, and the share of true neighbours those lists hold."""
+    sample, rest = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+    c = ann.balanced_means(sample, max(1, len(sample) // 40))
+    ratio = ann.tuned_ratio(rest, c, k)
+    graph, held = ann.centroid_graph(c), ann.lists_held(rows, c)
+    share, recall = [], []
+    for i in range(0, len(rows), 97):
+        met = ann.walk(rows[i], c, graph, ratio)
+        probed = ann.selected(met, ratio)
+        exact = np.sqrt(((c - rows[i]) ** 2).sum(axis=1))
+        assert np.allclose(met[np.isfinite(met)], exact[np.isfinite(met)])
+        far = ((rows - rows[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        recall.append((held[np.argsort(far)[:k]] & probed).any(axis=1).mean())
+        share.append(probed.mean())
+    return np.mean(share), np.mean(recall)
+
+
+def test_ratio_prunes_where_vectors_have_structure():
+    rng = np.random.default_rng(5)
+    means = rng.normal(size=(150, 32)) * 3
+    share, recall = _probed(means[rng.integers(0, 150, 12_000)] + rng.normal(size=(12_000, 32)))
+    assert recall >= 0.95 and share < 0.3, (share, recall)
+    share, recall = _probed(rng.normal(size=(6_000, 32)))  # no structure: nearly all lists, none lost
+    assert recall >= 0.95, (share, recall)
+
+
+def test_walk_meets_what_the_ratio_selects():
+    rng = np.random.default_rng(6)
+    c = np.concatenate([rng.normal(size=(200, 8)), rng.normal(size=(200, 8)) + 50])
+    graph = ann.centroid_graph(c)
+    for x in rng.normal(size=(50, 8)) + 50 * rng.integers(0, 2, size=(50, 1)):
+        exact = np.sqrt(((c - x) ** 2).sum(axis=1))
+        assert (ann.selected(ann.walk(x, c, graph, 0.5), 0.5) == ann.selected(exact, 0.5)).all()
+    assert ann.walk(c[0], c[:1], ann.centroid_graph(c[:1]), 0.5).tolist() == [0.0]
+
+
 def test_search_at_most_lists(spark, monkeypatch):
     # unit vectors without any structure: the ratio rule selects far more than 64 of the lists
     monkeypatch.setattr(ann, "LIST_ROWS", 4)
