@@ -260,6 +260,42 @@ def test_classifier_held_out(spark):
     assert quality_classifier.classify(d.limit(0), lab).count() == 0
 
 
+def test_site_posteriors_by_definition(spark):
+    rng = random.Random(21)
+    rows = [(k, rng.choice(["a", "b", "c", None]), rng.choice(["en", "de", None]), rng.gauss(0, 2) + 3 * (k % 3 == 0)) for k in range(600)]
+    rows += [(600, "rare", "fr", 1.0), (601, "rare", "fr", -4.0), (None, "a", "en", 0.5)]
+    labels = [(k, rng.random() < 0.6, rng.random() < 0.3) for k in range(0, 600, 4)]
+    scored = spark.createDataFrame(rows, "doc_id long, source string, lang string, own_poor double")
+    known = spark.createDataFrame([(k, int(q), int(t)) for k, q, t in labels] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    sites = quality_classifier.sites_of(scored, known, ["poor"])
+    got = {(r["doc_id"], r["source"], r["lang"]): r for r in quality_classifier.decide(scored, sites, ["poor"]).collect()}
+
+    p = lambda x: 1 / (1 + np.exp(-x))
+    poor = {k: float(not q) for k, q, _ in labels}
+    paths, hosts = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    for k, source, lang, own in rows:
+        n, y = (1.0, poor[k]) if k in poor else (quality_classifier.SOFT, p(own))
+        for c in (paths[source, lang], hosts[source]):
+            c[0] += n
+            c[1] += n * y
+
+    def prior(counts):
+        n, k = np.array(list(counts.values())).T
+        m = k.sum() / n.sum()
+        between = (n * (k / n) ** 2).sum() / n.sum() - m * m - m * (1 - m) * len(n) / n.sum()
+        return m, min(1e6, max(2.0, m * (1 - m) / between - 1)) if between > 1e-12 else 1e6
+
+    logit = lambda x: np.log(x / (1 - x))
+    (m, a), (_, b) = prior(hosts), prior(paths)
+    host = {h: (k + a * m) / (n + a) for h, (n, k) in hosts.items()}
+    for doc, source, lang, own in rows:
+        n, k = paths[source, lang]
+        want = p(own + logit((k + b * host[source]) / (n + b)) - logit(m))
+        assert got[doc, source, lang]["p_poor"] == pytest.approx(want, abs=1e-9)
+        assert got[doc, source, lang]["kept"] == (want < quality_classifier.REJECT_AT)
+    assert len(got) == len(rows)
+
+
 def test_near_duplicates_by_definition(docs):
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
     sets = {}
