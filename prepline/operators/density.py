@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepline.session import cut_lineage
+from prepline.session import cut_lineage, cut_round
 
 
 def _offsets(d: int) -> list[list[int]]:
@@ -69,6 +69,12 @@ def _reach2(alo, ahi, blo, bhi):
     return _sum2(F.zip_with(F.zip_with(bhi, alo, lambda x, y: x - y), F.zip_with(ahi, blo, lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` for a sort-merge join. The planner counts an exploded row once and a list as one element, so
+    from small files it would broadcast the 21 cells around every point, or lists of points, from the driver."""
+    return df.hint("merge")
+
+
 def _tree(points: DataFrame, d: int, side: float) -> tuple[DataFrame, int]:
     """(cell, level, q, parent, n, w, lo, hi, pid, pts) of every sub-box of points (cell, x, w, pid), and the
     deepest level. Leaves hold their points, at most LEAF; inner boxes are put together from their
@@ -79,7 +85,7 @@ def _tree(points: DataFrame, d: int, side: float) -> tuple[DataFrame, int]:
         rest = rest.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
         heavy = rest.groupBy("cell", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (LEAF if level < MAX_LEVEL else 2**62))
         heavy = cut_lineage(heavy.select("cell", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")))
-        light = rest.join(heavy, ["cell", "q", "salt"], "left_anti").withColumn("y", F.col("x"))
+        light = rest.join(_sorted(heavy), ["cell", "q", "salt"], "left_anti").withColumn("y", F.col("x"))
         lo, hi = _bounds(d, "x", "x")
         leaves.append(
             light.groupBy("cell", "q").agg(
@@ -89,7 +95,7 @@ def _tree(points: DataFrame, d: int, side: float) -> tuple[DataFrame, int]:
         )
         if heavy.limit(1).count() == 0:
             break
-        rest = cut_lineage(rest.join(heavy, ["cell", "q", "salt"], "left_semi").select("cell", "x", "w", "pid"))
+        rest = cut_lineage(rest.join(_sorted(heavy), ["cell", "q", "salt"], "left_semi").select("cell", "x", "w", "pid"))
         level += 1
     half = F.transform("q", lambda v: F.shiftright(v, 1))
     nodes = leaves[level]
@@ -110,7 +116,7 @@ def _within(probes: DataFrame, tree: DataFrame, depth: int, eps2: float) -> Data
     within as a whole as one row of their weight and smallest pid."""
     items, out = probes.select("x", "cell", F.lit(0).alias("level"), F.col("cell").alias("parent")), None
     for _ in range(depth + 1):
-        j = items.join(tree, ["cell", "level", "parent"])
+        j = items.join(_sorted(tree), ["cell", "level", "parent"])
         far, near = _reach2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi")), _gap2(F.col("x"), F.col("x"), F.col("lo"), F.col("hi"))
         part = j.where((far > eps2) & (near <= eps2))
         hits = F.filter("pts", lambda p: _dist2(F.col("x"), p["y"]) <= eps2)
@@ -127,7 +133,7 @@ def _touching(pairs: DataFrame, tree: DataFrame, eps2: float) -> DataFrame:
     node = F.struct("level", "q", "n", "lo", "hi", "pts")
     of = {s: tree.select(F.col("cell").alias(c), F.col("level").alias("l"), F.col("parent").alias("p"), node.alias(s)) for s, c in (("a", "cell"), ("b", "ncell"))}
     first = {s: t.where("l = 0").drop("l", "p") for s, t in of.items()}
-    live = cut_lineage(pairs.join(first["a"], "cell").join(first["b"], "ncell"))
+    live = cut_lineage(pairs.join(_sorted(first["a"]), "cell").join(_sorted(first["b"]), "ncell"))
     edges = None
     while True:
         box = [F.col(f"{s}.{e}") for s in ("a", "b") for e in ("lo", "hi")]
@@ -137,12 +143,12 @@ def _touching(pairs: DataFrame, tree: DataFrame, eps2: float) -> DataFrame:
         judged = cut_lineage(live.where(_gap2(*box) <= eps2).withColumn("yes", yes).withColumn("both", both))
         found = judged.where("yes").select("cell", "ncell").distinct()
         edges = found if edges is None else edges.unionByName(found)
-        live = judged.where("not yes and not both").join(found, ["cell", "ncell"], "left_anti").drop("yes", "both")
+        live = judged.where("not yes and not both").join(_sorted(found), ["cell", "ncell"], "left_anti").drop("yes", "both")
         # the box with more points is split, a leaf never
         left = F.col("a.pts").isNull() & (F.col("b.pts").isNotNull() | (F.col("a.n") >= F.col("b.n")))
         halves = None
         for s, other, c, side in (("a", "b", "cell", live.where(left)), ("b", "a", "ncell", live.where(~left))):
-            step = side.select("cell", "ncell", other, (F.col(f"{s}.level") + 1).alias("l"), F.col(f"{s}.q").alias("p")).join(of[s], [c, "l", "p"])
+            step = side.select("cell", "ncell", other, (F.col(f"{s}.level") + 1).alias("l"), F.col(f"{s}.q").alias("p")).join(_sorted(of[s]), [c, "l", "p"])
             step = step.select("cell", "ncell", "a", "b")
             halves = step if halves is None else halves.unionByName(step)
         live = cut_lineage(halves)
@@ -177,49 +183,49 @@ def dbscan(df: DataFrame, key: str, vector_col: str, eps: float, min_samples: in
 
     # 2-3. neighbour weight of points in sparse cells (dense cells: all core)
     tree, depth = _tree(dist.select("cell", "x", "w", "pid"), d, side)
-    sparse_pts = dist.join(cells.where(F.col("cw") < min_samples).select("cell"), "cell")
+    sparse_pts = dist.join(_sorted(cells.where(F.col("cw") < min_samples).select("cell")), "cell")
     near = _within(around(sparse_pts.select("x", "cell")).select("x", F.col("ncell").alias("cell")), tree, depth, eps2)
     nw = near.groupBy("x").agg(F.sum("w").alias("nw"))  # points are identified by their coordinates
     core_flag = (
-        dist.join(cells.select("cell", "cw"), "cell")
-        .join(nw, "x", "left")
+        dist.join(_sorted(cells.select("cell", "cw")), "cell")
+        .join(_sorted(nw), "x", "left")
         .withColumn("is_core", (F.col("cw") >= min_samples) | (F.coalesce(F.col("nw"), F.lit(0)) >= min_samples))
     )
     core_flag = cut_lineage(core_flag)
     core = core_flag.where("is_core")
     # 4. cell graph over cells with core points
     node = core.groupBy("cell").agg(F.min("pid").alias("label"), F.count(F.lit(1)).alias("ncore"))
-    nb = around(node.select("cell")).join(node.select(F.col("cell").alias("ncell")), "ncell").where(F.col("cell") != F.col("ncell"))
+    nb = around(node.select("cell")).join(_sorted(node.select(F.col("cell").alias("ncell"))), "ncell").where(F.col("cell") != F.col("ncell"))
     tree, depth = _tree(core.select("cell", "x", "w", "pid"), d, side)
     one_way = cut_lineage(_touching(nb.where(F.col("cell") < F.col("ncell")).select("cell", "ncell"), tree, eps2))
-    edges = cut_lineage(one_way.unionByName(one_way.select(F.col("ncell").alias("cell"), F.col("cell").alias("ncell"))))
+    edges = cut_round(one_way.unionByName(one_way.select(F.col("ncell").alias("cell"), F.col("cell").alias("ncell"))))
     # every round takes the smallest label around, then the label that the cell of that label has
     # by now (pointer jumping); it ends when nothing changes
-    labels = node.select("cell", "label")
-    own = node.select("cell", F.col("label").alias("own"))
+    labels = cut_round(node.select("cell", "label"))
+    own = labels.select("cell", F.col("label").alias("own"))
     while True:
-        incoming = edges.join(labels.select(F.col("cell").alias("ncell"), F.col("label").alias("nl")), "ncell").groupBy("cell").agg(
+        incoming = edges.join(_sorted(labels.select(F.col("cell").alias("ncell"), F.col("label").alias("nl"))), "ncell").groupBy("cell").agg(
             F.min("nl").alias("nl")
         )
-        new = labels.join(incoming, "cell", "left").select("cell", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
+        new = labels.join(_sorted(incoming), "cell", "left").select("cell", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
         new = cut_lineage(new)
-        jump = new.join(own, "cell").select(F.col("own").alias("label"), F.col("label").alias("further"))
-        new = cut_lineage(new.join(jump, "label").select("cell", F.least("label", "further").alias("label"), "old"))
+        jump = new.join(_sorted(own), "cell").select(F.col("own").alias("label"), F.col("label").alias("further"))
+        new = cut_round(new.join(_sorted(jump), "label").select("cell", F.least("label", "further").alias("label"), "old"))
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.drop("old")
         if changed == 0:
             break
     # cluster id = smallest core key in the component (labels carry min core pid)
-    core_cluster = core.join(labels, "cell").select("pid", "x", "cell", F.col("label").alias("cluster"))
+    core_cluster = core.join(_sorted(labels), "cell").select("pid", "x", "cell", F.col("label").alias("cluster"))
     # 5. border points: lowest-key core point within eps
     border = core_flag.where(~F.col("is_core")).select("x", "cell")
-    bc = _within(around(border).select("x", F.col("ncell").alias("cell")), tree, depth, eps2).join(labels, "cell")
+    bc = _within(around(border).select("x", F.col("ncell").alias("cell")), tree, depth, eps2).join(_sorted(labels), "cell")
     bc = bc.groupBy("x").agg(F.min_by("label", "pid").alias("bcl"))
     per_point = (
         core_flag.select("x", "is_core")
-        .join(core_cluster.select("x", F.col("cluster").alias("cc")), "x", "left")
-        .join(bc, "x", "left")
+        .join(_sorted(core_cluster.select("x", F.col("cluster").alias("cc"))), "x", "left")
+        .join(_sorted(bc), "x", "left")
         .select("x", "is_core", F.coalesce("cc", "bcl", F.lit(-1)).cast("long").alias("cluster"))
     )
-    found = pts.join(per_point, "x", "left")
+    found = pts.join(_sorted(per_point), "x", "left")
     return found.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +58,14 @@ def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_round(df):
+    """:func:`cut_lineage` for a table that meets itself again in the next round. A checkpoint keeps the size
+    the planner estimated, for a join the product of both sides, so the digits of that number multiply from
+    round to round until the driver's memory cannot hold it. Files under the checkpoint folder have the
+    size they have; they stay there, so this is for narrow tables."""
+    base = checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/prepline-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -93,3 +93,33 @@ def test_two_dense_cells_meet_in_boxes_not_in_pairs(spark):
     pairs = spark.createDataFrame([([0, 0], [2, 0])], "cell array<long>, ncell array<long>")
     assert _touching(pairs, tree, 1.0).count() == 1
     assert _touching(pairs, tree, 0.5).count() == 0
+
+
+def test_long_chains_of_cells_keep_the_planner_small(spark, monkeypatch):
+    """A chain of 120 cells in random key order takes several rounds; the estimated size of the labels stays
+    that of a table, and nothing as large as the points is broadcast."""
+    from prepline.operators import density
+
+    rng = np.random.default_rng(8)
+    keys = rng.permutation(120)
+    rows = [(int(k), [0.6 * i, 0.0]) for i, k in enumerate(keys)]
+    rounds, seen = [], density.cut_round
+
+    def watched(df):
+        rounds.append(seen(df))
+        return rounds[-1]
+
+    monkeypatch.setattr(density, "cut_round", watched)
+    out = density.dbscan(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 1.0, 2)
+    assert {tuple(r) for r in out.select("cluster", "is_core").distinct().collect()} == {(0, True)}
+    assert len(rounds) > 3
+    at = rounds[-1].groupBy().count()
+    import contextlib
+    import io
+
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        at.explain("cost")
+        out.explain()
+    assert all(u not in text.getvalue() for u in (" TiB", " PiB", " EiB", "E+"))
+    assert "BroadcastExchange" not in text.getvalue()
