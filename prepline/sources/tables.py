@@ -20,14 +20,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     row-wise work before the first shuffle uses every core; a large table's scan already has
     many more partitions and is left alone."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df)
+    return spread(df, f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+#: bytes of files for each partition of a spread table, at most
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, path: str | None = None) -> DataFrame:
+    """With the ``path`` of its files, a table is dealt over more partitions the larger it is, so that what a
+    task reads and holds does not grow with it."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if path is not None:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+        target = max(target, -(-size // SPREAD_BYTES))
+    return df.repartition(target)
 
 
 def orders_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
