@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepline.functions.exprs import attach_one_row, lehmer, null_safe_join
-from prepline.session import cut_lineage
+from prepline.session import cut_lineage, cut_round
 
 # ---- fixed values: default parameters per model name ----
 DEFAULT_PARAMS = {
@@ -76,6 +76,12 @@ def predict_all(transform, df: DataFrame, features: Sequence[str], keep: Sequenc
     return known.unionByName(rest)
 
 
+def slim(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """``keep`` and the features as doubles, computed once and written to the checkpoint folder."""
+    casted = df.withColumns({c: F.col(c).cast("double") for c in features})
+    return cut_lineage(casted.select(*dict.fromkeys([*keep, *features])))
+
+
 def _fit_predict(est, df: DataFrame, features: Sequence[str], keep: Sequence[str]):
     """Fit on the rows with all features and a label, predict every row (:func:`predict_all`)."""
     label = keep[-1]
@@ -412,7 +418,8 @@ def bag_weight(key, bag: int):
 def bagging(df, features, label, key, n_bags=5, seed=11, task="classification", **params):
     """Fit one model per bootstrap sample (Poisson(1) row weights by key hash) and combine with T15.
     Rows with a missing feature have no vote: prediction NULL, n_models 0."""
-    train = assemble(df.where(complete(df, features) & F.col(label).isNotNull()), features)
+    train = assemble(slim(df.where(complete(df, features) & F.col(label).isNotNull()), [*key, label], features), features)
+    df = slim(df, [*key, label], features)
     cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
     models = []
     for b in range(n_bags):
@@ -426,7 +433,7 @@ def bagging(df, features, label, key, n_bags=5, seed=11, task="classification",
             out = m.transform(out).withColumnRenamed("prediction", f"__p{b}").drop("rawPrediction", "probability")
         return out.withColumn("votes", F.array(*[f"__p{b}" for b in range(n_bags)]))
 
-    votes = predict_all(transform, df, features, list(key), ["votes"])
+    votes = cut_lineage(predict_all(transform, df, features, list(key), ["votes"]))  # read twice
     long = votes.select(key[0], F.explode_outer("votes").alias("prediction"))
     out = vote(long.where("prediction is not null"), key[0], how="majority" if task == "classification" else "mean")
     rest = votes.where("votes is null").select(key[0], F.lit(None).cast("double").alias("prediction"), F.lit(0).cast("long").alias("n_models"))
@@ -440,11 +447,14 @@ def self_training(df: DataFrame, features: Sequence[str], label: str, key: str,
     as pseudo-labels, refit, until no row is added; so the last model has seen them all. The
     growing label table is checkpointed (reliable) every round. Rows with a missing feature are
     neither fitted nor labelled; they stay with a NULL prediction."""
-    data = assemble(df.where(complete(df, features)), features).withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
+    # read by every pass of the first round, so made once, with the partitions that the filters give
+    first = assemble(slim(df.where(complete(df, features) & F.col(label).isNotNull()), [key, label], features), features).withColumn("__y", F.col(label).cast("double"))
+    data = assemble(slim(df.where(complete(df, features)), [key, label], features), features)
+    data = data.drop(*[c for c in features if c not in (key, label)]).withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
     r = 0
     while True:
         r += 1
-        train = data.where(F.col("__y").isNotNull())
+        train = first if r == 1 else data.where(F.col("__y").isNotNull())
         model = RandomForestClassifier(featuresCol="features", labelCol="__y", seed=seed, numTrees=30).fit(train)
         scored = model.transform(data.where(F.col("__y").isNull()))
         conf = F.array_max(vector_to_array("probability"))
@@ -484,7 +494,7 @@ def tune(df: DataFrame, features: Sequence[str], label: str, key: str, folds: in
     of E8 (deterministic, no per-run random split)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    data = assemble(df, features, invalid="skip").withColumn("__fold", (lehmer(F.col(key)) % folds).cast("int"))
+    data = assemble(slim(df, [key, label], features), features, invalid="skip").withColumn("__fold", (lehmer(F.col(key)) % folds).cast("int"))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     g = grid or {"numTrees": [10, 30], "maxDepth": [3, 6]}
     builder = ParamGridBuilder()
@@ -536,10 +546,11 @@ def train(spec_model: str, df: DataFrame, features: Sequence[str], label: str |
         stages.append(KMeans(seed=42, **p))
     else:
         raise ValueError(spec_model)
-    casted = df.withColumns({c: F.col(c).cast("double") for c in features})
-    ok = complete(casted, features) & (F.col(label).isNotNull() if label else F.lit(True))
-    model = Pipeline(stages=stages).fit(casted.where(ok))
     keep = [*key, label] if label else list(key)
+    ok = complete(df, features) & (F.col(label).isNotNull() if label else F.lit(True))
+    # an estimator reads its input several times: its rows are made once, with the partitions the filter gives
+    model = Pipeline(stages=stages).fit(slim(df.where(ok), keep, features))
+    casted = slim(df, keep, features)  # predicted in two parts, and often read again by metrics
     pred = predict_all(model.transform, casted, features, keep, ["prediction"])
     seconds = time.time() - t0
     run = df.sparkSession.createDataFrame([(spec_model, float(seconds))], "model_name string, training_seconds double")
@@ -585,7 +596,7 @@ def label_propagation(df: DataFrame, key: str, label: str, group_cols: Sequence[
         total = F.col("sl") + F.coalesce(F.col("u") * F.col("nu"), F.lit(0.0))
         mean = memb.groupBy("__g").agg(F.try_divide(F.sum(total), F.sum(known)).alias("gs"))
         new = memb.select("__t", "__g").join(mean, "__g").groupBy("__t").agg(F.avg("gs").alias("new"))
-        nodes = cut_lineage(nodes.join(new, "__t").withColumn("change", F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("u", F.lit(0.0)))))
+        nodes = cut_round(nodes.join(new, "__t").withColumn("change", F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("u", F.lit(0.0)))))
         done += 1
         moved = nodes.where("nu > 0").agg(F.max("change")).first()[0] or 0.0
         nodes = nodes.select("__t", "nl", "sl", "nu", F.col("new").alias("u"))

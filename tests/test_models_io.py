@@ -135,3 +135,48 @@ def test_late_rows_are_counted(spark, tmp_path):
     got = [(r["n_read"], r["n_on_time"], r["n_late"]) for r in batches.orderBy("batch_id").collect()]
     assert got == [(3, 3, 0), (3, 2, 1), (3, 1, 2)]
     assert windows.agg(F.sum("n_rows")).first()[0] == 6
+
+
+def test_estimators_read_their_input_once(spark, tmp_path):
+    """Features made from wide rows are written once; predictions do not go back to the files."""
+    from pyspark.sql import functions as F
+
+    from prepline.operators import models as M
+
+    rows = [(i, f"word{i % 7} " * (i % 5 + 1), float(i % 2)) for i in range(60)]
+    spark.createDataFrame(rows, "id long, text string, y double").write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    df = wide.select("id", F.length("text").alias("a"), "y")
+    for pred in (
+        M.train("Logistic Regression", df, ["a"], "y", ["id"])[1],
+        M.bagging(df, ["a"], "y", ["id"], n_bags=1, numTrees=1),
+    ):
+        assert pred.count() == 60 and "FileScan" not in pred._jdf.queryExecution().toString()
+
+
+def test_spread_grows_with_the_files(spark, tmp_path, monkeypatch):
+    from prepline.sources import tables
+
+    spark.range(20000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    few = tables.load(spark, str(tmp_path), "orders").rdd.getNumPartitions()
+    assert few == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 2000)
+    many = tables.load(spark, str(tmp_path), "orders")
+    assert many.rdd.getNumPartitions() > 2 * few and many.count() == 20000
+
+
+def test_files_with_a_header_row_are_split(spark, tmp_path):
+    """The query's files are read in several splits, each row once."""
+    from prepline.catalog.q_io import s1h
+
+    rows = [(k, k % 7, "O", float(k), "1-URGENT") for k in range(4000)]
+    src = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    src.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        back = s1h(spark, str(tmp_path))
+        assert back.rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, back.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
