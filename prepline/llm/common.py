@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,24 @@ def cut_narrow(df: DataFrame) -> DataFrame:
     return out.coalesce(max(1, ceil_div(out.count(), NARROW_ROWS)))
 
 
+#: rows of whole texts that go to a Python worker at a time, at most
+TEXT_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send at most ``TEXT_ROWS`` rows to Python at a time: a batch of whole texts lies
+    in the executor as rows, as Arrow and as bytes to send, and in the worker as Arrow and as Python text.
+    Only for work that is done when the block ends (``cut``)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 

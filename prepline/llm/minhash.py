@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepline.llm.common import HEAVY_SHARE, components, cut, cut_narrow, keyed_join
+from prepline.llm.common import HEAVY_SHARE, components, cut, cut_narrow, keyed_join, small_batches
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -328,7 +328,8 @@ def near_duplicates(
 
     Two sets of similarity s share a bucket with probability 1 - (1 - s^band)^(BINS / band):
     0.99996 at 0.85 with bands of 8, 0.999997 at 0.80 with bands of 6."""
-    marks = cut(sketches(docs, shingle, band))
+    with small_batches(docs.sparkSession):
+        marks = cut(sketches(docs, shingle, band))
     filled = marks.where(F.col("set_key").isNotNull())
     # classes of equal sets: the smallest id stands for them; no row of a class is expanded
     classes = cut(
@@ -352,7 +353,8 @@ def near_duplicates(
         # a class is read by the id and the text that stand for it; repeated rows give the text once
         found = texts.join(wanted, F.col("id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
         one = found.select("node", "text").dropDuplicates(["node"])
-        sets = cut(shingle_sets(one, shingle))
+        with small_batches(docs.sparkSession):
+            sets = cut(shingle_sets(one, shingle))
         label = involved.withColumn("component", F.col("node"))
         for turn in range(STAR_ROUNDS):
             if turn:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from prepline.llm.common import ceil_div, cut
+from prepline.llm.common import ceil_div, cut, small_batches
 
 SEQUENCE = 1024
 END_ID = 2
@@ -221,7 +221,9 @@ def sequences(docs: DataFrame, tokenizer_file: str | None = None, ranks_file: st
 
         tokenizer_file = str(public_tokenizers.path("byte_bpe_50k.json"))
         ranks_file = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return pack(tokenize(docs, tokenizer_file, ranks_file)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    with small_batches(docs.sparkSession):
+        out = pack(tokenize(docs, tokenizer_file, ranks_file))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepline.llm.common import WORD, cut
+from prepline.llm.common import WORD, cut, small_batches
+from prepline.session import cut_round
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 100
@@ -253,12 +254,19 @@ def decide(scored: DataFrame, sites: DataFrame | None, targets: list[str]) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
     """docs -> doc_id, source, lang, p_poor, p_toxic, kept; with_text: all columns of docs and the
-    last three, for which the texts are read once more instead of being shuffled."""
-    model = fit(sample(docs, labels))
-    targets = list(model.weights)
-    scored = cut(model.score(docs).select("doc_id", *[F.col(c).cast("string").alias(c) for c in ("source", "lang")], *[f"own_{t}" for t in targets]))
+    last three, for which docs are written once with their scores (Parquet in the checkpoint folder)
+    instead of being scored again or shuffled."""
+    with small_batches(docs.sparkSession):
+        model = fit(sample(docs, labels))
+        targets = list(model.weights)
+        whole = model.score(docs)
+        if with_text and targets:
+            whole = cut_round(whole)
+        scored = whole.select("doc_id", *[F.col(c).cast("string").alias(c) for c in ("source", "lang")], *[f"own_{t}" for t in targets])
+        if not with_text:
+            scored = cut(scored)
     sites = sites_of(scored, labels, targets) if targets else None
-    return decide(model.score(docs) if with_text else scored, sites, targets)
+    return decide(whole if with_text else scored, sites, targets)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -260,6 +260,39 @@ def test_classifier_held_out(spark):
     assert quality_classifier.classify(d.limit(0), lab).count() == 0
 
 
+def test_classifier_scores_each_text_once_for_its_rows(spark):
+    """Keeping the good documents must not run the scoring again, nor twice: the plan has no Python left,
+    and the texts come in small batches whatever the session says."""
+    rows = [(k, ("good words here " if k % 2 else "*** ### $$$ ") * 5, "en", "s") for k in range(40)] + [(7, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    out = quality_classifier.classify(d, lab)
+    assert spark.conf.get(key) == before
+    kept = out.where("kept").select(*d.columns)
+    assert "EvalPython" not in kept._jdf.queryExecution().executedPlan().toString()
+    narrow = quality_classifier.classify(d, lab, with_text=False).where("kept")
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, (r["doc_id"] for r in narrow.collect())))
+    assert {r["doc_id"] for r in kept.collect()} >= set(range(9, 40, 2))
+
+
+def test_small_batches_end_with_the_block(spark):
+    from prepline.llm.common import TEXT_ROWS, cut, small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (b.iloc[:1].assign(id=len(b)) for b in batches)
+    try:
+        for given, most in (("10000", TEXT_ROWS), ("70", 70), ("0", TEXT_ROWS)):
+            spark.conf.set(key, given)
+            with small_batches(spark):
+                got = [r["id"] for r in cut(spark.range(0, 2500, 1, 1).mapInPandas(sizes, "id long")).collect()]
+            assert sum(got) == 2500 and max(got) == most and spark.conf.get(key) == given
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_site_posteriors_by_definition(spark):
     rng = random.Random(21)
     rows = [(k, rng.choice(["a", "b", "c", None]), rng.choice(["en", "de", None]), rng.gauss(0, 2) + 3 * (k % 3 == 0)) for k in range(600)]
