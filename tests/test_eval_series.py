@@ -222,3 +222,31 @@ def test_smoothing_over_missing_values_and_null_series(spark, beta):
             r = got[k, t]
             have = (r["level"], None if beta is None else r["trend"], r["fitted"])
             assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9)) for g, w in zip(have, want)), (k, t, have, want)
+
+
+def test_tfidf_by_definition_with_repeated_and_missing_keys(spark, monkeypatch):
+    """Rows with a key of their own are counted without a shuffle, those that share one together."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    from prepline.operators import features as FE
+
+    rows = [(1, "b a b, A"), (2, "a"), (2, "a c"), (None, "x"), (None, "x y"), (3, ""), (4, None), (5, "  c_d c\tC É é ")]
+    d = spark.createDataFrame(rows, "k long, text string")
+    counts = defaultdict(Counter)
+    for k, t in rows:
+        counts[k].update(re.findall(r"\w+", (t or "").lower()))
+    df = Counter(t for c in counts.values() for t in c)
+    want = {(k, t): (n, df[t], n * (math.log((1 + len(rows)) / (1 + df[t])) + 1)) for k, c in counts.items() for t, n in c.items()}
+    for most in (FE.BROADCAST_ROWS, 1):  # 1: more repeated keys and terms than are broadcast
+        monkeypatch.setattr(FE, "BROADCAST_ROWS", most)
+        out = FE.tfidf(d, "k", "text")
+        got = out.collect()
+        assert len(got) == len(want) and out.columns == ["k", "term", "tf", "df", "idf", "tfidf"]
+        for r in got:
+            tf, n, both = want[r["k"], r["term"]]
+            assert (r["tf"], r["df"]) == (tf, n) and abs(r["tfidf"] - both) < 1e-9
+    monkeypatch.undo()
+    plan = FE.term_counts(d.where("k in (1, 5)"), "k", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
