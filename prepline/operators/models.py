@@ -12,9 +12,11 @@ Signature: op(df, features, label=None, key, **params) -> (model, predictions).
 from __future__ import annotations
 
 import math
+import sys
 import time
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -24,9 +26,11 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, GaussianMixtureModel, KMeans
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -188,13 +192,93 @@ def bisecting_kmeans(df, vector_col, key, k=8, seed=42, **params):
 
 
 def gaussian_mixture(df, vector_col, key, k=4, seed=42, **params):
-    """Gaussian mixture (EM)."""
+    """Gaussian mixture (EM). MLlib draws the start and predicts; the passes of EM are its formulas
+    over blocks of rows (:func:`em_pass`), as MLlib's own take a row at a time."""
+    import numpy as np
+    import pyarrow as pa
+
     data = df.withColumn("features", array_to_vector(F.col(vector_col)))
-    model = GaussianMixture(featuresCol="features", k=k, seed=seed, **params).fit(data)
+    est = GaussianMixture(featuresCol="features", k=k, seed=seed, **params)
+    if est.isDefined(est.weightCol):
+        model = est.fit(data)
+    else:
+        start = est.fit(data, {est.maxIter: 0})
+        weights = np.array(start.weights)
+        parts = [(r["mean"].toArray(), r["cov"].toArray()) for r in start.gaussiansDF.collect()]
+
+        def pack(batches):
+            for b in batches:
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_pydict({"v": pa.array([np.ascontiguousarray(v, dtype="<f8").tobytes()], pa.binary())})
+
+        blocks = data.select(vector_to_array("features").alias("v")).mapInArrow(pack, "v binary").persist(StorageLevel.MEMORY_AND_DISK)
+        fit, before, turn = -sys.float_info.max, 0.0, 0
+        while turn < est.getMaxIter() and abs(fit - before) > est.getTol():
+            before, turn = fit, turn + 1
+            rows, fit, w, m, c = em_pass(blocks, weights, parts)
+            means = m / w[:, None]
+            covs = (c - w[:, None, None] * means[:, :, None] * means[:, None, :]) / w[:, None, None]
+            weights, parts = w / rows, list(zip(means, covs, strict=True))
+        blocks.unpersist()
+        model = _mixture_model(df.sparkSession, start, weights, parts)
     pred = model.transform(data)
     return model, pred.select(*key, F.col("prediction").alias("cluster"), vector_to_array("probability").alias("probability"))
 
 
+def em_pass(blocks: DataFrame, weights, parts):
+    """One pass of EM over blocks (v: doubles of many rows as bytes): rows, log likelihood, and per
+    component the sums of shares, of share * x and of share * x x'. A task sends one row of these sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    k, d = len(weights), len(parts[0][0])
+    eps = np.finfo(float).eps
+    forms = []
+    for mean, cov in parts:
+        e, u = np.linalg.eigh(cov)
+        ok = e > eps * e.max() * d
+        root = u * np.where(ok, 1 / np.sqrt(np.where(ok, e, 1.0)), 0.0)
+        forms.append((mean, root, -0.5 * (d * math.log(2 * math.pi) + np.log(e[ok]).sum())))
+
+    def run(batches):
+        rows, fit, w, m, c = 0, 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+        for b in batches:
+            for v in b.column(0):
+                x = np.frombuffer(v.as_buffer(), dtype="<f8").reshape(-1, d)
+                p = np.empty((k, len(x)))
+                for i, (mean, root, const) in enumerate(forms):
+                    z = (x - mean) @ root
+                    p[i] = eps + weights[i] * np.exp(const - 0.5 * np.einsum("ij,ij->i", z, z))
+                total = p.sum(axis=0)
+                p /= total
+                rows += len(x)
+                fit += np.log(total).sum()
+                w += p.sum(axis=1)
+                m += p @ x
+                for i in range(k):
+                    c[i] += (x * p[i][:, None]).T @ x
+        sums = np.concatenate([[rows, fit], w, m.ravel(), c.ravel()])
+        yield pa.RecordBatch.from_pydict({"s": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    got = np.sum([r["s"] for r in blocks.mapInArrow(run, "s array<double>").collect()], axis=0)
+    w, m, c = np.split(got[2:], [k, k + k * d])
+    return got[0], float(got[1]), w, m.reshape(k, d), c.reshape(k, d, d)
+
+
+def _mixture_model(spark, start: GaussianMixtureModel, weights, parts) -> GaussianMixtureModel:
+    """``start`` with other weights and components, as MLlib's model."""
+    jvm, gate = spark._jvm, spark.sparkContext._gateway
+    ws = gate.new_array(jvm.double, len(weights))
+    gs = gate.new_array(jvm.org.apache.spark.ml.stat.distribution.MultivariateGaussian, len(weights))
+    for i, (mean, cov) in enumerate(parts):
+        ws[i] = float(weights[i])
+        mu, sigma = (_py2java(spark.sparkContext, x) for x in (DenseVector(mean), DenseMatrix(*cov.shape, cov.ravel(order="F"))))
+        gs[i] = jvm.org.apache.spark.ml.stat.distribution.MultivariateGaussian(mu, sigma)
+    made = GaussianMixtureModel(jvm.org.apache.spark.ml.clustering.GaussianMixtureModel(start.uid, ws, gs))
+    made._resetUid(start.uid)
+    return made.setFeaturesCol(start.getFeaturesCol()).setPredictionCol(start.getPredictionCol()).setProbabilityCol(start.getProbabilityCol())
+
+
 def gram(df: DataFrame, features: Sequence[str], means: Sequence[float]):
     """Sums of products of the centred features over the complete rows as a matrix: each task adds up the
     outer products of its batches, the tasks' matrices meet entry by entry in one aggregate, and what

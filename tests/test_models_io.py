@@ -180,3 +180,31 @@ def test_files_with_a_header_row_are_split(spark, tmp_path):
         assert sorted(map(tuple, back.collect())) == rows
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_gaussian_mixture_passes_equal_mllib(spark, monkeypatch):
+    """The passes over blocks give MLlib's weights, components and probabilities; MLlib itself only draws the start."""
+    import random
+
+    import pytest
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    from prepline.operators import models as M
+
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(8 * (k % 3), 1), rng.gauss(-5 * (k % 2), 2)]) for k in range(900)]
+    d = spark.createDataFrame(rows, "k long, v array<double>").repartition(3, "k")
+    want = GaussianMixture(k=3, seed=42, maxIter=20).fit(d.withColumn("features", array_to_vector("v")))
+    passes = []
+    once = M.em_pass
+    monkeypatch.setattr(M, "em_pass", lambda *a: passes.append(1) or once(*a))
+    got, pred = M.gaussian_mixture(d, "v", ["k"], k=3, maxIter=20)
+    assert 1 < len(passes) <= 20
+    assert got.weights == pytest.approx(want.weights, abs=1e-9)
+    for a, b in zip(got.gaussiansDF.collect(), want.gaussiansDF.collect(), strict=True):
+        assert a["mean"].toArray() == pytest.approx(b["mean"].toArray(), abs=1e-7)
+        assert a["cov"].toArray() == pytest.approx(b["cov"].toArray(), abs=1e-7)
+    sure = {r["k"]: r["prediction"] for r in want.transform(d.withColumn("features", array_to_vector("v"))).collect() if max(r["probability"]) > 0.51}
+    assert pred.columns == ["k", "cluster", "probability"] and pred.count() == len(rows)
+    assert {r["k"]: r["cluster"] for r in pred.collect() if r["k"] in sure} == sure
