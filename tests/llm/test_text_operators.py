@@ -81,6 +81,52 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_new_parts_of_a_block_in_one_call():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    enc = packing.Encoder(str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")))
+    plain, calls = enc.plain, []
+    enc.plain = lambda text: calls.append(text) or plain(text)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(8)) for _ in range(2000)]
+    texts = [" ".join(words[k : k + 50]) + ".\n" + words[k] + ", it's" for k in range(0, 2000, 20)]
+    for t, x in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(calls) < 5  # one per distinct part, 2,000 and more, before
+    enc.encode(texts)
+    assert len(calls) < 5
+
+
+def test_encoder_blocks_slices_and_full_cache(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    enc = packing.Encoder(str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")))
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 30)
+    rng = random.Random(7)
+    al = ["a", "Be", "é", "ʰ", "ȿ", "ɏ", "“", "字", "×", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\u2003", "\xa0", "\xad", "\x7f", "\x00", "1", "!", ".", ",", "'", "'re", "<|", "|>", "<|endoftext|>", "😀"]
+    texts = ["", " ", "\n", "\na", "a\n", ". a", "a", "", *("".join(rng.choice(al) for _ in range(rng.randint(0, 40))) for _ in range(1500)), ""]
+    for kind in (pa.string(), pa.large_string()):
+        got = []
+        for first, data, at in packing.blocks(pa.array(["left out", *texts], kind).slice(1)):
+            assert first == len(got)
+            ids, where = enc.encode_block(data, at)
+            got += [np.frombuffer(ids[lo:hi], "<u4").tolist() for lo, hi in zip(where[:-1], where[1:], strict=True)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not list(packing.blocks(pa.array([], pa.string())))
+    # long parts are forgotten by their bytes, however few they are
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4000)
+    enc.forget()
+    for k in range(20):
+        enc.encode([f"{k}{'字' * 500}"])
+        assert enc.parts.nbytes < 4000 + 2 * 1500
+
+
 def test_best_fit_by_definition():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 60, 400)
