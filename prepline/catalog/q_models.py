@@ -22,13 +22,12 @@ def doc_features(spark, sf, labelled_only: bool = True):
     d = load(spark, sf, "documents")
     lab = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
     lang_code = F.coalesce(*[F.when(F.col("lang") == lv, F.lit(float(i))) for i, lv in enumerate(LANGS)], F.lit(float(len(LANGS))))
-    feats = d.select(
-        "doc_id",
-        F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-        F.size(F.split("text", "\\s+")).cast("double").alias("n_words"),
-        lang_code.alias("lang_code"),
-    )
+
+    def pieces(by):
+        # NULL where the text is, and Spark sees that: whether a count is there is known without counting
+        return F.when(F.col("text").isNotNull(), F.coalesce(F.size(F.split("text", by)), F.lit(0)))
+
+    feats = d.select("doc_id", "n_chars", pieces("\n").alias("n_lines"), pieces("\\s+").alias("n_words"), lang_code.alias("lang_code"))
     return feats.join(lab, "doc_id", "inner" if labelled_only else "left").withColumn("quality", F.col("quality").cast("double"))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepline.functions.exprs import attach_one_row, lehmer, null_safe_join
-from prepline.session import cut_lineage, cut_round
+from prepline.session import cut_in_place, cut_lineage, cut_round
 
 # ---- fixed values: default parameters per model name ----
 DEFAULT_PARAMS = {
@@ -62,11 +62,15 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features", inva
 
 
 def complete(df: DataFrame, features: Sequence[str]):
-    """Whether a row has all features (none NULL or NaN)."""
+    """Whether a row has all features (none NULL or NaN). Whole numbers are not asked for NaN: the filter
+    goes down to the files, and there a feature counted from a text would be counted again for it."""
+    kinds = dict(df.dtypes)
     ok = F.lit(True)
     for c in features:
         v = F.col(c).cast("double")
-        ok = ok & v.isNotNull() & ~F.isnan(v)
+        ok = ok & v.isNotNull()
+        if kinds.get(c) not in ("tinyint", "smallint", "int", "bigint"):
+            ok = ok & ~F.isnan(v)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -531,21 +535,19 @@ def self_training(df: DataFrame, features: Sequence[str], label: str, key: str,
     as pseudo-labels, refit, until no row is added; so the last model has seen them all. The
     growing label table is checkpointed (reliable) every round. Rows with a missing feature are
     neither fitted nor labelled; they stay with a NULL prediction."""
-    # read by every pass of the first round, so made once, with the partitions that the filters give
-    first = assemble(slim(df.where(complete(df, features) & F.col(label).isNotNull()), [key, label], features), features).withColumn("__y", F.col(label).cast("double"))
     data = assemble(slim(df.where(complete(df, features)), [key, label], features), features)
     data = data.drop(*[c for c in features if c not in (key, label)]).withColumn("__y", F.col(label).cast("double")).withColumn("__round", F.when(F.col(label).isNotNull(), 0))
     r = 0
     while True:
         r += 1
-        train = first if r == 1 else data.where(F.col("__y").isNotNull())
+        train = data.where(F.col("__y").isNotNull())
         model = RandomForestClassifier(featuresCol="features", labelCol="__y", seed=seed, numTrees=30).fit(train)
         scored = model.transform(data.where(F.col("__y").isNull()))
         conf = F.array_max(vector_to_array("probability"))
         new = scored.where(conf >= threshold).select(key, F.col("prediction").alias("__new"))
         data = data.join(new, key, "left").withColumn("__round", F.when(F.col("__y").isNull() & F.col("__new").isNotNull(), F.lit(r)).otherwise(F.col("__round")))
         data = data.withColumn("__y", F.coalesce(F.col("__y"), F.col("__new"))).drop("__new")
-        data = cut_lineage(data)
+        data = cut_in_place(data)
         if data.where(F.col("__round") == r).limit(1).count() == 0:
             break
     final = model.transform(data.drop("rawPrediction", "probability", "prediction"))

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "prepline") -> SparkSession:
@@ -69,3 +69,12 @@ def cut_round(df):
     path = f"{base.rstrip('/')}/prepline-rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cut_in_place(df):
+    """:func:`cut_round` for a table whose partitions count (MLlib draws a forest's bags by partition): each
+    row stays in its place. The table is made anew from its rows, so the checkpoint keeps the fixed estimate of
+    a table of unknown size and its digits do not multiply."""
+    spark = df.sparkSession
+    rows = spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema())
+    return cut_lineage(DataFrame(rows, spark))

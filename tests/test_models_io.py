@@ -208,3 +208,55 @@ def test_gaussian_mixture_passes_equal_mllib(spark, monkeypatch):
     sure = {r["k"]: r["prediction"] for r in want.transform(d.withColumn("features", array_to_vector("v"))).collect() if max(r["probability"]) > 0.51}
     assert pred.columns == ["k", "cluster", "probability"] and pred.count() == len(rows)
     assert {r["k"]: r["cluster"] for r in pred.collect() if r["k"] in sure} == sure
+
+
+def test_self_training_rounds(spark):
+    """Labels spread from two ends until a round adds none. The planner's estimate does not grow with the
+    rounds: a checkpoint of a join kept the product of both sides, with twice the digits after each."""
+    from pyspark.sql import functions as F
+
+    from prepline.operators import models as M
+
+    n = 240
+    rows = [(i, float(i), float((i * 7) % 11), 0.0 if i < 24 else 1.0 if i >= n - 24 else None) for i in range(n)]
+    rows += [(n, None, 1.0, None), (n + 1, float("nan"), 1.0, 1.0), (None, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").repartition(2, "id")
+    model, out = M.self_training(df, ["a", "b"], "y", "id", threshold=0.8)
+    got = {r["id"]: r for r in out.collect()}
+    assert out.count() == len(rows) and set(got) == {r[0] for r in rows}
+    assert [tuple(got[i])[2:] for i in (n, n + 1)] == [(None, None, None), (1.0, 0, None)]
+    assert got[None]["training_label"] is None and got[None]["prediction"] == 0.0
+    known = [got[i] for i in range(n)]
+    assert all(r["training_label"] == r["y"] and r["labelled_in_round"] == 0 for r in known if r["y"] is not None)
+    assert all((r["training_label"] is None) == (r["labelled_in_round"] is None) for r in known)
+    rounds = {r["labelled_in_round"] for r in known} - {None}
+    assert rounds == set(range(len(rounds))) and len(rounds) >= 2
+    assert known[0]["prediction"] == 0.0 and known[-1]["prediction"] == 1.0
+    # the last model is sure of no row that is left
+    left = M.assemble(df.where(M.complete(df, ["a", "b"]) & F.col("id").isin([r["id"] for r in known if r["training_label"] is None])), ["a", "b"])
+    assert all(max(r["probability"]) < 0.8 for r in model.transform(left).collect())
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 160
+
+
+def test_document_features_are_counted_once(spark, tmp_path):
+    """Whether a row has all features is known without counting its text; a NULL text has no counts."""
+    from prepline.catalog import q_models as Q
+    from prepline.operators import models as M
+
+    texts = ["a b\n c", "", " a ", None, "\n\n", "x\u00a0y\tz"]
+    spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None and i else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = Q.doc_features(spark, str(tmp_path), labelled_only=False)
+    got = {r["doc_id"]: (r["n_lines"], r["n_words"], r["quality"]) for r in df.collect()}
+    assert got == {0: (2, 3, None), 1: (1, 1, 1.0), 2: (1, 3, None), 3: (None, None, None), 4: (3, 2, None), 5: (1, 2, None)}
+    ok = df.where(M.complete(df, Q.DOC_FEATURES))
+    assert sorted(r["doc_id"] for r in ok.collect()) == [1, 2, 4, 5]
+    assert ok.select("doc_id", *Q.DOC_FEATURES)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert "split(" not in df.where(~M.complete(df, Q.DOC_FEATURES)).select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_complete_asks_for_nan(spark):
+    from prepline.operators import models as M
+
+    df = spark.sql("select * from values (1, 1.0d, '2'), (2, double('NaN'), '2'), (3, 1.0d, 'NaN'), (null, 1.0d, '2'), (5, null, '2'), (6, 1.0d, null) as t(i, d, s)")
+    assert [r["i"] for r in df.where(M.complete(df, ["i", "d", "s"])).collect()] == [1]
